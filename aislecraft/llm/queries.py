@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aislecraft.llm import bpe, decontam, langid, pii, toxicity, url_tree, wavelet
+from aislecraft.llm import bpe, decontam, langid, ngram_join, pii, toxicity, url_tree, wavelet
 from aislecraft.llm.common import ship, table
 
 #: Where the public tokenizers' files are, unless a caller says otherwise.
@@ -40,6 +40,10 @@ def op7_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs))
 
 
+def op8_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op9_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
