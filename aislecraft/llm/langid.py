@@ -171,30 +171,32 @@ def predict(docs: DataFrame, network: BiGRU | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     held = F.coalesce(~learnable(F.col("doc_id")), F.lit(False)).alias("held_out")
+    return annotated(ids, network).select("doc_id", held, F.col("_lang").alias("lang_pred"), F.col("_lang_score").alias("score"))
+
+
+def annotated(docs: DataFrame, network: BiGRU | None) -> DataFrame:
+    """`docs` with _lang and _lang_score."""
     if network is None:
-        return ids.select("doc_id", held, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.withColumns({"_lang": F.lit("und"), "_lang_score": F.lit(0.0)})
     labels, parts, key = network.labels, network.p, hash(network.p["o"].tobytes())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("_lang string, _lang_score double")
+    def label(column: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         if key not in _TABLES:
             _TABLES.clear()
             _TABLES[key] = WordTable(BiGRU(labels, parts).word_sums, len(labels) + 1)
         words = _TABLES[key]
-        for pdf in batches:
-            for a in range(0, len(pdf), 512):
-                part = pdf.iloc[a : a + 512]
-                texts = ["" if x is None else x for x in part["text"]]
+        for series in column:
+            best: list[str] = []
+            score: list[float] = []
+            for a in range(0, len(series), 512):
+                texts = ["" if x is None else x for x in series.iloc[a : a + 512]]
                 sums = words.sums([x.split() for x in texts])
                 share = sums[:, :-1] / np.maximum(sums[:, -1:], 1)
-                letters = [bool(LETTER.search(x)) for x in texts]
-                best = share.argmax(axis=1)
-                yield pd.DataFrame(
-                    {
-                        "doc_id": part["doc_id"].to_numpy(),
-                        "lang_pred": [labels[k] if ok else "und" for k, ok in zip(best, letters)],
-                        "score": np.where(letters, np.clip(share.max(axis=1), 0, 1), 0.0),
-                    }
-                )
-
-    out = ids.mapInPandas(run, "doc_id long, lang_pred string, score double")
-    return out.select("doc_id", held, "lang_pred", "score")
+                for x, k, p in zip(texts, share.argmax(axis=1), np.clip(share.max(axis=1), 0, 1)):
+                    known = bool(LETTER.search(x))
+                    best.append(labels[k] if known else "und")
+                    score.append(float(p) if known else 0.0)
+            yield pd.DataFrame({"_lang": best, "_lang_score": score})
+
+    return docs.withColumn("_found", label(F.col("text").cast("string"))).select("*", "_found._lang", "_found._lang_score").drop("_found")

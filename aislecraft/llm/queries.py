@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aislecraft.llm import bpe, decontam, langid, ngram_join, pii, toxicity, url_tree, wavelet
+from aislecraft.llm import ann, bpe, decontam, html_wrapper, langid, ngram_join, pii, toxicity, url_tree, wavelet
 from aislecraft.llm.common import ship, table
 
 #: Where the public tokenizers' files are, unless a caller says otherwise.
@@ -19,6 +19,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_table(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -35,6 +40,10 @@ def op5_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.fit(docs))

@@ -1,12 +1,72 @@
-"""Corpus preparation: the stages are added as their operators come."""
+"""Corpus preparation: language, near copies, benchmark passages, personal data, tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
+as Parquet and read again as the next stage's docs. All but the last return the
+columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from aislecraft.llm import bpe, decontam, langid, ngram_join, pii
+from aislecraft.llm.common import ship, stored, table
+from aislecraft.llm.queries import tokenizer_path
+
+#: The share of a document's words that may stand in benchmark windows.
+MOST_LEAKED = 0.0
+#: A language's pooled probability below which a document counts as being in none.
+LEAST_SCORE = 0.3
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or in no language that was learnt, go; without a language to learn all with letters stay."""
+    ship(spark)
+    network = langid.fit(docs)
+    found = langid.annotated(docs, network)
+    keep = (F.col("_lang") != "und") & (F.col("_lang_score") >= LEAST_SCORE) if network else F.col("text").rlike(r"\p{L}")
+    return found.where(keep).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of five-word shingles join, the one of the smallest doc_id stays."""
+    ship(spark)
+    return ngram_join.without_near_copies(docs).select(*docs.columns)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window of the benchmark go."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"), MOST_LEAKED)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data becomes its kind in brackets; n_chars follows."""
+    ship(spark)
+    clean = pii.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else clean
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of the ids and of the text that they decode to."""
+    ship(spark)
+    return bpe.encode_decode(docs, tokenizer_path())
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near_copies", drop_near_copies),
+    ("decontamination", drop_benchmark_leaks),
+    ("personal_data", redact_personal_data),
+    ("tokens", tokenize),
+]
 
-STAGES = []
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of `sf_dir`, each written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
