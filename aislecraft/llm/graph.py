@@ -41,7 +41,8 @@ def membership(ids: DataFrame, column: str, bits: int) -> np.ndarray:
         seen = np.zeros(bits, bool)
         for pdf in batches:
             seen[pdf["b"].to_numpy()] = True
-        yield packed_counts(seen)
+        if seen.any():
+            yield packed_counts(seen)
 
     return summed_counts(ids.select(slot(F.col(column), bits).alias("b")).mapInPandas(run, "at long, counts binary"), bits) > 0
 

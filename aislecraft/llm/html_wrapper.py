@@ -284,7 +284,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
             for host, page in zip(pdf["host"], pdf["html"]):
                 one = pattern(parse(page))
                 found[host] = merge(found[host], one) if host in found else one
-        yield pd.DataFrame({"host": list(found), "wrapper": [json.dumps(w) for w in found.values()]})
+        if found:
+            yield pd.DataFrame({"host": list(found), "wrapper": [json.dumps(w) for w in found.values()]})
 
     def unite(pdf: pd.DataFrame) -> pd.DataFrame:
         whole: list | None = None

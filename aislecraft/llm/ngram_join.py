@@ -93,10 +93,9 @@ def shingle_counts(docs: DataFrame) -> np.ndarray:
         counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for t in batch.column(0):
-                counts += np.bincount((h >> np.uint64(46)).astype(np.int64), minlength=BUCKETS) if len(h := shingles(t.as_py())) > BUCKETS else 0
-                if len(h) <= BUCKETS:
-                    np.add.at(counts, (h >> np.uint64(46)).astype(np.int64), 1)
-        yield pa.RecordBatch.from_pandas(packed_counts(counts), preserve_index=False)
+                np.add.at(counts, (shingles(t.as_py()) >> np.uint64(46)).astype(np.int64), 1)
+        if counts.any():
+            yield pa.RecordBatch.from_pandas(packed_counts(counts), preserve_index=False)
 
     return summed_counts(docs.select("text").mapInArrow(run, "at long, counts binary"), BUCKETS)
 

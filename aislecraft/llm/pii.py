@@ -160,6 +160,8 @@ def detect(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            if not len(pdf):
+                continue
             all_spans = [spans(x) if x else [] for x in pdf["text"]]
             base = [[s for s in found if s[1] < len(BASE)] for found in all_spans]
             yield pd.DataFrame(
