@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aislecraft.llm.common import small_enough
+from aislecraft.llm.common import small_enough, stored
 
 WINDOW = 10
 #: Bytes of benchmark windows up to which they are broadcast; beyond, the postings are shuffled by word.
@@ -93,7 +93,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame
     source = keyed(docs)
     wanted = anchors(wins, term_counts(source, hint(vocabulary)))
     index = postings(source, hint(wanted.select("term").distinct()), size)
-    found = phrase_matches(index, hint(wanted))
+    found = stored(phrase_matches(index, hint(wanted)), "matches")
     starts = found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", F.size("win").alias("n"))).alias("starts"), F.collect_set("win").alias("wins"))
     by_item = starts.select("doc_id", "text_key", F.explode("wins").alias("win")).join(hint(wins), "win").groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     return starts.drop("wins").join(by_item, ["doc_id", "text_key"])
