@@ -32,7 +32,7 @@ CTES = {
     "ge_u": "SELECT user_id, sum(rating - mu - bi) / (count(*) + 10) AS bu FROM ge JOIN ge_i USING (item_id) GROUP BY 1",
     "scores": "SELECT 'toppop' AS algo, c.user_id, c.item_id, log10(n + 1) AS score FROM candidates c JOIN (SELECT item_id, count(*) AS n FROM train GROUP BY 1) USING (item_id) UNION ALL SELECT 'global', c.user_id, c.item_id, (SELECT avg(rating) FROM train) + coalesce(bu, 0) + coalesce(bi, 0) FROM candidates c LEFT JOIN ge_i USING (item_id) LEFT JOIN ge_u USING (user_id) UNION ALL SELECT 'mean', c.user_id, c.item_id, m FROM candidates c JOIN (SELECT item_id, sum(rating) / (count(*) + 1e-6) AS m FROM train GROUP BY 1) USING (item_id)",
     "factors": "SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS vec FROM embeddings",
-    "ltr": "SELECT source AS qid, doc_id, d.n_chars::DOUBLE AS score, (quality + toxic)::DOUBLE AS rel FROM labels JOIN documents d USING (doc_id)",
+    "ltr": "SELECT source AS qid, doc_id, d.n_chars / 1000.0 AS score, (quality + toxic)::DOUBLE AS rel FROM labels JOIN documents d USING (doc_id)",
 }
 
 

@@ -93,4 +93,4 @@ class Views:
     def ltr(self) -> DataFrame:
         """qid, doc_id, score, rel."""
         joined = self.table("labels").join(self.table("documents"), "doc_id")
-        return joined.select(F.col("source").alias("qid"), "doc_id", F.col("n_chars").cast("double").alias("score"), (F.col("quality") + F.col("toxic")).cast("double").alias("rel"))
+        return joined.select(F.col("source").alias("qid"), "doc_id", (F.col("n_chars") / 1000.0).alias("score"), (F.col("quality") + F.col("toxic")).cast("double").alias("rel"))
