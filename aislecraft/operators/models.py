@@ -47,3 +47,15 @@ def user_scores(profiles: DataFrame, similarity: DataFrame) -> DataFrame:
 
 def for_candidates(scores: DataFrame, candidates: DataFrame) -> DataFrame:
     return scores.join(candidates.select("user_id", "item_id"), ["user_id", "item_id"], "left_semi")
+
+
+def random_walk(matrix: DataFrame, alpha: float, beta: float, k: int) -> DataFrame:
+    """src, dst, weight: the k likeliest items two steps from each item over common users, step probabilities to the power alpha, over popularity to the power beta."""
+    size = matrix.groupBy("row").agg(F.sum("value").alias("_s"))
+    n = stats.counts(matrix, "col", "_n")
+    a = matrix.select("row", F.col("col").alias("src"))
+    b = matrix.join(size, "row").select("row", F.col("col").alias("dst"), F.pow(F.col("value") / F.col("_s"), alpha).alias("p"))
+    steps = a.join(b, "row").where("src <> dst").groupBy("src", "dst").agg(F.sum("p").alias("w"))
+    both = steps.join(n.select(F.col("col").alias("src"), F.col("_n").alias("ns")), "src").join(n.select(F.col("col").alias("dst"), F.col("_n").alias("nd")), "dst")
+    weight = F.col("w") / F.pow("ns", F.lit(alpha)) / (F.pow("nd", F.lit(beta)) if beta else F.lit(1.0))
+    return top_k(both.select("src", "dst", weight.alias("weight")), k, "src", "dst", "weight")

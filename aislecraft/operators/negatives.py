@@ -41,3 +41,38 @@ def weighted_negatives(pool: DataFrame, seen: DataFrame, n: int, seed: object) -
     key = -F.log(hash_uniform(seed, F.col("user_id"), F.col("item_id")) + 2.0**-33) / F.col("weight")
     rn = F.row_number().over(Window.partitionBy("user_id").orderBy(F.round("key", 9), "item_id"))
     return unseen(pool, seen).withColumn("key", key).withColumn("rn", rn).where(F.col("rn") <= n).select("user_id", "item_id", "rn")
+
+
+def from_recommenders(scores: DataFrame, seen: DataFrame, quotas: dict[str, int]) -> DataFrame:
+    """user_id, item_id, rank: of each recommender's unseen items the best of its quota, each item once."""
+    order = Window.partitionBy("algo", "user_id").orderBy(F.desc(F.round("score", 9)), "item_id")
+    quota = F.lit(0)
+    for algo, n in quotas.items():
+        quota = F.when(F.col("algo") == algo, n).otherwise(quota)
+    ranked = unseen(scores, seen).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= quota)
+    return ranked.groupBy("user_id", "item_id").agg(F.min("rank").alias("rank"))
+
+
+def bpr_triples(positives: DataFrame, seen: DataFrame, dim: DataFrame, seed: object) -> DataFrame:
+    """user_id, pos, neg: one hash draw for each positive row; draws that the user has seen go."""
+    size = dim.agg(F.count(F.lit(1)).alias("_n"))
+    drawn = positives.crossJoin(F.broadcast(size)).select("user_id", F.col("item_id").alias("pos"), (hash_int(seed, F.col("user_id"), F.col("item_id")) % F.col("_n")).alias("idx"))  # one row
+    return unseen(drawn.join(dim, "idx").select("user_id", "pos", "item_id"), seen).select("user_id", "pos", F.col("item_id").alias("neg"))
+
+
+def zero_pairs(existing: DataFrame, dim: DataFrame, draws_each: int, seed: object) -> DataFrame:
+    """i, j: drawn pairs of different items that the similarity lacks."""
+    size = dim.agg(F.count(F.lit(1)).alias("_n"))
+    k = F.explode(F.sequence(F.lit(1), F.lit(draws_each))).alias("k")
+    drawn = dim.select(F.col("item_id").alias("i"), k).crossJoin(F.broadcast(size))  # one row
+    found = drawn.select("i", (hash_int(seed, F.col("i"), F.col("k")) % F.col("_n")).alias("idx")).join(dim, "idx").select("i", F.col("item_id").alias("j")).where("i <> j").distinct()
+    return found.join(existing.select("i", "j"), ["i", "j"], "left_anti")
+
+
+def several_sets(users: DataFrame, seen: DataFrame, items: DataFrame, n: int, seeds: list) -> DataFrame:
+    """negset, user_id, item_id, rn: an independent set for each seed."""
+    out = None
+    for s in seeds:
+        one = fixed_negatives(users, seen, items, n, s).select(F.lit(s).cast("long").alias("negset"), "user_id", "item_id", "rn")
+        out = one if out is None else out.unionByName(one)
+    return out

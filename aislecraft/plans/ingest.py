@@ -217,12 +217,12 @@ def dedup_latest(v: Views):
     return op.dedup_latest(v.checkins(), ["user_id", "venue"], "ts", "value")
 
 
-@query("feature_join", "SELECT c.user_id, c.item_id, n_u, n_i FROM candidates c LEFT JOIN (SELECT user_id, count(*) AS n_u FROM sparse GROUP BY 1) USING (user_id) LEFT JOIN (SELECT item_id, count(*) AS n_i FROM sparse GROUP BY 1) USING (item_id)")
+@query("feature_join", "SELECT c.user_id, c.item_id, n_u::DOUBLE AS n_u, n_i::DOUBLE AS n_i FROM candidates c LEFT JOIN (SELECT user_id, count(*) AS n_u FROM sparse GROUP BY 1) USING (user_id) LEFT JOIN (SELECT item_id, count(*) AS n_i FROM sparse GROUP BY 1) USING (item_id)")
 def feature_join(v: Views):
     sparse = v.sparse()
     users = sparse.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_u"))
     items = sparse.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_i"))
-    return v.candidates().join(users, "user_id", "left").join(items, "item_id", "left").select("user_id", "item_id", "n_u", "n_i")
+    return v.candidates().join(users, "user_id", "left").join(items, "item_id", "left").select("user_id", "item_id", F.col("n_u").cast("double").alias("n_u"), F.col("n_i").cast("double").alias("n_i"))
 
 
 @query("semi_anti", "SELECT user_id, item_id, EXISTS (SELECT 1 FROM sparse s WHERE s.user_id = i.user_id AND s.item_id = i.item_id) AS inside FROM interactions i")
