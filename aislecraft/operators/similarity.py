@@ -129,14 +129,14 @@ def of_factors(factors: DataFrame, k: int, blocks: int = 4) -> DataFrame:
     dealt = factors.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = dealt.select("id", "vec", F.col("b").alias("x")).withColumn("y", every)
-    right = dealt.select("id", "vec", F.col("b").alias("y")).withColumn("x", every)
+    right = dealt.select(F.col("id").alias("id2"), F.col("vec").alias("vec2"), F.col("b").alias("y2")).withColumn("x2", every)
 
     def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"dst": np.array([], np.int64), "src": np.array([], np.int64), "weight": np.array([], float)})
-        b = b.sort_values("id")
-        ids, out = b["id"].to_numpy(), []
-        y = np.stack(b["vec"].to_list())
+        b = b.sort_values("id2")
+        ids, out = b["id2"].to_numpy(), []
+        y = np.stack(b["vec2"].to_list())
         for me, x in zip(a["id"], a["vec"]):
             s = np.round(y @ x, 9)
             s[ids == me] = -np.inf
@@ -144,5 +144,5 @@ def of_factors(factors: DataFrame, k: int, blocks: int = 4) -> DataFrame:
             out.append(pd.DataFrame({"dst": me, "src": ids[near], "weight": s[near]}))
         return pd.concat(out)
 
-    parts = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(product, "dst long, src long, weight double")
+    parts = left.groupBy("x", "y").cogroup(right.groupBy("x2", "y2")).applyInPandas(product, "dst long, src long, weight double")
     return top_neighbours(parts.where(F.col("weight") > float("-inf")), k)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aislecraft.plans.sql import with_views
+from aislecraft.sources.storage import ship
 from aislecraft.sources.views import Views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +21,7 @@ def query(name: str, sql: str | None = None, **views: str) -> Callable:
     def add(f: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            ship(spark)
             return rounded(f(Views(spark, sf_dir)))
 
         run.__doc__, run.__name__ = f.__doc__, name
