@@ -48,7 +48,7 @@ ROOTS = frozenset("article main articlebody".split())
 SOFT_ROOTS = frozenset("article content entry main maincontent post story".split())
 #: Block elements whose start ends an open paragraph, and elements that end an open one of their kind.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-#: Pages that must agree on a text for it to be a constant; the share of linked letters from which a slot is a menu.
+#: Pages that must agree on a text for it to be a constant; the share of linked letters beyond which a block is a menu.
 CONSTANT_PAGES, LINKED = 5, 0.5
 
 
@@ -130,6 +130,7 @@ def pattern(node: Node, linked: bool = False) -> list:
         _add(out[6], pattern(child, linked))
     if texts:
         _slot(out[6], texts, linked)
+    out[4], out[5] = sum(c[4] for c in out[6]), sum(c[5] for c in out[6])
     return out
 
 
@@ -242,7 +243,7 @@ def blocks_of(page: Node, wrapper: list | None) -> list[str]:
         if text:
             out.append(text)
 
-    def walk(node: Node, w: list | None, inside: bool) -> None:
+    def walk(node: Node, w: list | None, inside: bool, menu: bool) -> None:
         inside = inside or node is root
         if node.dropped(inside):
             if node.tag in BLOCKS:
@@ -250,6 +251,7 @@ def blocks_of(page: Node, wrapper: list | None) -> list[str]:
             return
         if node.tag in BLOCKS:
             close()
+            menu = w is not None and w[5] > LINKED * w[4]  # the innermost block decides
         elif node.tag in VOID:
             open_text.append(" ")
         slots: dict[int, list | None] = {}
@@ -260,17 +262,17 @@ def blocks_of(page: Node, wrapper: list | None) -> list[str]:
                     slots.update({id(c): w[6][x] if x is not None else None for c in groups[y][1]})
         for c in node.children:
             if isinstance(c, str):
-                if inside or root is None and wanted(slots.get(id(c))):
+                if inside or root is None and not menu and wanted(slots.get(id(c))):
                     open_text.append(c)
             else:
-                walk(c, slots.get(id(c)), inside)
+                walk(c, slots.get(id(c)), inside, menu)
         if node.tag in BLOCKS:
             close()
 
     def wanted(slot: list | None) -> bool:
-        return slot is None or not (slot[3] is not None and slot[1] >= CONSTANT_PAGES) and slot[5] <= LINKED * slot[4]
+        return slot is None or slot[3] is None or slot[1] < CONSTANT_PAGES
 
-    walk(page, wrapper, False)
+    walk(page, wrapper, False, False)
     close()
     return out
 
