@@ -52,11 +52,17 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return found.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
-def postings(docs: DataFrame, terms: DataFrame, reach: int = WINDOW) -> DataFrame:
-    """The index: doc_id, text_key, term, pos (from 1) and the words around it, `reach` - 1 to each side, with the place of the first (`base`)."""
+def postings(docs: DataFrame, terms: DataFrame, reach: int = WINDOW, broadcast: bool = False) -> DataFrame:
+    """The index: doc_id, text_key, term, pos (from 1) and the words around it, `reach` - 1 to each side, with the place of the first (`base`).
+
+    With `broadcast` the surroundings are cut out after the terms are looked up,
+    in the same pass; without, before the words are shuffled, so that no row
+    carries a whole text.
+    """
     exploded = docs.select("doc_id", "text_key", words_of(F.col("text")).alias("words")).select("doc_id", "text_key", "words", F.posexplode("words").alias("p", "term"))
     base = F.greatest(F.lit(1), F.col("p") + 2 - reach)
-    return exploded.join(terms, "term").select("doc_id", "text_key", "term", (F.col("p") + 1).alias("pos"), base.alias("base"), F.slice("words", base, F.col("p") + reach + 1 - base).alias("around"))
+    cut = ["doc_id", "text_key", "term", (F.col("p") + 1).alias("pos"), base.alias("base"), F.slice("words", base, F.col("p") + reach + 1 - base).alias("around")]
+    return exploded.join(F.broadcast(terms), "term").select(*cut) if broadcast else exploded.select(*cut).join(terms, "term")
 
 
 def anchors(wins: DataFrame, counts: DataFrame) -> DataFrame:
@@ -92,7 +98,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame
     hint = F.broadcast if small else (lambda df: df)
     source = keyed(docs)
     wanted = anchors(wins, term_counts(source, hint(vocabulary)))
-    index = postings(source, hint(wanted.select("term").distinct()), size)
+    index = postings(source, wanted.select("term").distinct(), size, broadcast=small)
     found = stored(phrase_matches(index, hint(wanted)), "matches")
     starts = found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", F.size("win").alias("n"))).alias("starts"), F.collect_set("win").alias("wins"))
     by_item = starts.select("doc_id", "text_key", F.explode("wins").alias("win")).join(hint(wins), "win").groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
