@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aislecraft.llm import ann, bpe, decontam, html_wrapper, langid, ngram_join, pii, toxicity, url_tree, wavelet
+from aislecraft.llm import ann, bpe, decontam, html_wrapper, langid, ngram_join, oracles, pii, toxicity, url_tree, wavelet
 from aislecraft.llm.common import ship, table
 
 #: Where the public tokenizers' files are, unless a caller says otherwise.
@@ -75,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLES)
