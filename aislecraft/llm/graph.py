@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,18 +19,21 @@ SLICE = 1 << 14
 def packed_counts(counts: np.ndarray) -> pd.DataFrame:
     """The non-empty slices of an array of counts, as rows."""
     slices = [(k, counts[k : k + SLICE]) for k in range(0, len(counts), SLICE)]
-    return pd.DataFrame([(k, c.astype("<i8").tobytes()) for k, c in slices if c.any()], columns=["at", "counts"])
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    return pd.DataFrame([(k, squeeze(c.astype("<i8").tobytes())) for k, c in slices if c.any()], columns=["at", "counts"])
 
 
 def summed_counts(parts: DataFrame, buckets: int) -> np.ndarray:
     """The sum of rows (at, counts) of packed_counts. What reaches the driver is `buckets` numbers, whatever the input."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"at": pdf["at"].iloc[:1], "counts": [sum(np.frombuffer(c, "<i8") for c in pdf["counts"]).astype("<i8").tobytes()]})
+        expand = zstandard.ZstdDecompressor().decompress
+        total = sum(np.frombuffer(expand(c), "<i8") for c in pdf["counts"])
+        return pd.DataFrame({"at": pdf["at"].iloc[:1], "counts": [zstandard.ZstdCompressor(level=1).compress(total.astype("<i8").tobytes())]})
 
     out = np.zeros(buckets, np.int64)
     for row in parts.groupBy("at").applyInPandas(add, "at long, counts binary").collect():
-        got = np.frombuffer(row["counts"], "<i8")
+        got = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["counts"]), "<i8")
         out[row["at"] : row["at"] + len(got)] = got
     return out
 

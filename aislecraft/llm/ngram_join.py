@@ -29,17 +29,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aislecraft.llm.common import stored
+from aislecraft.llm.common import discard, stored
 from aislecraft.llm.graph import components, membership, packed_counts, slot, summed_counts
 
 SIZE = 5
 #: Similarity in hundredths.
 SIMILAR = 80
-#: Buckets that shingles are counted in, for an order from rare to frequent.
-BUCKETS = 1 << 18
+#: Buckets that shingles are counted in, for an order from rare to frequent: so many for each document, within these powers of two.
+BUCKETS_EACH, LEAST_BITS, MOST_BITS = 8, 18, 23
 #: Minhash bands, and minima in each.
 BANDS, ROWS = 12, 4
 #: Members of a block, one for each bit of a mask; queries of a block that one task holds.
@@ -86,23 +86,30 @@ def bands(s: np.ndarray) -> np.ndarray:
     return key
 
 
+def buckets(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def shingle_counts(docs: DataFrame) -> np.ndarray:
-    """How many shingles of all documents fall into each bucket."""
+    """How many shingles of all documents fall into each bucket. Any order finds the same links; a finer one opens fewer groups."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (BUCKETS_EACH * docs.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.int64)
+        counts = np.zeros(1 << bits, np.int64)
         for batch in batches:
             for t in batch.column(0):
-                np.add.at(counts, (shingles(t.as_py()) >> np.uint64(46)).astype(np.int64), 1)
+                np.add.at(counts, buckets(shingles(t.as_py()), bits), 1)
         if counts.any():
             yield pa.RecordBatch.from_pandas(packed_counts(counts), preserve_index=False)
 
-    return summed_counts(docs.select("text").mapInArrow(run, "at long, counts binary"), BUCKETS)
+    return summed_counts(docs.select("text").mapInArrow(run, "at long, counts binary"), 1 << bits)
 
 
 def signatures(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """doc_id, n (size of the set), v (hash of the set), bands and prefix (rarest tokens first) of every document."""
-    spread = docs.sparkSession.sparkContext.broadcast(counts.astype(np.float32))  # BUCKETS numbers, whatever the input
+    spread = docs.sparkSession.sparkContext.broadcast(counts.astype(np.float32))  # at most 2^MOST_BITS numbers
+
+    bits = len(counts).bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = spread.value
@@ -114,14 +121,17 @@ def signatures(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 sizes.append(len(s))
                 hashes.append(xxhash.xxh3_64_intdigest(s.tobytes()))
                 keys.append(bands(s) if len(s) else s)
-                prefixes.append(s[np.argsort(rarity[(s >> np.uint64(46)).astype(np.int64)], kind="stable")[: prefix_length(len(s))]] if len(s) else s)
+                prefixes.append(s[np.argsort(rarity[buckets(s, bits)], kind="stable")[: prefix_length(len(s))]] if len(s) else s)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(np.array(hashes, np.uint64).view(np.int64)), lists(keys), lists(prefixes)], ["doc_id", "n", "v", "bands", "prefix"])
 
     return docs.mapInArrow(run, "doc_id long, n long, v long, bands array<long>, prefix array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """v and its sorted set, for the documents `wanted` (doc_id): worked out again from the texts, so that sets are never stored for all."""
+    """v and its sorted set, for the documents `wanted` (doc_id): worked out again from the texts, so that sets are never stored for all.
+
+    Rows that repeat a doc_id repeat their set; links are sets too, so that this does no harm.
+    """
     needed = docs.sparkSession.sparkContext.broadcast(np.packbits(membership(wanted, "doc_id", BITS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +146,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(v), pa.ListArray.from_arrays(offsets, values)], ["v", "tokens"])
 
     with_slot = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", slot(F.col("doc_id"), BITS).alias("at"))
-    return with_slot.mapInArrow(run, "v long, tokens array<long>").groupBy("v").agg(F.first("tokens").alias("tokens"))
+    return with_slot.mapInArrow(run, "v long, tokens array<long>")
 
 
 def band_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -146,17 +156,26 @@ def band_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = rows.join(hubs, "key").where("v <> hub.v and 100 * least(n, hub.n) >= 80 * greatest(n, hub.n)")
     pairs = stored(pairs.select(F.col("v").alias("a"), F.col("hub.v").alias("b"), F.col("rep").alias("ra"), F.col("hub.rep").alias("rb")).distinct(), "pairs")
     sets = stored(sets_of(docs, pairs.select(F.col("ra").alias("doc_id")).union(pairs.select("rb")).distinct()), "sets")
-    both = pairs.join(sets.select(F.col("v").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("v").alias("b"), F.col("tokens").alias("tb")), "b")
+    both = pairs.select("a", "b").join(sets.select(F.col("v").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("v").alias("b"), F.col("tokens").alias("tb")), "b")
     common = F.size(F.array_intersect("ta", "tb"))
-    return both.where(100 * common >= SIMILAR * (F.size("ta") + F.size("tb") - common)).select("a", "b")
+    links = stored(both.where(100 * common >= SIMILAR * (F.size("ta") + F.size("tb") - common)).select("a", "b").distinct(), "links")
+    discard(sets, pairs)
+    return links
+
+
+def shared_tokens(classes: DataFrame) -> DataFrame:
+    """v, i, token of the prefix tokens that several classes have: all tokens are shuffled once, as narrow rows."""
+    tokens = classes.select("v", F.posexplode("prefix").alias("i", "token"))
+    many = F.count(F.lit(1)).over(Window.partitionBy("token"))
+    return stored(tokens.withColumn("many", many).where("many > 1").drop("many"), "shared")
 
 
-def group_candidates(classes: DataFrame) -> DataFrame:
+def group_candidates(shared: DataFrame, grouped: DataFrame) -> DataFrame:
     """(v, g): classes and the other groups that the token-group matrix doesn't rule out for them.
 
     Of two groups the one with the larger label asks the other.
     """
-    tokens = classes.select("v", "g", "n", F.posexplode("prefix").alias("i", "token"))
+    tokens = shared.join(grouped.select("v", "g", "n"), "v")
     matrix = tokens.groupBy("token", "g").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max(F.col("n") - F.col("i")).alias("rest"))
     asked = tokens.select("token", "v", F.col("g").alias("own"), "n", "i")
     fits = "own > g and 100 * most_n >= 80 * n and 80 * least_n <= 100 * n"
@@ -207,14 +226,19 @@ def opened(candidates: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFr
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = stored(signatures(texts, shingle_counts(texts)), "signatures")
+    wide = stored(signatures(texts, shingle_counts(texts)), "signatures")
+    found = stored(wide.select("doc_id", "n", "v"), "sizes")
     full = found.where("n > 0 and doc_id is not null")
-    classes = stored(full.groupBy("v").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("prefix").alias("prefix")), "classes")
-    groups = components(stored(band_links(classes, texts), "links"))
-    grouped = classes.join(groups.withColumnRenamed("id", "v"), "v", "left").select("v", "rep", "n", "prefix", F.coalesce("label", "v").alias("g"))
-    grouped = stored(grouped, "grouped")
-    candidates = stored(group_candidates(grouped), "candidates")
-    slim = grouped.select("v", "rep", "g")
+    classes = wide.where("n > 0 and doc_id is not null").groupBy("v").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("prefix").alias("prefix"))
+    classes = stored(classes, "classes")
+    discard(wide)
+    links = band_links(classes, texts)
+    groups = components(links)
+    shared = shared_tokens(classes)
+    slim = stored(classes.select("v", "rep", "n").join(groups.withColumnRenamed("id", "v"), "v", "left").select("v", "rep", "n", F.coalesce("label", "v").alias("g")), "grouped")
+    discard(classes)
+    candidates = stored(group_candidates(shared, slim), "candidates")
+    discard(shared)
     more = opened(candidates, slim, texts)
     of = slim.select("v", "g")
     between = more.join(of.select(F.col("v").alias("a"), F.col("g").alias("ga")), "a").join(of.select(F.col("v").alias("b"), F.col("g").alias("gb")), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
