@@ -138,9 +138,9 @@ def of_factors(factors: DataFrame, k: int, blocks: int = 4) -> DataFrame:
         ids, out = b["id2"].to_numpy(), []
         y = np.stack(b["vec2"].to_list())
         for me, x in zip(a["id"], a["vec"]):
-            s = np.round(y @ x, 9)
+            s = y @ x
             s[ids == me] = -np.inf
-            near = np.lexsort((ids, -s))[:k]
+            near = np.lexsort((ids, -np.round(s, 9)))[:k]
             out.append(pd.DataFrame({"dst": me, "src": ids[near], "weight": s[near]}))
         return pd.concat(out)
 
