@@ -33,7 +33,7 @@ BUCKETS, WIDTH = 1 << 17, 4
 #: Lengths in bytes of the n-grams of a word in its marks < and >.
 GRAMS = (3, 4, 5, 6)
 #: Labelled documents to learn from, at most: of class 0 and of class 1.
-SAMPLE_DOCS = (5000, 2500)
+SAMPLE_DOCS = (4000, 2000)
 EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY = 10, 600, 64, 0.03, 1e-2
 #: Zero vectors that take part in every mean.
 PAD = 20
@@ -126,11 +126,11 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, weight) of a text: each distinct word has an equal share, and each subword an equal share of its word."""
     words = words_of(text or "")
     if not words:
-        return np.empty(0, np.int64), np.empty(0, np.float32)
+        return np.empty(0, np.uint32), np.empty(0, np.float32)
     buckets, owner = subwords(words)
     share = (1 / (len(words) + PAD) / np.bincount(owner, minlength=len(words)))[owner]
     rows, inverse = np.unique(buckets, return_inverse=True)
-    return rows, np.bincount(inverse, share).astype(np.float32)
+    return rows.astype(np.uint32), np.bincount(inverse, share).astype(np.float32)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: tuple[int, int] = SAMPLE_DOCS) -> tuple[np.ndarray, float] | None:
@@ -139,18 +139,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: tuple[int, int] = SAMPL
     place = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     sample = known.withColumn("_k", F.row_number().over(place)).where(F.col("_k") <= F.when(F.col("toxic") == 0, sample_docs[0]).otherwise(sample_docs[1])).drop("_k")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            bags = [bag(x) for x in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "rows": [r.astype("<u4").tobytes() for r, _ in bags], "share": [s.astype("<f4").tobytes() for _, s in bags]})
-
-    picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most sample_docs rows
-    rows = picked.mapInPandas(run, "doc_id long, toxic int, rows binary, share binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["toxic"]))
+    picked = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")  # at most sample_docs rows
+    rows = sorted(((r["doc_id"], r["toxic"], r["text"] or "") for r in picked.collect()), key=lambda r: r[:2])
     if not rows:
         return None
-    y = np.array([r["toxic"] for r in rows])
-    bags = [(np.frombuffer(r["rows"], "<u4").astype(np.int64), np.frombuffer(r["share"], "<f4")) for r in rows]
+    y = np.array([r[1] for r in rows])
+    bags = [bag(r[2]) for r in rows]
     full = [k for k, b in enumerate(bags) if len(b[0])]
     rng = np.random.default_rng(3)  # the rarer class counts as much as the other
     counts = np.bincount(y[full], minlength=2)
