@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aislecraft.llm.common import learnable
@@ -136,9 +136,8 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: tuple[int, int] = SAMPLE_DOCS) -> tuple[np.ndarray, float] | None:
     """Margins of a model learnt from `docs` (doc_id, text) with `labels` (doc_id, toxic): of each class the documents whose hashed ids come first, a bounded number."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.coalesce(learnable(F.col("doc_id")), F.lit(False))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    place = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = known.withColumn("_k", F.row_number().over(place)).where(F.col("_k") <= F.when(F.col("toxic") == 0, sample_docs[0]).otherwise(sample_docs[1])).drop("_k")
-
+    first = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for c, n in enumerate(sample_docs)]
+    sample = first[0].unionByName(first[1])
     picked = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")  # at most sample_docs rows
     rows = sorted(((r["doc_id"], r["toxic"], r["text"] or "") for r in picked.collect()), key=lambda r: r[:2])
     if not rows:
