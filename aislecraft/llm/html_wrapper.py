@@ -26,6 +26,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -45,29 +46,50 @@ NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright dialog disqus footer gdpr login menu modal nav navbar navigation newsletter notice pager pagination popup promo promotion related reply replies respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
 ROOTS = frozenset("article main articlebody".split())
-SOFT_ROOTS = frozenset("article content entry main maincontent post story".split())
+SOFT_ROOTS = frozenset("articlecontent articletext content entry entrycontent entrytext maincontent post postbody postcontent posttext story storybody storycontent storytext".split())
+#: Elements that a whole class, id or role (without digits and hyphens) can make the article; words before a name that only tell of the layout.
+CONTAINERS = frozenset("article center div main section td".split())
+LAYOUT = frozenset("has no with without".split())
 #: Block elements whose start ends an open paragraph, and elements that end an open one of their kind.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-#: Pages that must agree on a text for it to be a constant; the share of linked letters beyond which a block is a menu.
+#: Pages of distinct contents that must agree on a text for it to be a constant; the share of linked letters beyond which a block is a menu.
 CONSTANT_PAGES, LINKED = 5, 0.5
 
 
+@lru_cache(maxsize=1 << 16)
+def cues(key: str) -> tuple[bool, int | None]:
+    """What an element's key says: whether it holds no main text, and whether it may be the article (0), all of the main text (1) or, by a softer name, the article (2)."""
+    tag, *names = key.split(" ")
+    if tag in DROPPED:
+        return True, None
+    plain = {re.sub(r"[^a-z]", "", n) for n in names} if tag in CONTAINERS else set()
+    rank = 1 if tag == "main" else 0 if tag == "article" else None
+    if rank is None and plain & ROOTS:
+        rank = 0 if plain & ROOTS - {"main"} else 1
+    if rank is None and plain & SOFT_ROOTS:
+        rank = 2
+    if tag in ("html", "body", "main"):
+        return False, rank
+    if rank is not None:  # a part of a name tells of its layout only, as in no-comments
+        return not NAMES.isdisjoint(names), rank
+    parts = [re.split(r"[^a-z0-9]+", n) for n in names]
+    return any(p[0] not in LAYOUT and not NAMES.isdisjoint(p) for p in parts), None
+
+
 class Node:
     """An element of a page; `children` are nodes and strings."""
 
-    __slots__ = ("tag", "key", "names", "children")
+    __slots__ = ("tag", "key", "children")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.children, names = tag, [], set()
         if attributes:
             for name, a, b, c in ATTRIBUTE.findall(attributes):
-                names.update(re.split(r"[^a-z0-9]+", (a or b or c).lower()))
-        names.discard("")
-        self.names = names
-        self.key = ".".join([tag, *sorted({re.sub(r"[0-9]+", "0", n) for n in names})])
+                names.update((a or b or c).lower().split())
+        self.key = " ".join([tag, *sorted({re.sub(r"[0-9]+", "0", n) for n in names})])
 
     def dropped(self, inside: bool) -> bool:
-        return self.tag in DROPPED or bool(self.names & NAMES) or self.tag == "header" and not inside
+        return cues(self.key)[0] or self.tag == "header" and not inside
 
 
 def parse(page: str) -> Node:
@@ -115,9 +137,28 @@ def squeezed(text: str) -> str:
     return " ".join(text.split())
 
 
-def pattern(node: Node, linked: bool = False) -> list:
-    """A page as a wrapper of one page: [key, pages, repeated, constant, letters, linked letters, children]."""
-    out = [node.key, 1, 0, None, 0, 0, []]
+def content_of(node: Node) -> int:
+    """A hash of a page's text without menus and the like: pages alike in it are copies."""
+    texts: list[str] = []
+
+    def look(n: Node) -> None:
+        for c in n.children:
+            if isinstance(c, str):
+                texts.append(c)
+            elif not c.dropped(False):
+                look(c)
+
+    look(node)
+    return zlib.crc32(squeezed(" ".join(texts)).encode("utf-8", "replace"))
+
+
+def pattern(node: Node, linked: bool = False, content: int | None = None) -> list:
+    """A page as a wrapper of one page: [key, pages, repeated, constant, letters, linked letters, children, contents].
+
+    `contents` are hashes of the pages that agree on a constant, no more of them than make it one.
+    """
+    out = [node.key, 1, 0, None, 0, 0, [], []]
+    content = content_of(node) if content is None else content
     linked = linked or node.tag == "a"
     texts: list[str] = []
     for child in node.children:
@@ -125,20 +166,20 @@ def pattern(node: Node, linked: bool = False) -> list:
             texts.append(child)
             continue
         if texts:
-            _slot(out[6], texts, linked)
+            _slot(out[6], texts, linked, content)
             texts = []
-        _add(out[6], pattern(child, linked))
+        _add(out[6], pattern(child, linked, content))
     if texts:
-        _slot(out[6], texts, linked)
+        _slot(out[6], texts, linked, content)
     out[4], out[5] = sum(c[4] for c in out[6]), sum(c[5] for c in out[6])
     return out
 
 
-def _slot(children: list, texts: list[str], linked: bool) -> None:
+def _slot(children: list, texts: list[str], linked: bool, content: int) -> None:
     text = squeezed("".join(texts))
     if text:
         n = len(text)
-        _add(children, ["#", 1, 0, zlib.crc32(text.encode("utf-8", "replace")), n, n if linked else 0, []])
+        _add(children, ["#", 1, 0, zlib.crc32(text.encode("utf-8", "replace")), n, n if linked else 0, [], [content]])
 
 
 def _add(children: list, new: list) -> None:
@@ -153,7 +194,9 @@ def _add(children: list, new: list) -> None:
 
 def merge(a: list, b: list) -> list:
     """The wrapper of the pages of both: the children in their longest common order, the others optional."""
-    out = [a[0], a[1] + b[1], a[2] | b[2], a[3] if a[3] == b[3] else None, a[4] + b[4], a[5] + b[5], []]
+    out = [a[0], a[1] + b[1], a[2] | b[2], a[3] if a[3] == b[3] else None, a[4] + b[4], a[5] + b[5], [], []]
+    if out[3] is not None:
+        out[7] = a[7] if a[7] == b[7] else sorted({*a[7], *b[7]})[:CONSTANT_PAGES]
     for x, y in aligned(a[6], b[6], lambda c: c[0], lambda c: c[0]):
         out[6].append(merge(a[6][x], b[6][y]) if x is not None and y is not None else a[6][x] if x is not None else b[6][y])
     return out
@@ -204,29 +247,26 @@ def runs(node: Node) -> list[tuple[str, list]]:
     return out
 
 
-def page_root(page: Node) -> Node | None:
-    """The article's element: by its tag or role, else by a class or id; of several the one with most text."""
-    for wanted, names in ((("article", "main"), ROOTS), ((), SOFT_ROOTS)):
-        found: list[tuple[int, int, Node]] = []
-
-        def look(node: Node) -> None:
-            if node.dropped(False):
-                return
-            if node.tag in wanted or node.tag in BLOCKS and node.tag not in ("html", "body") and node.names & names:
-                found.append((size_of(node), -len(found), node))
-                if node.tag != "main":
-                    return
-            for c in node.children:
-                if not isinstance(c, str):
-                    look(c)
-
-        look(page)
-        articles = [f for f in found if f[2].tag != "main"]
-        if found:
-            best = max(found)
-            inner = max(articles, default=None, key=lambda f: f[:2])
-            return inner[2] if inner and best[2].tag == "main" and 2 * inner[0] >= best[0] else best[2]
-    return None
+def page_roots(page: Node) -> list[Node]:
+    """The elements that hold the article: all by the tag or role, else by a class or id; none if the page has none."""
+    found: tuple[list[Node], list[Node], list[Node]] = [], [], []
+
+    def look(node: Node, above: int) -> None:
+        if node.dropped(False):
+            return
+        rank = cues(node.key)[1]
+        if rank is not None and rank < above and size_of(node):
+            found[rank].append(node)
+            above = rank
+        for c in node.children if above else ():
+            if not isinstance(c, str):
+                look(c, above)
+
+    look(page, 3)
+    articles, mains, soft = found
+    if mains and 2 * sum(map(size_of, articles)) < sum(map(size_of, mains)):
+        return mains
+    return articles or soft
 
 
 def size_of(node: Node) -> int:
@@ -235,7 +275,7 @@ def size_of(node: Node) -> int:
 
 def blocks_of(page: Node, wrapper: list | None) -> list[str]:
     """The article's blocks of a page, read through the wrapper of its host."""
-    root, out, open_text = page_root(page), [], []
+    roots, out, open_text = {id(n) for n in page_roots(page)}, [], []
 
     def close() -> None:
         text = squeezed("".join(open_text))
@@ -244,7 +284,7 @@ def blocks_of(page: Node, wrapper: list | None) -> list[str]:
             out.append(text)
 
     def walk(node: Node, w: list | None, inside: bool, menu: bool) -> None:
-        inside = inside or node is root
+        inside = inside or id(node) in roots
         if node.dropped(inside):
             if node.tag in BLOCKS:
                 close()
@@ -255,14 +295,14 @@ def blocks_of(page: Node, wrapper: list | None) -> list[str]:
         elif node.tag in VOID:
             open_text.append(" ")
         slots: dict[int, list | None] = {}
-        if root is None and w is not None:  # only then does the wrapper have the say
+        if not roots and w is not None:  # only then does the wrapper have the say
             groups = runs(node)
             for x, y in aligned(w[6], groups, lambda c: c[0], lambda g: g[0]):
                 if y is not None:
                     slots.update({id(c): w[6][x] if x is not None else None for c in groups[y][1]})
         for c in node.children:
             if isinstance(c, str):
-                if inside or root is None and not menu and wanted(slots.get(id(c))):
+                if inside or not roots and not menu and wanted(slots.get(id(c))):
                     open_text.append(c)
             else:
                 walk(c, slots.get(id(c)), inside, menu)
@@ -270,7 +310,7 @@ def blocks_of(page: Node, wrapper: list | None) -> list[str]:
             close()
 
     def wanted(slot: list | None) -> bool:
-        return slot is None or slot[3] is None or slot[1] < CONSTANT_PAGES
+        return slot is None or slot[3] is None or len(slot[7]) < CONSTANT_PAGES
 
     walk(page, wrapper, False, False)
     close()

@@ -247,6 +247,18 @@ def test_wrapper_induction(spark):
     assert html_wrapper.extract(df).count() == len(rows) and html_wrapper.extract(df.limit(0)).count() == 0
 
 
+def test_html_keeps_every_part_of_the_article(spark):
+    read = lambda page: html_wrapper.blocks_of(html_wrapper.parse(page), None)
+    assert read('<p class="story-text">A</p><p class="story-text">B is longer</p>') == ["A", "B is longer"]
+    assert read("<nav>n</nav><article><p>one</p></article><i>x</i><article><p>two, longer</p></article>") == ["one", "two, longer"]
+    assert read('<body class="has-sidebar"><article class="post no-comments"><p>text</p></article></body>') == ["text"]
+    assert read('<body><div class="page has-sidebar"><p>text</p><div class="sidebar">s</div></div></body>') == ["text"]
+    assert read('<main><p>long enough to be all of it</p><article>a</article></main>') == ["long enough to be all of it", "a"]
+    copy = lambda k: f'<body><nav>{k}</nav><div><h1>Title</h1><p>Sole text</p></div></body>'
+    df = spark.createDataFrame([(k, f"http://h.org/{k}", copy(k)) for k in range(9)], "page_id long, url string, html string")
+    assert {r["text"] for r in html_wrapper.extract(df).collect()} == {"Title\nSole text"}
+
+
 def test_wrapper_has_options_and_repeats():
     parts = [html_wrapper.pattern(html_wrapper.parse(x)) for x in ("<ul><li>a</li><li>b</li></ul><p>x</p>", "<ul><li>c</li></ul><i>n</i><p>x</p>")]
     w = html_wrapper.merge(*parts)
