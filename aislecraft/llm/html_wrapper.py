@@ -7,7 +7,9 @@ texts that differ become slots; equal texts stay constants. The result, one
 wrapper for each host, is a regular expression without unions. Wrappers are
 formed in each input partition and merged by host, so that a host of any size is
 a few small rows in the shuffle. A page is then read through its host's wrapper,
-which says of every slot whether it belongs to the article.
+which says of every slot whether it belongs to the article: not in a block
+that is all constants, nor in one that is mostly links. Article elements and names of
+classes only bound the part of a page in which slots are asked.
 
 White space is that of Python's str.split, so a no-break space is a space; a
 line break inside a block is white space; blocks are the block-level elements.
@@ -275,13 +277,14 @@ def size_of(node: Node) -> int:
 
 def blocks_of(page: Node, wrapper: list | None) -> list[str]:
     """The article's blocks of a page, read through the wrapper of its host."""
-    roots, out, open_text = {id(n) for n in page_roots(page)}, [], []
+    roots, out, open_text, varied = {id(n) for n in page_roots(page)}, [], [], []
 
     def close() -> None:
         text = squeezed("".join(open_text))
-        open_text.clear()
-        if text:
+        if text and any(varied):  # a constant among other text of its block stays
             out.append(text)
+        open_text.clear()
+        varied.clear()
 
     def walk(node: Node, w: list | None, inside: bool, menu: bool) -> None:
         inside = inside or id(node) in roots
@@ -295,15 +298,16 @@ def blocks_of(page: Node, wrapper: list | None) -> list[str]:
         elif node.tag in VOID:
             open_text.append(" ")
         slots: dict[int, list | None] = {}
-        if not roots and w is not None:  # only then does the wrapper have the say
+        if w is not None:
             groups = runs(node)
             for x, y in aligned(w[6], groups, lambda c: c[0], lambda g: g[0]):
                 if y is not None:
                     slots.update({id(c): w[6][x] if x is not None else None for c in groups[y][1]})
         for c in node.children:
             if isinstance(c, str):
-                if inside or not roots and not menu and wanted(slots.get(id(c))):
+                if (inside or not roots) and not menu:
                     open_text.append(c)
+                    varied.append(not c.isspace() and wanted(slots.get(id(c))))
             else:
                 walk(c, slots.get(id(c)), inside, menu)
         if node.tag in BLOCKS:

@@ -259,6 +259,12 @@ def test_html_keeps_every_part_of_the_article(spark):
     assert {r["text"] for r in html_wrapper.extract(df).collect()} == {"Title\nSole text"}
 
 
+def test_wrapper_decides_inside_the_article(spark):
+    page = lambda k: f'<body><article><h1>Title {k}</h1><p>text {k} with <a href="x">a link</a></p><div class="x1">Follow us</div><ul><li><a href="a">see {k}</a></li><li><a href="b">also {k}</a></li></ul></article></body>'
+    df = spark.createDataFrame([(k, f"http://h.org/{k}", page(k)) for k in range(9)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_wrapper.extract(df).collect()} == {k: f"Title {k}\ntext {k} with a link" for k in range(9)}
+
+
 def test_wrapper_has_options_and_repeats():
     parts = [html_wrapper.pattern(html_wrapper.parse(x)) for x in ("<ul><li>a</li><li>b</li></ul><p>x</p>", "<ul><li>c</li></ul><i>n</i><p>x</p>")]
     w = html_wrapper.merge(*parts)
