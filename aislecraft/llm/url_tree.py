@@ -3,9 +3,11 @@
 Rules decide the urls that they fit. For the others each host has a tree of path
 templates: a segment that looks like an identifier is a wildcard, a level with
 nearly as many segments as urls becomes one, and sibling branches whose labelled
-shares differ by no more than chance are merged into one. The urls that the
-rules decide are the labels; a template is rejected when its share of blocked
-urls, smoothed towards its parent's and the host's, is high enough.
+shares differ by no more than chance are merged into one; branches without a
+label are merged with none of them. The urls that the rules decide are the
+labels; a template is rejected when it has labels enough itself and its share of
+blocked urls, smoothed towards its parent's and so towards the host's, is high
+enough.
 
 Cases: a null url or one without `://` has an empty host and path and is allowed
 (no rule fits it); an empty segment is a segment; levels below DEPTH are one
@@ -33,6 +35,8 @@ LEAST_SEGMENTS, SPREAD = 8, 0.3
 ALIKE = 1.96
 #: Weight of the parent's share, and the smoothed share from which a template is rejected.
 WEIGHT, REJECT = 2.0, 0.8
+#: Labelled urls that a template has at least when it is rejected; a parent's or host's don't count.
+LEAST_LABELS = 3
 #: Bytes of rejected templates up to which they are broadcast.
 BROADCAST_BYTES = 32 << 20
 
@@ -64,7 +68,7 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataF
 
 
 def templates(urls: DataFrame) -> DataFrame:
-    """host, shape, template, purity: the tree of every host, from counts of (host, shape).
+    """host, shape, template, labels, purity: the tree of every host, from counts of (host, shape).
 
     Rows are summed over (host, shape) before anything else, so that a host with a
     third of all urls is a few rows from there on.
@@ -72,7 +76,11 @@ def templates(urls: DataFrame) -> DataFrame:
     counts = urls.groupBy("host", "shape").agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("by_rule") == "block", 1)).alias("bad"), F.count(F.when(F.col("by_rule") == "allow", 1)).alias("good")
     )
+    of_host = Window.partitionBy("host")
     tree = counts.repartition("host").withColumns({"parts": F.split("shape", "/"), "template": F.lit("")})  # one shuffle serves all levels
+    smoothed = lambda bad, good, towards: (bad + WEIGHT * towards) / (bad + good + WEIGHT)
+    own = smoothed(F.sum("bad").over(of_host), F.sum("good").over(of_host), F.lit(0.5))
+    tree = tree.withColumns({"parent": own, "share": own})
     for level in range(1, DEPTH + 2):
         tree = tree.withColumn("part", F.get("parts", F.lit(level - 1)))
         branch, siblings = Window.partitionBy("host", "template", "part"), Window.partitionBy("host", "template")
@@ -83,22 +91,22 @@ def templates(urls: DataFrame) -> DataFrame:
         known, all_known = F.col("b_bad") + F.col("b_good"), F.col("l_bad") + F.col("l_good")
         common = (F.col("l_bad") + 1) / (all_known + 2)
         error = F.sqrt(common * (1 - common) / F.greatest(known, F.lit(1)))
-        alike = (known == 0) | (F.abs(F.col("b_bad") / F.greatest(known, F.lit(1)) - common) <= ALIKE * error)
+        alike = (known > 0) & (F.abs(F.col("b_bad") / F.greatest(known, F.lit(1)) - common) <= ALIKE * error)
         variable = (F.col("l_parts") >= LEAST_SEGMENTS) & (F.col("l_parts") >= SPREAD * F.col("l_n"))
-        general = F.when(variable | ((F.col("l_parts") > 1) & alike), F.lit("*")).otherwise(F.col("part"))
+        general = F.when(variable, F.lit("*")).when((F.col("l_parts") > 1) & alike, F.lit("#")).otherwise(F.col("part"))  # no segment has a #
         tree = tree.withColumn("template", F.when(here, F.concat_ws("/", "template", general)).otherwise(F.col("template")))
-        tree = tree.select("host", "shape", "n", "bad", "good", "parts", "template")
-    whole, of_host = Window.partitionBy("host", "template"), Window.partitionBy("host")
-    sums = tree.withColumns({"t_bad": F.sum("bad").over(whole), "t_good": F.sum("good").over(whole), "h_bad": F.sum("bad").over(of_host), "h_good": F.sum("good").over(of_host)})
-    host_share = (F.col("h_bad") + WEIGHT * 0.5) / (F.col("h_bad") + F.col("h_good") + WEIGHT)
-    purity = (F.col("t_bad") + WEIGHT * host_share) / (F.col("t_bad") + F.col("t_good") + WEIGHT)
-    return sums.select("host", "shape", "template", purity.alias("purity"))
+        level_share = smoothed(F.sum("bad").over(same := Window.partitionBy("host", "template")), F.sum("good").over(same), F.col("share"))
+        tree = tree.withColumns({"parent": F.when(here, F.col("share")).otherwise(F.col("parent")), "share": F.when(here, level_share).otherwise(F.col("share"))})
+        tree = tree.select("host", "shape", "n", "bad", "good", "parts", "template", "parent", "share")
+    whole = Window.partitionBy("host", "template")
+    sums = tree.withColumns({"t_bad": F.sum("bad").over(whole), "t_good": F.sum("good").over(whole)})
+    return sums.select("host", "shape", "template", (F.col("t_bad") + F.col("t_good")).alias("labels"), smoothed(F.col("t_bad"), F.col("t_good"), F.col("parent")).alias("purity"))
 
 
 def verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict of every page."""
     urls = judged(pages, rules)
-    rejected = templates(urls).where((F.col("purity") >= REJECT) & (F.col("host") != "")).select("host", "shape", F.lit("block").alias("by_tree"))
+    rejected = templates(urls).where((F.col("labels") >= LEAST_LABELS) & (F.col("purity") >= REJECT) & (F.col("host") != "")).select("host", "shape", F.lit("block").alias("by_tree"))
     if small_enough(rejected, BROADCAST_BYTES, F.length("host") + F.length("shape") + 64):
         rejected = F.broadcast(rejected)
     joined = urls.join(rejected, ["host", "shape"], "left")

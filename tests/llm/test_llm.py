@@ -354,6 +354,16 @@ def test_url_templates_learn_from_rules(spark):
     assert verdict[0] == "block"
 
 
+def test_url_branches_without_labels_are_allowed(spark):
+    urls = [f"http://h.org/es/a{k}" for k in range(12)] + [f"http://h.org/en/a{k}" for k in range(91)] + ["http://h.org/fr/a/b", "http://h.org/", "http://h.org/77/a1", "http://h.org/es"]
+    urls += [f"http://v.org/{c}/x" for c in ("es", "es", "es", "es", *"abcdefgh")]  # segments like identifiers, four of which are blocked
+    urls += [f"http://w.org/{c}/x" for c in ("es", "es", *"abcdefgh")]  # only two
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = [r["verdict"] for r in sorted(url_tree.verdicts(rows).collect(), key=lambda r: r["page_id"])]
+    assert got == ["block"] * 12 + ["allow"] * 95 + ["block"] * 12 + ["block"] * 2 + ["allow"] * 8
+    assert all(r["purity"] >= 0.8 and r["labels"] == 4 for r in url_tree.templates(url_tree.judged(rows)).where("host = 'v.org'").collect())
+
+
 def test_ann_recall(spark):
     x = np.random.default_rng(1).normal(size=(1500, 16))
     rows = [(k, [float(v) for v in x[k]], "e") for k in range(1500)] + [(5000, None, ""), (5001, [0.0] * 16, ""), (5002, [float("nan")] + [1.0] * 15, ""), (5003, [None] + [1.0] * 15, ""), (5004, [1.0], ""), (7, [float(v) for v in x[7]], "")]
