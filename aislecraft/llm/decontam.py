@@ -100,9 +100,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame
     wanted = anchors(wins, term_counts(source, hint(vocabulary)))
     index = postings(source, wanted.select("term").distinct(), size, broadcast=small)
     found = stored(phrase_matches(index, hint(wanted)), "matches")
-    starts = found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", F.size("win").alias("n"))).alias("starts"), F.collect_set("win").alias("wins"))
-    by_item = starts.select("doc_id", "text_key", F.explode("wins").alias("win")).join(hint(wins), "win").groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    return starts.drop("wins").join(by_item, ["doc_id", "text_key"])
+    # one aggregation, which takes null doc_ids as a group; a join on doc_id would lose them
+    return found.join(hint(wins), "win").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", F.size("win").alias("n"))).alias("starts"), F.sort_array(F.collect_set("item_id")).alias("items"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:

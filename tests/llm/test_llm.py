@@ -140,6 +140,17 @@ def test_decontamination_without_broadcast(spark, awkward, monkeypatch):
     assert sorted(map(tuple, decontam.report(awkward, bench).collect()), key=str) == brute_decontam(texts_of(awkward), items)
 
 
+@pytest.mark.parametrize("size", [decontam.BROADCAST_BYTES, -1])
+def test_decontamination_of_rows_without_id(spark, monkeypatch, size):
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", size)
+    passage = prose(31, 14)
+    rows = [(None, f"{prose(32, 20)} {passage}"), (None, f"{passage} {prose(33, 5)} {passage}"), (None, prose(34, 30)), (0, prose(35, 30)), (3, passage)]
+    docs, items = make_docs(spark, [(*r, "en") for r in rows]), [(1, passage), (2, passage), (3, prose(36, 12))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(map(tuple, decontam.report(docs, bench).collect()), key=str) == brute_decontam(rows, items)
+    assert sorted(r["text"] for r in decontam.clean(docs, bench).collect()) == sorted(x for _, x in rows[2:4])
+
+
 def test_proximity(spark):
     docs = make_docs(spark, [(1, "red a b blue", "en"), (2, "red a b c d e f g h i j k blue", "en")])
     source = decontam.keyed(docs)
