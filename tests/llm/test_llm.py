@@ -152,11 +152,21 @@ def test_decontamination_of_rows_without_id(spark, monkeypatch, size):
 
 
 def test_proximity(spark):
-    docs = make_docs(spark, [(1, "red a b blue", "en"), (2, "red a b c d e f g h i j k blue", "en")])
-    source = decontam.keyed(docs)
-    index = decontam.postings(source, spark.createDataFrame([("red",)], "term string"))
-    got = decontam.proximity_matches(index, spark.createDataFrame([("red", "blue")], "term string, term2 string"), 5).collect()
-    assert [(r["doc_id"], r["pos"], r["pos2"]) for r in got] == [(1, 1, 4)]
+    docs = make_docs(spark, [(1, "red a b blue", "en"), (2, "red a b c d e f g h i j k blue", "en"), (None, "x x x x blue RED", "en")])
+    terms = decontam.numbered(spark.createDataFrame([("red",), ("blue",)], "term string"))
+    ids = {r["term"]: r["id"] for r in terms.collect()}
+    index = decontam.postings(docs, terms)
+    pairs = spark.createDataFrame([(ids["red"], ids["blue"])], "id long, id2 long")
+    got = decontam.proximity_matches(index, pairs, 5).join(decontam.documents_of(index), "doc").collect()
+    assert sorted((r["doc_id"] or 0, r["pos"], r["pos2"]) for r in got) == [(0, 5, 4), (1, 0, 3)]
+
+
+def test_words_are_those_of_the_expression(spark):
+    r, word = random.Random(4), re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    texts = ["".join(chr(r.choice([r.randrange(128), r.randrange(128, 1000), 0x1F600])) for _ in range(40)) for _ in range(300)]
+    lower = str.maketrans(decontam.UPPER, decontam.LOWER)
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, text string").select("k", decontam.words_of(F.col("text")).alias("w")).collect()
+    assert all(row["w"] == word.findall(texts[row["k"]].translate(lower)) for row in rows)
 
 
 def brute_pii(t):
