@@ -8,8 +8,9 @@ root says that no pair can be merged. Words of similar length are worked through
 together, one tree for each, as columns of one array.
 
 Cases: a null text is an empty one and has no ids; very long words have a tree
-of their own; ties between equal pairs go to the leftmost; an empty table gives
-no rows; columns other than doc_id and text play no part.
+of their own; ties between equal pairs go to the leftmost; repeated rows keep a
+row each; a null doc_id stays null; an empty table gives no rows; a tokenizer
+file of another kind is an error; columns other than doc_id and text play no part.
 """
 
 from __future__ import annotations
@@ -19,15 +20,13 @@ import json
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from aislecraft.llm.wordcache import ChunkCache
+from aislecraft.llm.common import texts_of, worker_cache
+from aislecraft.llm.wordcache import PIECES, ChunkCache, PieceCache, chunkable
 
-#: Splits text into pieces that no merge crosses; a fixed value of this vocabulary.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Pieces of more symbols than this have a tree of their own.
 LONG = 64
 #: A rank above all others: no merge.
@@ -200,52 +199,65 @@ class BPE:
         done = self.merge_words([p for runs in cut for r in runs if isinstance(r, list) for p in r])
         return [b"".join(b"".join(map(done.__getitem__, r)) if isinstance(r, list) else np.array([self.special[r]], "<u4").tobytes() for r in runs) for runs in cut]
 
+
+class Model:
+    """What a worker keeps for one tokenizer: the vocabulary, its cache of chunks, and the bytes of all tokens in one array."""
+
+    def __init__(self, path: str):
+        self.bpe = BPE(path)
+        if not chunkable(path):
+            raise ValueError(f"{path} is not a byte-level vocabulary with the usual pieces")
+        self.pieces = PieceCache(self._pieces, lambda text: self.bpe.encode_many([text])[0], list(self.bpe.special))
+        self.cache = ChunkCache(self.pieces.encode)
+        size = 1 + max(self.bpe.bytes_of, default=0)
+        each = [self.bpe.bytes_of.get(i, b"") for i in range(size)]
+        self.sizes = np.array([*map(len, each), 0], np.int64)  # the last one stands for unknown ids
+        self.starts, self.blob = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(each), np.uint8)
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        raw = [p.encode("utf-8", "replace") for p in pieces]
+        done = self.bpe.merge_words(raw)
+        return [done[r] for r in raw]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text, as little-endian uint32."""
+        return self.cache.encode(texts)
+
     def raw(self, ids: bytes) -> bytes:
-        """The bytes that ids (little-endian uint32) stand for; unknown ids stand for none."""
-        known = self.bytes_of
-        return b"".join(known.get(i, b"") for i in np.frombuffer(ids, "<u4").tolist())
+        """The bytes that ids stand for; unknown ids stand for none."""
+        i = np.minimum(np.frombuffer(ids, "<u4"), len(self.sizes) - 1)
+        sizes = self.sizes[i]
+        ends = np.cumsum(sizes)
+        return self.blob[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[i] - ends + sizes, sizes)].tobytes()
 
     def decode(self, ids: bytes) -> str:
         return self.raw(ids).decode("utf-8", "replace")
 
 
-_MODELS: dict[str, tuple[BPE, ChunkCache, dict[bytes, bytes]]] = {}
-
-
-def model(path: str) -> tuple[BPE, ChunkCache]:
-    """The worker's model and its cache of chunks."""
-    if path not in _MODELS:
-        bpe = BPE(path)
-        _MODELS[path] = bpe, ChunkCache(bpe.encode_many, 500_000), {}
-    return _MODELS[path]
+def model(path: str) -> Model:
+    """The worker's model."""
+    return worker_cache(("bpe", path), lambda: Model(path))
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text; with `keep_ids` also ids (binary) and decoded (string)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe, cache, raws = model(tokenizer_path)
-        for pdf in batches:
-            texts = ["" if x is None else x for x in pdf["text"]]
-            for a in range(0, len(texts), 256):
-                if len(raws) > 500_000:
-                    raws.clear()
-                rows = cache.encode(texts[a : a + 256])
-                for ids in {i for row in rows for i in row if i not in raws}:
-                    raws[ids] = bpe.raw(ids)
-                ids = [b"".join(row) for row in rows]
-                back = [b"".join(map(raws.__getitem__, row)).decode("utf-8", "replace") for row in rows]
-                out = pd.DataFrame(
-                    {
-                        "doc_id": pdf["doc_id"].iloc[a : a + 256].to_numpy(),
-                        "n_tokens": [len(x) // 4 for x in ids],
-                        "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-                        "decoded_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in back],
-                    }
-                )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = model(tokenizer_path)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                ids = tokens.encode([x or "" for x in part.column(1).to_pylist()])
+                back = [tokens.decode(x) for x in ids]
+                out = {
+                    "doc_id": part.column(0),
+                    "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                    "decoded_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back], pa.string()),
+                }
                 if keep_ids:
-                    out["ids"], out["decoded"] = ids, back
-                yield out
+                    out |= {"ids": pa.array(ids, pa.binary()), "decoded": pa.array(back, pa.string())}
+                yield pa.RecordBatch.from_pydict(out)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary, decoded string" if keep_ids else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
+    return texts_of(docs).mapInArrow(run, schema)
