@@ -1,22 +1,29 @@
 """Main text of web pages by union-free wrappers of their hosts.
 
-A page is a tree of elements and text slots. The pages of one host are aligned
-one after another: elements that stand in a row with the same key become one
-repeated group, elements that only some pages have become optional ones, and
-texts that differ become slots; equal texts stay constants. The result, one
-wrapper for each host, is a regular expression without unions. Wrappers are
-formed in each input partition and merged by host, so that a host of any size is
-a few small rows in the shuffle. A page is then read through its host's wrapper,
-which says of every slot whether it belongs to the article: not in a block
-that is all constants, nor in one that is mostly links. Article elements and names of
-classes only bound the part of a page in which slots are asked.
+A page is a tree of elements and texts. The pages of one host are aligned one
+after another with the host's wrapper: children that a page lacks become
+optional, equal neighbours become one repeated group, texts become slots. Where
+keys come back after others, or in another order, the mismatch is resolved into
+a repeated group of optional parts, `(h2? p? ul?)*`, so that a wrapper is a
+regular expression without unions whose node never has a key twice, and its size
+follows the distinct keys and not the pages. Partial wrappers of each partition
+are merged by host, in two steps for hosts with many.
+
+Labels are then inferred on the wrapper, over all pages of the host: which
+element holds the article, which groups hold no main text, which blocks are
+mostly links, and which texts of a slot come back on pages of other contents.
+Tags and class names are evidence for a group's label; inside the article a part
+of a class name counts only for a container that comes back on the host's pages.
+A page is read through its host's wrapper: each of its texts falls into a slot,
+and the labels of the slot and of what holds it decide.
 
 White space is that of Python's str.split, so a no-break space is a space; a
 line break inside a block is white space; blocks are the block-level elements.
 
 Cases: a null or empty html has an empty text; so has a page that is nothing but
-menus; unclosed elements end where the enclosing one ends; character references
-without a meaning stay as they are; a null url is a host of its own; repeated
+menus; unclosed elements end where the enclosing one ends; nesting and numbers of
+siblings have no limit; character references without a meaning stay as they are;
+a null url is a host of its own; the order of pages changes no text; repeated
 rows keep a row each; an empty table gives no rows; columns other than page_id,
 url and html play no part.
 """
@@ -31,6 +38,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,16 +62,20 @@ CONTAINERS = frozenset("article center div main section td".split())
 LAYOUT = frozenset("has no with without".split())
 #: Block elements whose start ends an open paragraph, and elements that end an open one of their kind.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-#: Pages of distinct contents that must agree on a text for it to be a constant; the share of linked letters beyond which a block is a menu.
+#: Pages of distinct contents that must have a text for it to be a constant; the share of linked letters beyond which a block is a menu.
 CONSTANT_PAGES, LINKED = 5, 0.5
+#: Distinct texts of a slot that are told apart; a slot with more is all variable. Distinct keys below one node; beyond, class names no longer count there.
+MOST_TEXTS, MOST_KEYS = 16, 256
+#: Pages, and their share, on which a container inside the article comes back when a part of its class name counts.
+RECURRING, RECURRING_SHARE = 5, 0.3
 
 
 @lru_cache(maxsize=1 << 16)
-def cues(key: str) -> tuple[bool, int | None]:
-    """What an element's key says: whether it holds no main text, and whether it may be the article (0), all of the main text (1) or, by a softer name, the article (2)."""
+def cues(key: str) -> tuple[int, int | None]:
+    """What an element's key says: whether it holds no main text (0: no; 1: by a part of a class name; 2: by its tag or a whole name), and whether it may be the article (0), all of the main text (1) or, by a softer name, the article (2)."""
     tag, *names = key.split(" ")
     if tag in DROPPED:
-        return True, None
+        return 2, None
     plain = {re.sub(r"[^a-z]", "", n) for n in names} if tag in CONTAINERS else set()
     rank = 1 if tag == "main" else 0 if tag == "article" else None
     if rank is None and plain & ROOTS:
@@ -71,11 +83,13 @@ def cues(key: str) -> tuple[bool, int | None]:
     if rank is None and plain & SOFT_ROOTS:
         rank = 2
     if tag in ("html", "body", "main"):
-        return False, rank
+        return 0, rank
+    if not NAMES.isdisjoint(n.strip("0-_") for n in names):
+        return 2, rank
     if rank is not None:  # a part of a name tells of its layout only, as in no-comments
-        return not NAMES.isdisjoint(names), rank
+        return 0, rank
     parts = [re.split(r"[^a-z0-9]+", n) for n in names]
-    return any(p[0] not in LAYOUT and not NAMES.isdisjoint(p) for p in parts), None
+    return int(any(p[0] not in LAYOUT and not NAMES.isdisjoint(p) for p in parts)), None
 
 
 class Node:
@@ -90,9 +104,6 @@ class Node:
                 names.update((a or b or c).lower().split())
         self.key = " ".join([tag, *sorted({re.sub(r"[0-9]+", "0", n) for n in names})])
 
-    def dropped(self, inside: bool) -> bool:
-        return cues(self.key)[0] or self.tag == "header" and not inside
-
 
 def parse(page: str) -> Node:
     """The tree of a page."""
@@ -139,212 +150,361 @@ def squeezed(text: str) -> str:
     return " ".join(text.split())
 
 
-def content_of(node: Node) -> int:
+def content_of(page: Node) -> int:
     """A hash of a page's text without menus and the like: pages alike in it are copies."""
     texts: list[str] = []
+    stack: list[Node | str] = [page]
+    while stack:
+        n = stack.pop()
+        if isinstance(n, str):
+            texts.append(n)
+        elif not cues(n.key)[0] and n.tag != "header":
+            stack += reversed(n.children)
+    return fingerprint(" ".join(texts))
 
-    def look(n: Node) -> None:
-        for c in n.children:
-            if isinstance(c, str):
-                texts.append(c)
-            elif not c.dropped(False):
-                look(c)
 
-    look(node)
-    return zlib.crc32(squeezed(" ".join(texts)).encode("utf-8", "replace"))
+def fingerprint(text: str) -> int:
+    return zlib.crc32(squeezed(text).encode("utf-8", "replace"))
 
 
-def pattern(node: Node, linked: bool = False, content: int | None = None) -> list:
-    """A page as a wrapper of one page: [key, pages, repeated, constant, letters, linked letters, children, contents].
-
-    `contents` are hashes of the pages that agree on a constant, no more of them than make it one.
-    """
-    out = [node.key, 1, 0, None, 0, 0, [], []]
-    content = content_of(node) if content is None else content
-    linked = linked or node.tag == "a"
+def items(node: Node) -> Iterator[Node | list[str]]:
+    """The children of a page's element: elements, and lists of the strings between them that are more than white space."""
     texts: list[str] = []
-    for child in node.children:
-        if isinstance(child, str):
-            texts.append(child)
-            continue
-        if texts:
-            _slot(out[6], texts, linked, content)
-            texts = []
-        _add(out[6], pattern(child, linked, content))
-    if texts:
-        _slot(out[6], texts, linked, content)
-    out[4], out[5] = sum(c[4] for c in out[6]), sum(c[5] for c in out[6])
-    return out
-
-
-def _slot(children: list, texts: list[str], linked: bool, content: int) -> None:
-    text = squeezed("".join(texts))
-    if text:
-        n = len(text)
-        _add(children, ["#", 1, 0, zlib.crc32(text.encode("utf-8", "replace")), n, n if linked else 0, [], [content]])
-
-
-def _add(children: list, new: list) -> None:
-    """Append, or make the last child a repeated group if it has the same key."""
-    if children and children[-1][0] == new[0]:
-        last = merge(children[-1], new)
-        last[1], last[2] = 1, 1
-        children[-1] = last
-    else:
-        children.append(new)
-
-
-def merge(a: list, b: list) -> list:
-    """The wrapper of the pages of both: the children in their longest common order, the others optional."""
-    out = [a[0], a[1] + b[1], a[2] | b[2], a[3] if a[3] == b[3] else None, a[4] + b[4], a[5] + b[5], [], []]
-    if out[3] is not None:
-        out[7] = a[7] if a[7] == b[7] else sorted({*a[7], *b[7]})[:CONSTANT_PAGES]
-    for x, y in aligned(a[6], b[6], lambda c: c[0], lambda c: c[0]):
-        out[6].append(merge(a[6][x], b[6][y]) if x is not None and y is not None else a[6][x] if x is not None else b[6][y])
-    return out
-
-
-def aligned(a: list, b: list, key_a, key_b) -> Iterator[tuple[int | None, int | None]]:
-    """Pairs of places with equal keys in a longest common subsequence, and between them the places of one side only."""
-    ka, kb = [key_a(x) for x in a], [key_b(x) for x in b]
-    if ka == kb:
-        yield from zip(range(len(ka)), range(len(kb)))
-        return
-    start = 0
-    while start < len(ka) and start < len(kb) and ka[start] == kb[start]:
-        yield start, start
-        start += 1
-    n, m = len(ka) - start, len(kb) - start
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        row, below = best[i], best[i + 1]
-        for j in range(m - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if ka[start + i] == kb[start + j] else max(below[j], row[j + 1])
-    i = j = 0
-    while i < n or j < m:
-        if i < n and j < m and ka[start + i] == kb[start + j]:
-            yield start + i, start + j
-            i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            yield start + i, None
-            i += 1
-        else:
-            yield None, start + j
-            j += 1
-
-
-def runs(node: Node) -> list[tuple[str, list]]:
-    """Children of a page's node as a wrapper sees them: runs of one key."""
-    out: list[tuple[str, list]] = []
-    for child in node.children:
-        key = "#" if isinstance(child, str) else child.key
-        if key == "#" and not child.strip():
-            if out and out[-1][0] == "#":
-                out[-1][1].append(child)
+    for c in node.children:
+        if isinstance(c, str):
+            texts.append(c)
             continue
-        if out and out[-1][0] == key:
-            out[-1][1].append(child)
+        if any(not t.isspace() for t in texts):
+            yield texts
+        texts = []
+        yield c
+    if any(not t.isspace() for t in texts):
+        yield texts
+
+
+class Part:
+    """A node of a wrapper, or a slot (key `#`): how many elements it stands for, how many parents have one, whether it repeats, whether its children are a repeated group of optional ones, its letters and linked letters (of a slot), and the texts of a slot with hashes of the pages that have them."""
+
+    __slots__ = ("key", "count", "parents", "repeats", "loop", "general", "letters", "linked", "texts", "children", "order", "drop", "menu", "root")
+
+    def __init__(self, key: str):
+        self.key, self.count, self.parents, self.repeats, self.loop, self.general, self.letters, self.linked = key, 0, 0, False, False, False, 0, 0
+        self.texts: dict[int, tuple[int, ...]] | None = {}
+        self.children: dict[str, Part] = {}
+        self.order: list[str] = []
+        self.drop = self.menu = self.root = False
+
+    def name(self, key: str) -> str:
+        return key.partition(" ")[0] if self.general else key
+
+    def child(self, key: str, after: str | None) -> Part:
+        """The child of a key, new ones behind `after`."""
+        found = self.children.get(key)
+        if found is None:
+            found = self.children[key] = Part(key)
+            self.order.insert(self.order.index(after) + 1 if after is not None else 0, key)
+        return found
+
+    def by_tag(self) -> None:
+        """From here on only tags count below this node."""
+        old, self.general = [self.children[k] for k in self.order], True
+        self.children, self.order, self.loop = {}, [], True
+        for c in old:
+            into = self.child(self.name(c.key), self.order[-1] if self.order else None)
+            into.repeats |= into.parents > 0
+            merge(into, c)
+
+    def generalise(self) -> None:
+        if not self.general and len(self.children) > MOST_KEYS:
+            self.by_tag()
+
+    def note(self, text: int, pages: tuple[int, ...]) -> None:
+        """A text of a slot, on pages of these contents; no more of them are kept than make it a constant."""
+        if self.texts is not None:
+            self.texts[text] = tuple(sorted({*self.texts.get(text, ()), *pages})[:CONSTANT_PAGES])
+            if len(self.texts) > MOST_TEXTS:
+                self.texts = None
+
+    def constant(self, text: int) -> bool:
+        return self.texts is not None and len(self.texts.get(text, ())) >= CONSTANT_PAGES
+
+    def follow(self, keys: list[str]) -> None:
+        """Whether the order of `keys` (all known) is that of the children; if not, they are a loop."""
+        if not self.loop:
+            place = {k: i for i, k in enumerate(self.order)}
+            at = [place[k] for k in keys]
+            self.loop = any(x >= y for x, y in zip(at, at[1:]))
+
+
+def absorb(wrapper: Part, page: Node) -> None:
+    """Align a page with the wrapper of its host."""
+    content = content_of(page)
+    wrapper.parents += 1
+    stack = [(wrapper, page, False)]
+    while stack:
+        w, node, linked = stack.pop()
+        w.generalise()  # nothing that is still on the stack stands below it
+        w.count += 1
+        seen: dict[str, None] = {}
+        last: str | None = None
+        for item in items(node):
+            key = "#" if isinstance(item, list) else w.name(item.key)
+            c = w.child(key, last)
+            if key in seen:
+                c.repeats = True
+                w.loop |= key != last
+            else:
+                seen[key] = None
+                c.parents += 1
+            if isinstance(item, list):
+                text = squeezed("".join(item))
+                c.count += 1
+                c.letters += len(text)
+                c.linked += len(text) if linked else 0
+                c.note(fingerprint(text), (content,))
+            else:
+                stack.append((c, item, linked or item.tag == "a"))
+            last = key
+        w.follow(list(seen))
+
+
+def settled(wrapper: Part) -> Part:
+    """The wrapper with all nodes of too many keys generalised."""
+    stack = [wrapper]
+    while stack:
+        w = stack.pop()
+        w.generalise()
+        stack += w.children.values()
+    return wrapper
+
+
+def pattern(page: Node) -> Part:
+    """The wrapper of one page."""
+    out = Part(page.key)
+    absorb(out, page)
+    return settled(out)
+
+
+def merge(into: Part, other: Part) -> Part:
+    """The wrapper of the pages of both, as `into`."""
+    stack = [(into, other)]
+    while stack:
+        a, b = stack.pop()
+        a.count, a.parents, a.letters, a.linked = a.count + b.count, a.parents + b.parents, a.letters + b.letters, a.linked + b.linked
+        a.repeats, a.loop = a.repeats | b.repeats, a.loop | b.loop
+        if a.texts is not None and b.texts is not None:
+            for text, pages in b.texts.items():
+                a.note(text, pages)
         else:
-            out.append((key, [child]))
+            a.texts = None
+        if b.general and not a.general:
+            a.by_tag()
+        last, keys = None, []
+        for k in b.order:
+            last = a.name(k)
+            c = a.child(last, keys[-1] if keys else None)
+            keys.append(last)
+            stack.append((c, b.children[k]))
+        a.follow(keys)
+        if len(a.children) > MOST_KEYS and not a.general:  # its children first
+            for c, d in stack[len(stack) - len(b.order) :]:
+                merge(c, d)
+            del stack[len(stack) - len(b.order) :]
+            a.generalise()
+    return into
+
+
+def parts_of(wrapper: Part) -> list[tuple[Part, int]]:
+    """All parts with the place of their parents, parents first."""
+    out, stack = [], [(wrapper, -1)]
+    while stack:
+        part, parent = stack.pop()
+        out.append((part, parent))
+        stack += [(part.children[k], len(out) - 1) for k in reversed(part.order)]
     return out
 
 
-def page_roots(page: Node) -> list[Node]:
-    """The elements that hold the article: all by the tag or role, else by a class or id; none if the page has none."""
-    found: tuple[list[Node], list[Node], list[Node]] = [], [], []
-
-    def look(node: Node, above: int) -> None:
-        if node.dropped(False):
-            return
-        rank = cues(node.key)[1]
-        if rank is not None and rank < above and size_of(node):
-            found[rank].append(node)
-            above = rank
-        for c in node.children if above else ():
-            if not isinstance(c, str):
-                look(c, above)
-
-    look(page, 3)
+def written(wrapper: Part) -> str:
+    return json.dumps([[parent, p.key, p.count, p.parents, p.repeats + 2 * p.loop + 4 * p.general, p.letters, p.linked, None if p.texts is None else list(p.texts.items())] for p, parent in parts_of(wrapper)])
+
+
+def read(raw: str) -> Part:
+    found: list[Part] = []
+    for parent, key, count, parents, flags, letters, linked, texts in json.loads(raw):
+        p = Part(key)
+        p.count, p.parents, p.repeats, p.loop, p.general, p.letters, p.linked = count, parents, bool(flags & 1), bool(flags & 2), bool(flags & 4), letters, linked
+        p.texts = None if texts is None else {t: tuple(pages) for t, pages in texts}
+        if parent >= 0:
+            found[parent].children[key] = p
+            found[parent].order.append(key)
+        found.append(p)
+    return found[0]
+
+
+def expression(wrapper: Part) -> str:
+    """The wrapper as a regular expression over its keys and slots: `?` optional, `+` repeated, `*` both; the parts of a loop, `( )*`, are each optional."""
+    parts = parts_of(wrapper)
+    done: list[list[str]] = [[] for _ in parts]
+    for k in range(len(parts) - 1, -1, -1):
+        p, parent = parts[k]
+        inner = " ".join(reversed(done[k]))
+        text = p.key if not inner else f"{p.key} {{ {f'( {inner} )*' if p.loop else inner} }}"
+        if parent < 0:
+            return text
+        above = parts[parent][0]
+        if above.loop or p.parents >= above.count and not p.repeats:
+            done[parent].append(text)
+        else:
+            done[parent].append(f"( {text} )" + ("+" if p.parents >= above.count else "*" if p.repeats else "?"))
+    return ""
+
+
+def labelled(wrapper: Part) -> Part:
+    """Infer the labels on the whole wrapper: the article's elements, groups that hold no main text, blocks that are menus."""
+    parts = parts_of(wrapper)
+    tags = [p.key.partition(" ")[0] for p, _ in parts]
+    letters, linked, size = [p.letters for p, _ in parts], [p.linked for p, _ in parts], [p.letters for p, _ in parts]
+    for k in range(len(parts) - 1, 0, -1):
+        p, parent = parts[k]
+        letters[parent] += letters[k]
+        linked[parent] += linked[k]
+        size[parent] += 0 if cues(p.key)[0] == 2 else size[k]
+    found: tuple[list[int], list[int], list[int]] = ([], [], [])
+    above, lost = [3] * len(parts), [False] * len(parts)
+    for k, (p, parent) in enumerate(parts):
+        loss, rank = cues(p.key)
+        lost[k] = parent >= 0 and lost[parent] or loss > 0 or tags[k] == "header"
+        above[k] = above[parent] if parent >= 0 else 3
+        if not lost[k] and rank is not None and rank < above[k] and size[k]:
+            found[rank].append(k)
+            above[k] = rank
     articles, mains, soft = found
-    if mains and 2 * sum(map(size_of, articles)) < sum(map(size_of, mains)):
-        return mains
-    return articles or soft
-
-
-def size_of(node: Node) -> int:
-    return sum(len(c.strip()) if isinstance(c, str) else 0 if c.dropped(True) else size_of(c) for c in node.children)
-
-
-def blocks_of(page: Node, wrapper: list | None) -> list[str]:
-    """The article's blocks of a page, read through the wrapper of its host."""
-    roots, out, open_text, varied = {id(n) for n in page_roots(page)}, [], [], []
+    roots = mains if mains and 2 * sum(size[k] for k in articles) < sum(size[k] for k in mains) else articles or soft
+    inside = [False] * len(parts)
+    for k in roots:
+        parts[k][0].root = True
+    for k, (p, parent) in enumerate(parts):
+        within = parent >= 0 and inside[parent]
+        inside[k] = within or p.root
+        loss = cues(p.key)[0]
+        recurs = parent >= 0 and p.parents >= max(RECURRING, RECURRING_SHARE * parts[parent][0].count) and tags[k] in CONTAINERS
+        p.drop = loss == 2 or loss == 1 and (not within or recurs) or tags[k] == "header" and not inside[k]
+        p.menu = linked[k] > LINKED * letters[k]
+    return wrapper
+
+
+def blocks_of(page: Node, wrapper: Part | None = None) -> list[str]:
+    """The article's blocks of a page, read through the labelled wrapper of its host (of the page alone, where there is none)."""
+    wrapper = labelled(pattern(page)) if wrapper is None else wrapper
+    has_root, stack = False, [(page, wrapper)]
+    while stack and not has_root:
+        node, w = stack.pop()
+        has_root = w.root
+        if not w.drop:
+            stack += [(c, w.children[k]) for c in node.children if not isinstance(c, str) and (k := w.name(c.key)) in w.children]
+    out: list[str] = []
+    open_text: list[str] = []
+    varied = False
 
     def close() -> None:
+        nonlocal varied
         text = squeezed("".join(open_text))
-        if text and any(varied):  # a constant among other text of its block stays
+        if text and varied:  # a constant among other text of its block stays
             out.append(text)
         open_text.clear()
-        varied.clear()
+        varied = False
 
-    def walk(node: Node, w: list | None, inside: bool, menu: bool) -> None:
-        inside = inside or id(node) in roots
-        if node.dropped(inside):
-            if node.tag in BLOCKS:
+    # what is still to be read, last first: an element, a text, or the end of a block
+    todo: list[tuple[Node | list[str] | None, Part | None, bool, bool]] = [(page, wrapper, not has_root, False)]
+    while todo:
+        node, w, inside, menu = todo.pop()
+        if node is None:
+            close()
+            continue
+        if isinstance(node, list):
+            if inside and not menu:
+                open_text += node
+                varied |= w is None or not w.constant(fingerprint("".join(node)))
+            continue
+        block = node.tag in BLOCKS
+        inside |= w is not None and w.root
+        if w.drop if w is not None else cues(node.key)[0] == 2:
+            if block:
                 close()
-            return
-        if node.tag in BLOCKS:
+            continue
+        if block:
             close()
-            menu = w is not None and w[5] > LINKED * w[4]  # the innermost block decides
+            menu = w is not None and w.menu  # the innermost block decides
         elif node.tag in VOID:
             open_text.append(" ")
-        slots: dict[int, list | None] = {}
-        if w is not None:
-            groups = runs(node)
-            for x, y in aligned(w[6], groups, lambda c: c[0], lambda g: g[0]):
-                if y is not None:
-                    slots.update({id(c): w[6][x] if x is not None else None for c in groups[y][1]})
-        for c in node.children:
+        below: list[tuple[Node | list[str] | None, Part | None, bool, bool]] = []
+        texts: list[str] = []
+        for c in [*node.children, None]:
             if isinstance(c, str):
-                if (inside or not roots) and not menu:
-                    open_text.append(c)
-                    varied.append(not c.isspace() and wanted(slots.get(id(c))))
-            else:
-                walk(c, slots.get(id(c)), inside, menu)
-        if node.tag in BLOCKS:
-            close()
-
-    def wanted(slot: list | None) -> bool:
-        return slot is None or slot[3] is None or len(slot[7]) < CONSTANT_PAGES
-
-    walk(page, wrapper, False, False)
+                texts.append(c)
+                continue
+            if texts:
+                slot = w.children.get("#") if w is not None else None
+                below.append((texts, BLANK if all(map(str.isspace, texts)) else slot, inside, menu))
+                texts = []
+            if c is not None:
+                below.append((c, w.children.get(w.name(c.key)) if w is not None else None, inside, menu))
+        if block:
+            todo.append((None, None, False, False))
+        todo += reversed(below)
     close()
     return out
 
 
+class _Blank(Part):
+    """Stands for white space, which makes no block."""
+
+    def constant(self, text: int) -> bool:
+        return True
+
+
+BLANK = _Blank("#")
+#: Wrapper parts that a task holds before it writes its partial wrappers; hosts with many partial wrappers have them merged in so many lots first.
+HELD_PARTS, LOTS = 200_000, 64
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
     """host, wrapper (JSON) from all pages (host, html): partial wrappers of each partition, merged by host."""
 
-    def induce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: dict[str, list] = {}
-        for pdf in batches:
-            for host, page in zip(pdf["host"], pdf["html"]):
-                one = pattern(parse(page))
-                found[host] = merge(found[host], one) if host in found else one
+    def induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, Part] = {}
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_pydict({"host": pa.array(list(found), pa.string()), "wrapper": pa.array([written(settled(w)) for w in found.values()], pa.string())})
+            found.clear()
+            return out
+
+        for batch in batches:
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if host not in found:
+                    found[host] = Part("#page")
+                absorb(found[host], parse(page))
+                held += 1 + len(page) // 64  # its elements, about
+                if held > HELD_PARTS:
+                    yield flush()
+                    held = 0
         if found:
-            yield pd.DataFrame({"host": list(found), "wrapper": [json.dumps(w) for w in found.values()]})
+            yield flush()
 
     def unite(pdf: pd.DataFrame) -> pd.DataFrame:
-        whole: list | None = None
-        for w in sorted(pdf["wrapper"]):
-            whole = merge(whole, json.loads(w)) if whole else json.loads(w)
-        return pd.DataFrame({"host": pdf["host"].iloc[:1], "wrapper": [json.dumps(whole)]})
+        whole = read(pdf["wrapper"].iloc[0])
+        for w in pdf["wrapper"].iloc[1:]:
+            merge(whole, read(w))
+        return pd.DataFrame({"host": pdf["host"].iloc[:1], "wrapper": [written(settled(whole))]})
 
-    parts = pages.where(F.col("html").isNotNull()).mapInPandas(induce, "host string, wrapper string")
-    return parts.groupBy("host").applyInPandas(unite, "host string, wrapper string")
+    parts = pages.where(F.col("html").isNotNull()).select("host", "html").mapInArrow(induce, "host string, wrapper string")
+    lots = parts.withColumn("lot", F.pmod(F.xxhash64("wrapper"), F.lit(LOTS))).groupBy("host", "lot").applyInPandas(unite, "host string, wrapper string")
+    return lots.groupBy("host").applyInPandas(unite, "host string, wrapper string")
 
 
-#: Bytes of wrappers up to which they are broadcast; beyond, each goes to as many parts of its host's pages as SALT says.
-BROADCAST_BYTES, SALT = 16 << 20, 32
+#: Bytes of wrappers up to which they are broadcast; beyond, each goes to as many parts of its host's pages as SALT says. Bytes of wrappers that a task holds.
+BROADCAST_BYTES, SALT, LOADED = 16 << 20, 32, 32 << 20
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -355,16 +515,21 @@ def extract(pages: DataFrame) -> DataFrame:
         joined = source.join(F.broadcast(known), "host", "left")
     else:
         salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        joined = source.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALT)).cast("int")).join(salted, ["host", "salt"], "left")
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        loaded: dict[str, tuple[str, list]] = {}
-        for pdf in batches:
-            texts = []
-            for host, page, raw in zip(pdf["host"], pdf["html"], pdf["wrapper"]):
-                if raw is not None and loaded.get(host, ("",))[0] != raw:
-                    loaded[host] = raw, json.loads(raw)
-                texts.append("\n".join(blocks_of(parse(page), loaded[host][1] if raw is not None else None)) if page else "")
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
-
-    return joined.select("page_id", "url", "html", "host", "wrapper").mapInPandas(read, "page_id long, url string, text string, n_chars long")
+        joined = source.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALT)).cast("int")).join(salted, ["host", "salt"], "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loaded: dict[str, Part] = {}
+        held = 0
+        for batch in batches:
+            for a in range(0, batch.num_rows, 64):
+                rows, texts = batch.slice(a, 64), []
+                for page, host, raw in zip(*(rows.column(k).to_pylist() for k in (2, 3, 4))):
+                    if raw is not None and host not in loaded:
+                        if held > LOADED:
+                            loaded, held = {}, 0
+                        loaded[host] = labelled(read(raw))
+                        held += len(raw)
+                    texts.append("\n".join(blocks_of(parse(page), loaded.get(host))) if page else "")
+                yield pa.RecordBatch.from_pydict({"page_id": rows.column(0), "url": rows.column(1), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
+
+    return joined.select("page_id", "url", "html", "host", "wrapper").mapInArrow(run, "page_id long, url string, text string, n_chars long")
