@@ -1,17 +1,20 @@
 """Personal data by anchor expansion.
 
 One Aho-Corasick pass over a text finds the anchors: at-signs, plus signs,
-schemes, digits and identifier cues. From each anchor a local parser expands to
-both sides, deterministically, and validates what it has found; nothing else of
-the text is looked at.
+schemes, digits and cues of identifiers and secrets. From each anchor a local
+parser expands to both sides, deterministically, and validates what it has
+found; nothing else of the text is looked at.
 
 Kinds, in their order: email, ip, card and phone (the base), then url (a scheme
-with host and user data or query) and account (an identifier after its cue).
-Spans are in code points, the end exclusive.
+with a well-formed host and user data or query, an address after mailto:, a
+number after tel:), account (an identifier after its cue; check digits, lengths
+and reserved ranges where its kind has some) and secret (a key, token or
+password that a cue assigns). Spans are in code points, the end exclusive.
 
 Cases: a null text is empty and has no spans; equal starts are in the order of
-the kinds; very long runs of one character cost time in proportion; an empty
-table gives no rows; columns other than doc_id and text play no part.
+the kinds; very long runs of one character cost time in proportion; repeated
+rows have the same result each; a null doc_id stays null; an empty table gives
+no rows; columns other than doc_id and text play no part.
 """
 
 from __future__ import annotations
@@ -22,13 +25,18 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone", "url", "account")
+from aislecraft.llm.common import texts_of
+
+KINDS = ("email", "ip", "card", "phone", "url", "account", "secret")
 BASE = KINDS[:4]
 #: Words that announce an identifier.
 CUES = ("iban", "account", "acct", "passport", "ssn", "routing", "customer id", "user id", "tax id")
+#: Words that announce a secret; a sign of assignment follows.
+SECRETS = ("token", "secret", "password", "passwd", "api key", "api_key", "apikey", "api-key", "access key", "access_key", "private key", "private_key")
 SCHEMES = ("http://", "https://", "ftp://", "mailto:", "tel:")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -36,7 +44,11 @@ ZONE = re.compile(r"[0-9.\x20-]+")
 RUNS = re.compile(r"[0-9]+")
 TAIL = re.compile(r"[\x20().0-9-]+")
 URL = re.compile(r"[^\s<>\"']+")
-IDENTIFIER = re.compile(r"[\s:#=.-]{1,4}(?:no\.?|number|nr\.?)?[\s:#=.-]{0,3}([A-Za-z0-9][A-Za-z0-9-]{5,33})")
+HOST = re.compile(r"(?:[^\s/?#@]*@)?((?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+(?:[A-Za-z]{2,}|xn--[A-Za-z0-9-]+|[0-9]{1,3})|localhost|\[[0-9A-Fa-f:.]+\])(?::[0-9]{1,5})?(?=[/?#]|$)")
+IDENTIFIER = re.compile(r"[\s:#=.-]{1,4}(?:no\.?|number|nr\.?)?[\s:#=.-]{0,3}([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){5,41})")
+ASSIGNED = re.compile(r"[\"']?\s{0,3}(?:=>|:=|[:=])\s{0,3}[\"']?([^\s\"',;]{6,512})")
+#: Letters of an IBAN by country, for those that are most common; others have 15 to 34.
+IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
 
 Span = tuple[int, int, int]  # start, place in KINDS, end
 
@@ -47,7 +59,7 @@ def automaton() -> ahocorasick.Automaton:
         found.add_word(d, ("digit", 1))
     found.add_word("@", ("at", 1))
     found.add_word("+", ("plus", 1))
-    for kind, words in (("scheme", SCHEMES), ("cue", CUES)):
+    for kind, words in (("scheme", SCHEMES), ("cue", CUES), ("secret", SECRETS)):
         for w in words:
             for form in {w, w.upper(), w.capitalize(), w.title()}:
                 found.add_word(form, (kind, len(form)))
@@ -111,10 +123,66 @@ def numbers_in(text: str, start: int, end: int) -> Iterator[Span]:
         first = k
 
 
+def iban(value: str) -> bool:
+    value = value.upper()
+    if not re.fullmatch(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", value) or len(value) != IBAN_LENGTHS.get(value[:2], len(value)):
+        return False
+    return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
+
+
+def identifier_at(text: str, cue: str, end: int) -> tuple[int, int] | None:
+    """The identifier behind a cue, if it is a valid one of its kind."""
+    m = IDENTIFIER.match(text, end)
+    if not m:
+        return None
+    start, words = m.start(1), m[1].split(" ")
+    whole = ""
+    best = None
+    for w in words:  # groups that spaces part, as far as they make a valid identifier
+        whole = f"{whole} {w}" if whole else w
+        plain = re.sub("[ -]", "", whole)
+        digits = sum(c.isdigit() for c in plain)
+        if cue == "iban":
+            ok = iban(plain)
+        elif cue == "ssn":
+            ok = re.fullmatch(r"(?!000|666|9)[0-9]{3}(?!00)[0-9]{2}(?!0000)[0-9]{4}", plain) is not None
+        elif cue == "routing":
+            ok = re.fullmatch("[0-9]{9}", plain) is not None and sum(int(c) * k for c, k in zip(plain, (3, 7, 1) * 3)) % 10 == 0
+        elif cue == "passport":
+            ok = 6 <= len(plain) <= 9 and digits >= 4
+        else:  # of no fixed form: the first group with digits enough, or an IBAN
+            ok = best is None and 6 <= len(plain) <= 34 and digits >= 4 or iban(plain)
+        if ok:
+            best = start, start + len(whole)
+    return best
+
+
+def url_at(text: str, scheme: str, end: int) -> int | None:
+    """Where the address behind a scheme ends, if it is well formed and tells of a person: user data, a query, a mailbox or a number."""
+    m = URL.match(text, end)
+    if not m:
+        return None
+    if scheme == "mailto:":
+        ok = re.match(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", m[0])
+    elif scheme == "tel:":
+        ok = re.match(r"\+?[0-9(][0-9().-]{5,}", m[0])
+    else:
+        ok = ("@" in m[0] or "?" in m[0]) and HOST.match(m[0])
+    return m.end() if ok else None
+
+
+def secret_at(text: str, end: int) -> tuple[int, int] | None:
+    """The value that is assigned to a cue of a secret: of several kinds of characters, or long and without a word's form."""
+    m = ASSIGNED.match(text, end)
+    if not m or sum(c.isdigit() for c in m[1]) < 2 or not any(c.isalpha() for c in m[1]):
+        return None
+    return m.start(1), m.end(1)
+
+
 def spans(text: str) -> list[Span]:
     """All spans of a text, sorted."""
     found: list[Span] = []
-    email_end = digit_end = plus_end = url_end = account_end = 0
+    email_end = digit_end = plus_end = url_end = account_end = secret_end = 0
     for last, (kind, size) in ANCHORS.iter(text):
         if kind == "digit":
             if last >= digit_end:
@@ -128,14 +196,22 @@ def spans(text: str) -> list[Span]:
             if last >= plus_end:
                 plus_end, span = phone_at(text, last)
                 found += [span] if span else []
-        elif kind == "scheme":
+        else:
             start = last - size + 1
-            if start >= url_end and (m := URL.match(text, last + 1)) and ("@" in m[0] or "?" in m[0] or text[start : start + 1] in "mMtT"):
-                url_end = m.end()
-                found.append((start, 4, url_end))
-        elif last >= account_end and not text[last - size : last - size + 1].isalnum() and (m := IDENTIFIER.match(text, last + 1)) and sum(c.isdigit() for c in m[1]) >= 4:
-            account_end = m.end(1)
-            found.append((m.start(1), 5, m.end(1)))
+            word = text[start : last + 1].lower()
+            if kind == "scheme":
+                if start >= url_end and (end := url_at(text, word, last + 1)):
+                    url_end = end
+                    found.append((start, 4, url_end))
+            elif start and text[start - 1].isalnum():
+                continue  # within a word
+            elif kind == "secret":
+                if last >= secret_end and (span := secret_at(text, last + 1)):
+                    secret_end = span[1]
+                    found.append((span[0], 6, span[1]))
+            elif last >= account_end and (span := identifier_at(text, word, last + 1)):
+                account_end = span[1]
+                found.append((span[0], 5, span[1]))
     return sorted(found)
 
 
@@ -156,25 +232,22 @@ def redacted(text: str) -> str:
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """Counts of the base kinds, the digest of the base spans and all spans, for each document."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            all_spans = [spans(x) if x else [] for x in pdf["text"]]
-            base = [[s for s in found if s[1] < len(BASE)] for found in all_spans]
-            yield pd.DataFrame(
-                {
-                    "doc_id": pdf["doc_id"],
-                    **{f"n_{kind}": [sum(s[1] == k for s in found) for found in base] for k, kind in enumerate(BASE)},
-                    "base_sha256": [hashlib.sha256(written(found).encode()).hexdigest() for found in base],
-                    "spans": [written(found) for found in all_spans],
-                }
-            )
-
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
+    """Counts of the base kinds, the digest of the base spans, all spans and their number, for each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                rows = batch.slice(a, 1024)
+                found = [spans(x) if x else [] for x in rows.column(1).to_pylist()]
+                base = [[s for s in each if s[1] < len(BASE)] for each in found]
+                out = {"doc_id": rows.column(0)} | {f"n_{kind}": pa.array([sum(s[1] == k for s in each) for each in base], pa.int64()) for k, kind in enumerate(BASE)}
+                out["base_sha256"] = pa.array([hashlib.sha256(written(each).encode()).hexdigest() for each in base], pa.string())
+                out["spans"] = pa.array([written(each) for each in found], pa.string())
+                out["n_spans"] = pa.array([len(each) for each in found], pa.int64())
+                yield pa.RecordBatch.from_pydict(out)
+
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
+    return texts_of(docs).mapInArrow(run, schema)
 
 
 def redact(docs: DataFrame, column: str = "text") -> DataFrame:
