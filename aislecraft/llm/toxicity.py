@@ -12,7 +12,7 @@ once per worker.
 Cases: a null or empty text has the score of an empty bag, which is the share of
 toxic rows learnt from; with no row to learn from every score is 0; a document
 with several labels counts with each; unlabelled rows are scored all the same;
-an empty table gives no rows; columns other than doc_id and text (and toxic in
+repeated rows are learnt from once and scored each; an empty table gives no rows; columns other than doc_id and text (and toxic in
 the labels) play no part, whatever their names.
 """
 
@@ -21,23 +21,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aislecraft.llm.common import learnable
+from aislecraft.llm.common import drawn, learnable, texts_of, worker_cache
 from aislecraft.llm.wordtable import WordTable
 
 #: Rows of the embedding table, and its width.
 BUCKETS, WIDTH = 1 << 17, 4
 #: Lengths in bytes of the n-grams of a word in its marks < and >.
 GRAMS = (3, 4, 5, 6)
-#: Labelled documents to learn from, at most: of class 0 and of class 1.
-SAMPLE_DOCS = (4000, 2000)
+#: Labelled documents to learn from, about: of class 0 and of class 1; bytes of one of them at most.
+SAMPLE_DOCS, SAMPLE_BYTES = (5000, 2500), 1 << 15
 EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY = 10, 600, 64, 0.03, 1e-2
 #: Zero vectors that take part in every mean.
 PAD = 20
-#: Bytes of a word that take part in one bag; a longer one is cut into several words.
+#: Letters of a word that take part in one bag; a longer one is cut into several words.
 LONGEST = 40
 #: A score from which on a document counts as toxic.
 THRESHOLD = 0.7
@@ -133,13 +133,13 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return rows.astype(np.uint32), np.bincount(inverse, share).astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_docs: tuple[int, int] = SAMPLE_DOCS) -> tuple[np.ndarray, float] | None:
-    """Margins of a model learnt from `docs` (doc_id, text) with `labels` (doc_id, toxic): of each class the documents whose hashed ids come first, a bounded number."""
-    known = labels.where(F.col("toxic").isin(0, 1) & F.coalesce(learnable(F.col("doc_id")), F.lit(False))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    first = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for c, n in enumerate(sample_docs)]
-    sample = first[0].unionByName(first[1])
-    picked = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")  # at most sample_docs rows
-    rows = sorted(((r["doc_id"], r["toxic"], r["text"] or "") for r in picked.collect()), key=lambda r: r[:2])
+def fit(docs: DataFrame, labels: DataFrame, sample_docs: tuple[int, int] = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> tuple[np.ndarray, float] | None:
+    """Margins of a model learnt from `docs` (doc_id, text) with `labels` (doc_id, toxic): about `sample_docs` of each class, drawn by hash."""
+    known = labels.where(F.col("toxic").isin(0, 1) & F.coalesce(learnable(F.col("doc_id")), F.lit(False))).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+    marked = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(known, "doc_id")
+    most = F.element_at(F.array(*(F.lit(float(n)) for n in sample_docs)), F.col("label") + 1)
+    picked = drawn(marked, "toxic", most, sample_bytes).collect()  # bounded by the two parameters
+    rows = sorted(((r["key"], r["label"], r["text"]) for r in picked), key=lambda r: r[:2])
     if not rows:
         return None
     y = np.array([r[1] for r in rows])
@@ -154,19 +154,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: tuple[int, int] = SAMPL
     return model.margins()
 
 
-_TABLES: dict[int, WordTable] = {}
-
-
 def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ids = texts_of(docs)
     held = F.coalesce(~learnable(F.col("doc_id")), F.lit(False)).alias("held_out")
     if model is None:
         return ids.select("doc_id", held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     spread = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers, whatever the input
     key = hash(model[0].tobytes())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         margins, bias = spread.value
 
         def rows(words: list[str]) -> np.ndarray:
@@ -174,15 +171,13 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, threshold: fl
             n = np.bincount(owner, minlength=len(words))
             return np.stack((np.bincount(owner, margins[buckets], len(words)) / n, np.ones(len(words))), axis=1)
 
-        if key not in _TABLES:
-            _TABLES.clear()
-            _TABLES[key] = WordTable(rows, 2)
-        for pdf in batches:
-            for a in range(0, len(pdf), 512):
-                part = pdf.iloc[a : a + 512]
-                sums = _TABLES[key].sums([words_of(x) if x else [] for x in part["text"]])
+        known: WordTable = worker_cache(("toxicity", key), lambda: WordTable(rows, 2))
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                sums = known.sums([words_of(x) if x else [] for x in part.column(1).to_pylist()])
                 odds = sums[:, 0] / (sums[:, 1] + PAD) + bias
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "score": 1 / (1 + np.exp(-np.clip(odds, -500, 500)))})
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "score": pa.array(1 / (1 + np.exp(-np.clip(odds, -500, 500))))})
 
-    out = ids.mapInPandas(run, "doc_id long, score double")
+    out = ids.mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", held, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

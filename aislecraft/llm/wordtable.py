@@ -6,9 +6,9 @@ import numpy as np
 
 
 class WordTable:
-    """word -> a row of `width` numbers; emptied when it outgrows `limit` words, so that memory stays bounded."""
+    """word -> a row of `width` numbers; emptied when it outgrows `limit` words (of a bounded length each), so that memory stays bounded."""
 
-    def __init__(self, compute, width: int, limit: int = 500_000):
+    def __init__(self, compute, width: int, limit: int = 300_000):
         self.compute, self.width, self.limit = compute, width, limit
         self.clear()
 
