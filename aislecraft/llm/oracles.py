@@ -40,8 +40,9 @@ def _urls() -> str:
         f"split AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)",
         f"judged AS (SELECT *, {_pick([h + p for _, h, p in ordered], fits)} AS rule, {_pick([v for v, _, _ in ordered], fits)} AS by_rule, list_transform(string_split(regexp_replace(path, '^/', ''), '/'), lambda s: CASE WHEN regexp_matches(s, '[0-9]') THEN '*' || regexp_extract(s, '(\\.[A-Za-z]{{1,5}})$', 1) ELSE s END) AS general FROM split)",
         f"shaped AS (SELECT *, array_to_string(CASE WHEN len(general) > {tree.DEPTH} THEN list_append(general[1:{tree.DEPTH}], '**') ELSE general END, '/') AS shape FROM judged)",
-        "t0 AS (SELECT *, string_split(shape, '/') AS parts, '' AS template FROM (SELECT host, shape, count(*) AS n, count(*) FILTER (WHERE by_rule = 'block') AS bad, count(*) FILTER (WHERE by_rule = 'allow') AS good FROM shaped GROUP BY 1, 2))",
+        f"t0 AS (SELECT *, own AS parent, own AS share FROM (SELECT *, string_split(shape, '/') AS parts, '' AS template, (sum(bad) OVER h + {tree.WEIGHT} * 0.5) / (sum(bad) OVER h + sum(good) OVER h + {tree.WEIGHT}) AS own FROM (SELECT host, shape, count(*) AS n, count(*) FILTER (WHERE by_rule = 'block') AS bad, count(*) FILTER (WHERE by_rule = 'allow') AS good FROM shaped GROUP BY 1, 2) WINDOW h AS (PARTITION BY host)))",
     ]
+    w = tree.WEIGHT
     for k in range(1, tree.DEPTH + 2):
         branch, level = "OVER (PARTITION BY host, template, part)", "OVER (PARTITION BY host, template)"
         of = lambda c: f"sum(CASE WHEN part IS NOT NULL THEN {c} ELSE 0 END)"
@@ -49,12 +50,15 @@ def _urls() -> str:
             f"a{k} AS (SELECT *, {of('bad')} {branch} AS b_bad, {of('good')} {branch} AS b_good, {of('n')} {level} AS l_n, {of('bad')} {level} AS l_bad, {of('good')} {level} AS l_good, count(DISTINCT part) {level} AS l_parts FROM (SELECT *, parts[{k}] AS part FROM t{k - 1}))"
         )
         common = "((l_bad + 1) / (l_bad + l_good + 2))"
-        alike = f"(b_bad + b_good = 0 OR abs(b_bad / greatest(b_bad + b_good, 1) - {common}) <= {tree.ALIKE} * sqrt({common} * (1 - {common}) / greatest(b_bad + b_good, 1)))"
+        alike = f"(b_bad + b_good > 0 AND abs(b_bad / greatest(b_bad + b_good, 1) - {common}) <= {tree.ALIKE} * sqrt({common} * (1 - {common}) / greatest(b_bad + b_good, 1)))"
         variable = f"(l_parts >= {tree.LEAST_SEGMENTS} AND l_parts >= {tree.SPREAD} * l_n)"
-        views.append(f"t{k} AS (SELECT host, shape, n, bad, good, parts, CASE WHEN part IS NULL THEN template ELSE template || '/' || CASE WHEN {variable} OR (l_parts > 1 AND {alike}) THEN '*' ELSE part END END AS template FROM a{k})")
-    last, w = f"t{tree.DEPTH + 1}", tree.WEIGHT
+        general = f"CASE WHEN {variable} THEN '*' WHEN l_parts > 1 AND {alike} THEN '#' ELSE part END"
+        views.append(f"b{k} AS (SELECT host, shape, n, bad, good, parts, part, parent, share, CASE WHEN part IS NULL THEN template ELSE template || '/' || {general} END AS template FROM a{k})")
+        views.append(
+            f"t{k} AS (SELECT host, shape, n, bad, good, parts, template, CASE WHEN part IS NULL THEN parent ELSE share END AS parent, CASE WHEN part IS NULL THEN share ELSE (sum(bad) {level} + {w} * share) / (sum(bad) {level} + sum(good) {level} + {w}) END AS share FROM b{k})"
+        )
     views.append(
-        f"rejected AS (SELECT host, shape FROM (SELECT host, shape, (sum(bad) OVER t + {w} * (sum(bad) OVER h + {w} * 0.5) / (sum(bad) OVER h + sum(good) OVER h + {w})) / (sum(bad) OVER t + sum(good) OVER t + {w}) AS purity FROM {last} WINDOW t AS (PARTITION BY host, template), h AS (PARTITION BY host)) WHERE purity >= {tree.REJECT} AND host <> '')"
+        f"rejected AS (SELECT host, shape FROM (SELECT host, shape, parent, sum(bad) OVER t AS t_bad, sum(good) OVER t AS t_good FROM t{tree.DEPTH + 1} WINDOW t AS (PARTITION BY host, template)) WHERE t_bad + t_good >= {tree.LEAST_LABELS} AND (t_bad + {w} * parent) / (t_bad + t_good + {w}) >= {tree.REJECT} AND host <> '')"
     )
     return "WITH " + ", ".join(views) + " SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN r.host IS NOT NULL THEN 'block' END, 'allow') AS verdict FROM shaped LEFT JOIN rejected r USING (host, shape)"
 
