@@ -3,20 +3,30 @@
 The neighbour graph of a bounded sample is cut into balanced parts with as few
 cut edges as local moves find. A small classifier learns from the vectors which
 part they, and their neighbours, are in. It assigns every vector of the table to
-its most probable part, and routes a query to its PROBES most probable ones,
-where all vectors are reranked by exact cosine in double precision. Parts are
-dealt to tasks in blocks, and so are a part's queries, so that a part or a
-vector that holds a third of all rows is many tasks.
-
-Cases: vectors that are null, zero, of another length than most, or that hold
-null or non-finite components take no part, neither as query nor as candidate;
-ties go to the smaller vec_id; repeated rows of a vec_id count each, but a query
-never finds its own id; fewer candidates than asked for are all returned; an
-empty table gives no rows; columns other than vec_id and embedding play no part.
+its most probable part, and routes a query to its most probable ones, where all
+vectors are reranked by exact cosine in double precision. The parts follow the
+number of vectors: a part that is larger than LEAF has parts of its own, learnt
+in the same way, part by part, from a bounded sample of it. How many parts a
+query is routed to is measured: as few as find WANTED of the true neighbours of
+sample vectors that the classifier has not learnt from.
+
+A leaf's vectors are dealt to tasks in blocks and its queries in turns, by its
+own two numbers, so that a leaf or a vector that holds a third of all rows is
+many tasks, and one with few queries is not copied.
+
+Cases: vectors that are null, zero, of another length than most of the index, or
+that hold null or non-finite components take no part, neither as query nor as
+candidate; very small and very large components are scaled before squares are
+taken; ties go to the smaller vec_id; rows of the index that repeat a vec_id
+count as candidates each; queries that repeat a vec_id are one query each for
+every different vector, told apart by query_row, and a query never finds its own
+id; fewer candidates than asked for are all returned; an empty table gives no
+rows; columns other than vec_id and embedding play no part.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,15 +34,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors that the partitions are learnt from, at most.
-SAMPLE = 6000
-#: Parts, parts that a query is routed to, and neighbours in the graph.
-PARTS, PROBES, NEIGHBOURS = 16, 13, 10
+from aislecraft.llm.common import small_enough, stored
+
+#: Vectors that the partitions of a level are learnt from, at most; of these, as many as one in HELD_OUT measure the probes.
+SAMPLE, HELD_OUT = 6000, 10
+#: Vectors of a leaf, about; parts of one level, at most; neighbours in the graph.
+LEAF, MOST_PARTS, NEIGHBOURS = 2048, 64, 10
+#: Share of the true neighbours that the probes have to find in the sample.
+WANTED = 0.96
 #: How far a part of the sample may outgrow the mean.
 SLACK = 1.1
 HIDDEN, STEPS, BATCH, RATE = 64, 600, 256, 0.01
 #: Vectors and queries that one task holds at a time.
 BLOCK, HELD = 8192, 2048
+#: Bytes of the leaves' sizes up to which they are broadcast.
+BROADCAST_BYTES = 32 << 20
 K = 5
 
 
@@ -110,27 +126,25 @@ class Router:
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
-    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    scaled = rows / np.abs(rows).max(axis=1, keepdims=True)  # squares neither vanish nor overflow
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and x (array<double>) of the vectors that take part."""
+    """vec_id and x (array<double>) of the vectors that can take part."""
     x = F.col("embedding").cast("array<double>")
-    good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).where(
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).where(
         F.col("vec_id").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("x", lambda v: v != 0)
     )
-    widths = good.groupBy(F.size("x").alias("width")).count().orderBy(F.desc("count"), "width").first()  # one row
-    return good.where(F.size("x") == (widths["width"] if widths else 0))
 
 
-def fit(good: DataFrame, sample: int = SAMPLE, parts: int = PARTS) -> Router | None:
-    """A router learnt from the vectors whose hashed ids come first, a bounded number."""
-    rows = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    if not rows:
-        return None
-    x = unit(np.array([r["x"] for r in rows]))
-    while parts > 1 and parts * 4 > len(x):
+def learnt(rows: np.ndarray, parts: int) -> Router | None:
+    """A router to `parts` parts (fewer where the rows are few; none where that leaves one)."""
+    while parts > 1 and parts * 4 > len(rows):
         parts //= 2
+    if parts < 2:
+        return None
+    x = unit(rows)
     near = neighbour_graph(x, NEIGHBOURS)
     part = balanced_parts(x, near, parts)
     target = np.zeros((len(x), parts))
@@ -140,56 +154,122 @@ def fit(good: DataFrame, sample: int = SAMPLE, parts: int = PARTS) -> Router | N
     return Router(x, target / target.sum(axis=1, keepdims=True))
 
 
-def routed(good: DataFrame, router: Router, probes: int) -> DataFrame:
-    """vec_id, x and its `probes` most probable parts, most probable first."""
+def parts_for(n: int, leaf: int, most: int) -> int:
+    """A power of two of parts for n vectors of a level, about `leaf` in each, `most` at most."""
+    return min(most, 1 << max(0, -(-n // leaf) - 1).bit_length())
+
+
+class Tree:
+    """Routers of two levels: `top` to the parts, `below` (part -> router) to the leaves of those that are divided. A leaf is (part, leaf of it)."""
+
+    def __init__(self, top: Router | None, below: dict[int, Router], most: int):
+        self.top, self.below, self.most, self.probes = top, below, most, 1
+
+    def leaves(self, x: np.ndarray, most: int) -> list[np.ndarray]:
+        """For each row of unit vectors its `most` most probable leaves, most probable first."""
+        p = self.top.probabilities(x) if self.top else np.ones((len(x), 1))
+        ids, shares = [], []
+        for k in range(p.shape[1]):
+            q = self.below[k].probabilities(x) if k in self.below else np.ones((len(x), 1))
+            ids += [k * self.most + j for j in range(q.shape[1])]
+            shares.append(p[:, k : k + 1] * q)
+        return list(np.array(ids, np.int32)[np.argsort(-np.concatenate(shares, axis=1), axis=1, kind="stable")[:, :most]])
+
+
+def measured(tree: Tree, x: np.ndarray, asked: np.ndarray, k: int) -> int:
+    """The fewest leaves with which WANTED of the k nearest of `x` are found for the rows `asked` of unit vectors."""
+    s = asked @ x.T
+    near = np.argpartition(-s, min(k, len(x) - 1), axis=1)[:, :k] if len(x) > k else np.tile(np.arange(len(x)), (len(asked), 1))
+    own = np.array([leaf[0] for leaf in tree.leaves(x, 1)])
+    places = [{int(v): j for j, v in enumerate(leaves)} for leaves in tree.leaves(asked, 1 << 30)]
+    found = np.sort(np.array([place[int(own[j])] for place, row in zip(places, near) for j in row]))
+    return int(found[min(len(found) - 1, int(np.ceil(WANTED * len(found))) - 1)]) + 1 if len(found) else 1
+
+
+def fit(good: DataFrame, n: int, k: int = K, sample: int = SAMPLE, leaf: int = LEAF, most: int = MOST_PARTS) -> Tree | None:
+    """A tree of routers learnt from `n` vectors: of each level a bounded number, those whose hashed ids come first."""
+    rows = np.array([r["x"] for r in good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()])
+    if not len(rows):
+        return None
+    held = max(1, len(rows) // HELD_OUT)
+    tree = Tree(learnt(rows[held:], parts_for(n, leaf, most)), {}, most)
+    if n > leaf * most and tree.top:  # parts with leaves of their own
+        spread = good.sparkSession.sparkContext.broadcast(tree)
+
+        def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    pdf["part"] = np.array([found[0] // most for found in spread.value.leaves(unit(np.stack(pdf["x"].to_list())), 1)], np.int32)
+                    yield pdf[["vec_id", "x", "part"]]
+
+        def below(pdf: pd.DataFrame) -> pd.DataFrame:
+            router = learnt(np.stack(pdf["x"].to_list()), parts_for(int(pdf["n"].iloc[0]), leaf, most))
+            return pd.DataFrame({"part": pdf["part"].iloc[:1], "router": [pickle.dumps(router)]})
+
+        dealt = good.mapInPandas(assign, "vec_id long, x array<double>, part int")
+        sizes = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf)
+        # a rate keeps about `sample` of a part, whatever its size
+        place = F.pmod(F.xxhash64("vec_id", "x"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        drawn = dealt.join(F.broadcast(sizes), "part").where(place < sample / F.col("n"))
+        tree.below = {r["part"]: router for r in drawn.groupBy("part").applyInPandas(below, "part int, router binary").collect() if (router := pickle.loads(r["router"]))}  # at most MOST_PARTS rows of bounded size
+    tree.probes = measured(tree, unit(rows[held:]), unit(rows[:held]), k)
+    return tree
+
+
+def routed(good: DataFrame, tree: Tree, probes: int) -> DataFrame:
+    """vec_id, x and its `probes` most probable leaves, most probable first."""
+    spread = good.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                p = router.probabilities(unit(np.stack(pdf["x"].to_list())))
-                pdf["parts"] = list(np.argsort(-p, axis=1, kind="stable")[:, :probes].astype(np.int32))
-                yield pdf[["vec_id", "x", "parts"]]
+                pdf["leaves"] = spread.value.leaves(unit(np.stack(pdf["x"].to_list())), probes)
+                yield pdf[["vec_id", "x", "leaves"]]
 
-    return good.mapInPandas(run, "vec_id long, x array<double>, parts array<int>")
+    return good.mapInPandas(run, "vec_id long, x array<double>, leaves array<int>")
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int = PROBES, sample: int = SAMPLE) -> DataFrame:
-    """query_id, rank, vec_id, score: for each of `queries` (vec_id, embedding) the k nearest of `vectors` that are found."""
+def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int | None = None, sample: int = SAMPLE, leaf: int = LEAF, most: int = MOST_PARTS) -> DataFrame:
+    """query_id, rank, vec_id, score and query_row (which tells queries of one id apart): for each of `queries` (vec_id, embedding) the k nearest of `vectors` that are found."""
     good = usable(vectors)
-    router = fit(good, sample)
-    empty = good.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if router is None:
+    widths = good.groupBy(F.size("x").alias("width")).count().orderBy(F.desc("count"), "width").first()  # one row
+    empty = good.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double, query_row long")
+    if widths is None:
         return empty
-    parts = router.p["d"].size
-    asked = usable(queries)
-    blocks = max(1, -(-good.count() // (parts * BLOCK)) * 2)
-    turns = max(1, -(-asked.count() * min(probes, parts) // (parts * HELD)) * 2)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    index = routed(good, router, 1).select("vec_id", "x", F.col("parts")[0].alias("part"), dealt(blocks).alias("block"), every(turns).alias("turn"))
-    wanted = routed(asked, router, probes).select("vec_id", "x", F.explode("parts").alias("part"), dealt(turns).alias("turn")).withColumn("block", every(blocks))
+    good = good.where(F.size("x") == widths["width"])
+    asked = usable(queries).where(F.size("x") == widths["width"]).distinct()
+    tree = fit(good, widths["count"], k, sample, leaf, most)
+    index = stored(routed(good, tree, 1).select("vec_id", "x", F.col("leaves")[0].alias("leaf")), "index")
+    wanted = stored(routed(asked, tree, probes or tree.probes).select("vec_id", "x", F.xxhash64("vec_id", "x").alias("row"), F.explode("leaves").alias("leaf")), "asked")
+    # blocks of a leaf's vectors and turns of its queries: a row for each leaf
+    shares = index.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).join(wanted.groupBy("leaf").agg(F.count(F.lit(1)).alias("q")), "leaf")
+    shares = stored(shares.select("leaf", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("q") / HELD).cast("int").alias("turns")), "shares")
+    hint = F.broadcast if small_enough(shares, BROADCAST_BYTES, F.lit(32)) else (lambda df: df)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    salt = F.xxhash64("vec_id", F.monotonically_increasing_id())  # rows that repeat a vector are dealt out, too
+    index = index.withColumn("salt", salt).join(hint(shares), "leaf").select("vec_id", "x", "leaf", F.pmod("salt", F.col("blocks")).cast("int").alias("block"), every("turns").alias("turn"))
+    wanted = wanted.join(hint(shares), "leaf").select("vec_id", "x", "row", "leaf", F.pmod("row", F.col("turns")).cast("int").alias("turn"), every("blocks").alias("block"))
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": np.array([], np.int64), "vec_id": np.array([], np.int64), "score": np.array([], float)})
+        none = pd.DataFrame({"query_id": np.array([], np.int64), "vec_id": np.array([], np.int64), "score": np.array([], float), "query_row": np.array([], np.int64)})
         if not len(left) or not len(right):
             return none
         left = left.sort_values("vec_id", kind="stable")
-        ids, x, out = left["vec_id"].to_numpy(), np.stack(left["x"].to_list()), []
-        norms = np.sqrt((x * x).sum(axis=1))
+        ids, x, out = left["vec_id"].to_numpy(), unit(np.stack(left["x"].to_list())), []
         for a in range(0, len(right), 256):
-            q = np.stack(right["x"].iloc[a : a + 256].to_list())
-            qid = right["vec_id"].iloc[a : a + 256].to_numpy()
-            s = (q @ x.T) / (np.sqrt((q * q).sum(axis=1))[:, None] * norms)
+            part = right.iloc[a : a + 256]
+            q, qid, rows = unit(np.stack(part["x"].to_list())), part["vec_id"].to_numpy(), part["row"].to_numpy()
+            s = q @ x.T
             s[qid[:, None] == ids[None, :]] = -np.inf
-            for row, me in zip(s, qid):
+            for j, row in enumerate(s):
                 floor = np.partition(row, -k)[-k] if len(row) > k else -np.inf
                 near = np.flatnonzero((row >= floor - 1e-12) & (row > -np.inf))
-                exact = (x[near] * q[np.flatnonzero(qid == me)[0]]).sum(axis=1) / (norms[near] * np.sqrt((q[np.flatnonzero(qid == me)[0]] ** 2).sum()))
-                near_order = np.lexsort((ids[near], -exact))[:k]
-                out.append((np.full(len(near_order), me), ids[near][near_order], exact[near_order]))
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out))))) if out else none
-
-    keys = ["part", "block", "turn"]
-    found = index.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInPandas(nearest, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+                exact = np.clip((x[near] * q[j]).sum(axis=1), -1, 1)
+                order = np.lexsort((ids[near], -exact))[:k]
+                out.append((np.full(len(order), qid[j]), ids[near][order], exact[order], np.full(len(order), rows[j])))
+        return pd.DataFrame(dict(zip(none.columns, map(np.concatenate, zip(*out)))))
+
+    keys = ["leaf", "block", "turn"]
+    found = index.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInPandas(nearest, "query_id long, vec_id long, score double, query_row long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "query_row")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from aislecraft.llm import ann, bpe, decontam, html_wrapper, langid, ngram_join, pii, toxicity, url_tree, wavelet, wordcache
+from aislecraft.llm import queries as queries_of_llm
 from aislecraft.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n long, v long, g long, words string, start long, term string, host string"
@@ -554,6 +555,59 @@ def test_ann_recall(spark):
     assert sorted((r["query_id"], r["vec_id"]) for r in ann.search(few, few.where("vec_id = 0")).collect()) == [(0, 1), (0, 2)]
 
 
+def brute_nearest(rows, queries, k=5):
+    """The k nearest of `rows` (vec_id, vector) for each query, by decimal-free exact cosine."""
+    x = ann.unit(np.array([v for _, v in rows]))
+    ids, out = np.array([i for i, _ in rows]), {}
+    for n, (i, v) in enumerate(queries):
+        s = x @ ann.unit(np.array([v]))[0]
+        order = [j for j in np.lexsort((ids, -s)) if ids[j] != i][:k]
+        out[n] = [(int(ids[j]), float(s[j])) for j in order]
+    return out
+
+
+def test_ann_recall_of_the_registered_query(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in vectors.collect() if r["embedding"] is not None and all(v is not None and np.isfinite(v) for v in r["embedding"]) and any(r["embedding"])]
+    queries = [r for r in rows if r[0] % 50 == 0]
+    got = queries_of_llm.op1_learned_partitions(spark, "/root/testdata/sf0.1").collect()
+    want, found = brute_nearest(rows, queries), {(r["query_id"], r["vec_id"]) for r in got}
+    hits = sum((i, j) in found for n, (i, _) in enumerate(queries) for j, _ in want[n])
+    assert hits / (5 * len(queries)) >= 0.9 and len(got) == 5 * len(queries)
+
+
+def test_ann_in_leaves_of_two_levels(spark, monkeypatch):
+    for name, value in (("BLOCK", 16), ("HELD", 5)):
+        monkeypatch.setattr(ann, name, value)
+    r = np.random.default_rng(3)
+    x = np.repeat(r.normal(size=(40, 12)), 30, axis=0) + 0.3 * r.normal(size=(1200, 12))
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    tree = ann.fit(ann.usable(df), 1200, sample=800, leaf=40, most=4)
+    assert tree.below and tree.probes < 12
+    got = ann.search(df, df.where("vec_id % 20 = 0"), sample=800, leaf=40, most=4).collect()
+    want, found = brute_nearest(rows, rows[::20]), {(r["query_id"], r["vec_id"]) for r in got}
+    assert sum((20 * n, j) in found for n in want for j, _ in want[n]) / (5 * len(want)) >= 0.9
+    assert [len({r["rank"] for r in got if r["query_id"] == 20 * n}) for n in want] == [5] * len(want)
+
+
+def test_ann_awkward_vectors(spark):
+    schema = "vec_id long, embedding array<double>"
+    base = [(k, [1.0, float(k), 2.0]) for k in range(1, 12)]
+    df = spark.createDataFrame(base + [(50, [1e-200, 2e-200, 0.0]), (51, [1e200, 2e200, 0.0])], schema)
+    asked = spark.createDataFrame([(1, [1.0]), (50, [1e-200, 2e-200, 0.0]), (7, [1.0, 7.0, 2.0]), (7, [-1.0, -7.0, -2.0]), (7, [1.0, 7.0, 2.0])], schema)
+    got = ann.search(df, asked).collect()
+    assert all(np.isfinite(r["score"]) and abs(r["score"]) <= 1 for r in got) and {r["query_id"] for r in got} == {7, 50}
+    assert [r["vec_id"] for r in got if r["query_id"] == 50 and r["rank"] == 1] == [51]
+    of = {}
+    for r in got:
+        if r["query_id"] == 7:
+            of.setdefault(r["query_row"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert len(of) == 2 and all(len(v) == 5 for v in of.values()) and 7 not in {v for rows in of.values() for _, v, _ in rows}
+    assert sorted(min(s for *_, s in rows) > 0 for rows in of.values()) == [False, True]
+    assert ann.search(df, asked.limit(0)).count() == 0
+
+
 def test_balanced_parts():
     x = ann.unit(np.random.default_rng(2).normal(size=(800, 8)))
     part = ann.balanced_parts(x, ann.neighbour_graph(x, 10), 8)
