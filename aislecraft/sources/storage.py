@@ -9,12 +9,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The temporary folders of local sessions that name none, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir`, or a temporary one where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        if spark.sparkContext.applicationId not in _LOCAL:
+            _LOCAL[spark.sparkContext.applicationId] = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        found = _LOCAL[spark.sparkContext.applicationId]
     return found.rstrip("/")
 
 
@@ -23,9 +30,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the shared folder and read back: its plan and its executors are no longer needed."""
+    """`df` written to the shared folder and read back: its plan and its executors are no longer needed. The table goes with the session, or before by `discard`."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
