@@ -258,5 +258,8 @@ def join(docs: DataFrame) -> DataFrame:
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """One row of each component stays, the one of the smallest doc_id; rows without doc_id stay all."""
     first = join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    kept = docs.join(first, "doc_id", "left_semi")
+    # of rows that share the doc_id the one whose text, then whose whole row, sorts first
+    row = F.struct(F.struct("text", F.xxhash64(*docs.columns)).alias("order"), F.struct(*docs.columns).alias("row"))
+    least = kept.groupBy("doc_id").agg(F.min_by(row["row"], row["order"]).alias("row")).select("row.*")
+    return least.unionByName(docs.where(F.col("doc_id").isNull()))
