@@ -44,9 +44,16 @@ def once(rows: DataFrame, *keys: str) -> DataFrame:
 
 def dense_ids(rows: DataFrame, column: str, name: str = "idx") -> DataFrame:
     """column, idx: ids from 0 in the order of the values, numbered in parallel."""
-    kind = dict(rows.dtypes)[column]
-    ordered = rows.select(column).distinct().orderBy(column)
-    return ordered.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1])).toDF(f"{column} {kind}, {name} long")
+    return places(rows.select(column).distinct(), F.col(column).asc_nulls_first(), name=name)
+
+
+def places(rows: DataFrame, *order: Column, name: str = "place") -> DataFrame:
+    """`rows` with their places from 0 in an order, numbered in parallel: range partitions, a row for each of them with its size, and places within."""
+    ranges = stored(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranges.withColumn("_inside", inside).join(F.broadcast(starts), "_range").select(*rows.columns, (F.col("_start") + F.col("_inside")).cast("long").alias(name))
 
 
 def restrict(rows: DataFrame, known: DataFrame, column: str) -> DataFrame:
@@ -87,9 +94,9 @@ def prune_features(features: DataFrame, least: int = 5, most_share: float = 0.30
 def without_top_pop(inter: DataFrame, share: float = 0.2) -> DataFrame:
     """Without the floor(n * share) items of the largest rating sums; ties go by item."""
     sums = inter.groupBy("item_id").agg(F.sum("rating").alias("s"))
-    ranked = sums.select("item_id", F.row_number().over(Window.orderBy(F.desc(F.round("s", 9)), "item_id")).alias("r"), F.lit(1).alias("one"))  # item-sized
-    n = F.count("one").over(Window.partitionBy("one"))
-    return remove(inter, ranked.withColumn("n", n).where(F.col("r") <= F.floor(F.col("n") * share)), "item_id")
+    ranked = places(sums, F.desc(F.round("s", 9)), F.col("item_id"))
+    n = ranked.agg(F.floor(F.count(F.lit(1)) * share).alias("_most"))
+    return remove(inter, ranked.crossJoin(F.broadcast(n)).where(F.col("place") < F.col("_most")), "item_id")  # one row
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:

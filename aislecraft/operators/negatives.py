@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from aislecraft.functions.hashing import hash_int, hash_uniform
 from aislecraft.operators.ingest import dense_ids
+from aislecraft.sources.storage import stored
 
 
 def draws(users: DataFrame, items: DataFrame, limit: Column, seed: object) -> DataFrame:
@@ -25,7 +26,7 @@ def unseen(drawn: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def fixed_negatives(users: DataFrame, seen: DataFrame, items: DataFrame, n: int, seed: object) -> DataFrame:
-    """user_id, item_id, rn: n unseen items of each user (fewer if the draws have fewer)."""
+    """user_id, item_id, rn: n unseen items of each user, fewer only where a user has seen all others."""
     return limited_negatives(users, seen, items, F.lit(n), seed)
 
 
@@ -33,7 +34,18 @@ def limited_negatives(users: DataFrame, seen: DataFrame, items: DataFrame, limit
     """As many as `limit`, a column of `users`."""
     left = unseen(draws(users, items, limit, seed), seen)
     rn = F.row_number().over(Window.partitionBy("user_id").orderBy("k"))
-    return left.withColumn("rn", rn).where(F.col("rn") <= F.col("_limit")).select("user_id", "item_id", "rn")
+    drawn = stored(left.withColumn("rn", rn).where(F.col("rn") <= F.col("_limit")).select("user_id", "item_id", "rn"), "drawn")
+    # users whose draws fell short: they have seen most items, or there are few, so that all their unseen items are as good as a draw
+    limits = users.withColumn("_limit", limit).select("user_id", F.col("_limit").cast("long").alias("_limit"))
+    had = drawn.groupBy("user_id").agg(F.count(F.lit(1)).alias("_had"))
+    short = stored(limits.join(had, "user_id", "left").select("user_id", "_limit", F.coalesce("_had", F.lit(0)).alias("_had")).where("_had < _limit"), "short")
+    if short.isEmpty():
+        return drawn
+    every = short.crossJoin(items.select("item_id").distinct())  # of those few users only
+    rest = unseen(unseen(every, seen), drawn).withColumn("_h", hash_int(seed, F.lit("rest"), F.col("user_id"), F.col("item_id")))
+    rn = F.row_number().over(Window.partitionBy("user_id").orderBy("_h", "item_id")) + F.col("_had")
+    more = rest.withColumn("rn", rn).where(F.col("rn") <= F.col("_limit")).select("user_id", "item_id", "rn")
+    return drawn.unionByName(more)
 
 
 def weighted_negatives(pool: DataFrame, seen: DataFrame, n: int, seed: object) -> DataFrame:

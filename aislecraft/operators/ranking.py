@@ -63,10 +63,11 @@ def add_noise(scores: DataFrame, weight: float = 1e-3, seed: int = 97) -> DataFr
 
 def reduce_score(scores: DataFrame, share: float = 0.1) -> DataFrame:
     """Scores of the last share of the users (by id) become 0."""
-    users = scores.select("user_id").distinct()
-    n = users.agg(F.count(F.lit(1)).alias("_n"))
-    place = users.withColumn("_r", F.row_number().over(Window.orderBy(F.desc("user_id")))).crossJoin(F.broadcast(n))  # user-sized; one row
-    last = place.where(F.col("_r") <= F.floor(F.col("_n") * share)).select("user_id", F.lit(True).alias("_last"))
+    from aislecraft.operators.ingest import places
+
+    users = places(scores.select("user_id").distinct(), F.desc("user_id"))
+    n = users.agg(F.floor(F.count(F.lit(1)) * share).alias("_most"))
+    last = users.crossJoin(F.broadcast(n)).where(F.col("place") < F.col("_most")).select("user_id", F.lit(True).alias("_last"))  # one row
     return scores.join(last, "user_id", "left").select("user_id", "item_id", F.when(F.col("_last"), 0.0).otherwise(F.col("score")).alias("score"))
 
 

@@ -56,7 +56,7 @@ def similar(matrix: DataFrame, kind: str = "cosine", k: int = 100, shrink: float
     pairs = cooccurrence(left, mirrored=False)
     norm = matrix.groupBy("col").agg(F.sum(F.col("value") * F.col("value")).alias("s"))
     joined = pairs.join(norm.select(F.col("col").alias("i"), F.col("s").alias("si")), "i").join(norm.select(F.col("col").alias("j"), F.col("s").alias("sj")), "j")
-    if kind == "asymmetric":
+    if kind in ("asymmetric", "tversky"):  # the two directions differ
         joined = mirror(joined.select("i", "j", "dot", F.struct("i", "si", "sj").alias("o")))
         straight = F.col("i") == F.col("o.i")
         joined = joined.select("i", "j", "dot", F.when(straight, F.col("o.si")).otherwise(F.col("o.sj")).alias("si"), F.when(straight, F.col("o.sj")).otherwise(F.col("o.si")).alias("sj"))
@@ -118,14 +118,15 @@ def overlap(content: DataFrame, collaborative: DataFrame) -> DataFrame:
     return both.agg(F.count(F.lit(1)).alias("pairs"), F.count("_c").alias("shared"), (F.count("_c") / F.count(F.lit(1))).alias("share"))
 
 
-def of_factors(factors: DataFrame, k: int, blocks: int = 4) -> DataFrame:
+def of_factors(factors: DataFrame, k: int, block: int = 4096) -> DataFrame:
     """src, dst, weight, rank: the k largest dot products of each vector (id, vec), self excluded.
 
-    Vectors are dealt into blocks and each pair of blocks is one matrix product.
+    Vectors are dealt into blocks of about `block`, as many as their number asks for, and each pair of blocks is one matrix product.
     """
     import numpy as np
     import pandas as pd
 
+    blocks = max(1, -(-factors.count() // block))
     dealt = factors.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = dealt.select("id", "vec", F.col("b").alias("x")).withColumn("y", every)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aislecraft.functions.hashing import hash_int, hash_uniform
+from aislecraft.operators.ingest import places
 
 
 def sample_ids(rows: DataFrame, column: str, quota: float, seed: object) -> DataFrame:
@@ -48,9 +49,8 @@ def kfold(rows: DataFrame, k: int, seed: object, *keys: str) -> DataFrame:
 
 def group_kfold(rows: DataFrame, k: int, seed: object, column: str = "user_id") -> DataFrame:
     """column, fold: folds of near-equal size, by the place in the order of the hashes."""
-    kind = dict(rows.dtypes)[column]
-    ordered = rows.select(column).distinct().orderBy(hash_int(seed, F.col(column)), column)
-    return ordered.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1] % k)).toDF(f"{column} {kind}, fold long")
+    ordered = rows.select(column).distinct().withColumn("_h", hash_int(seed, F.col(column)))
+    return places(ordered, F.col("_h"), F.col(column)).select(column, (F.col("place") % k).alias("fold"))
 
 
 def double_group_kfold(rows: DataFrame, k: int, seeds: tuple[object, object]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aislecraft.functions.hashing import hash_uniform
-from aislecraft.operators import ltr, metrics, ranking, significance, stats
+from aislecraft.operators import ltr, metrics, models, ranking, significance, stats
 from aislecraft.plans.base import query
 from aislecraft.plans.sql import u
 from aislecraft.sources.views import SEED, Views
@@ -193,9 +193,9 @@ def normality(v: Views):
 def corrected(name: str, gamma: float | None) -> None:
     @query(name)
     def run(v: Views):
-        lists, test, _ = held(v)
+        lists, test = ranking.top_k(models.top_pop(v.train(), v.candidates()), 20), v.test()
         n = v.interactions().select("item_id").distinct().count()
-        weights = metrics.sampled_correction(v.spark, n, 20, 10, "ndcg", gamma)
+        weights = metrics.sampled_correction(v.spark, n, 100, 10, "ndcg", gamma)  # a user's test item is ranked among 100: itself and 99 sampled ones
         hits = lists.join(test.select("user_id", "item_id", F.lit(1).alias("rel")), ["user_id", "item_id"], "left").fillna(0, ["rel"])
         return metrics.corrected(hits, weights)
 

@@ -100,9 +100,9 @@ def profile_diff(v: Views):
     return stats.count_difference(inter, inter.where("market = 'EUROPE'"), "user_id", "profile_diff")
 
 
-@query("user_buckets", "SELECT user_id, n, CASE WHEN n < 5 THEN 'cold' WHEN n < 8 THEN 'quite_cold' WHEN n < 12 THEN 'quite_warm' ELSE 'warm' END AS bucket FROM (SELECT user_id, count(*) AS n FROM sparse GROUP BY 1)")
+@query("user_buckets", "SELECT user_id, n, CASE WHEN n < 5 THEN 'cold' WHEN n < 8 THEN 'quite_cold' WHEN n < 12 THEN 'quite_warm' ELSE 'warm' END AS bucket FROM (SELECT user_id, count(*) AS n FROM interactions GROUP BY 1)")
 def user_buckets(v: Views):
-    return stats.counts(v.sparse(), "user_id", "n").withColumn("bucket", stats.bucket(F.col("n")))
+    return stats.counts(v.interactions(), "user_id", "n").withColumn("bucket", stats.bucket(F.col("n")))
 
 
 @query("global_effects", "SELECT 'item' AS axis, item_id AS id, round(bi, 6) AS bias FROM ge_i UNION ALL SELECT 'user', user_id, round(bu, 6) FROM ge_u")
@@ -111,9 +111,9 @@ def global_effects(v: Views):
     return items.select(F.lit("item").alias("axis"), F.col("item_id").alias("id"), F.col("bi").alias("bias")).union(users.select(F.lit("user"), "user_id", "bu"))
 
 
-@query("cold_entities", "SELECT count(*) FILTER (WHERE s.user_id IS NULL) AS n_cold, round(count(*) FILTER (WHERE s.user_id IS NULL) / count(*), 6) AS share FROM (SELECT DISTINCT c_custkey AS user_id FROM customer) c LEFT JOIN (SELECT DISTINCT user_id FROM sparse) s USING (user_id)")
+@query("cold_entities", "SELECT count(*) FILTER (WHERE s.user_id IS NULL) AS n_cold, round(count(*) FILTER (WHERE s.user_id IS NULL) / count(*), 6) AS share FROM (SELECT DISTINCT c_custkey AS user_id FROM customer) c LEFT JOIN (SELECT DISTINCT user_id FROM interactions) s USING (user_id)")
 def cold_entities(v: Views):
-    return stats.cold_share(v.table("customer").select(F.col("c_custkey").alias("user_id")), v.sparse(), "user_id")
+    return stats.cold_share(v.table("customer").select(F.col("c_custkey").alias("user_id")), v.interactions(), "user_id")
 
 
 @query("rec_counts", "SELECT item_id, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) AS r FROM scores WHERE algo = 'global') WHERE r <= 10 AND item_id NOT IN (SELECT p_partkey FROM part WHERE p_size > 45) GROUP BY 1")

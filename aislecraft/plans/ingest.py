@@ -217,11 +217,11 @@ def dedup_latest(v: Views):
     return op.dedup_latest(v.checkins(), ["user_id", "venue"], "ts", "value")
 
 
-@query("feature_join", "SELECT c.user_id, c.item_id, n_u::DOUBLE AS n_u, n_i::DOUBLE AS n_i FROM candidates c LEFT JOIN (SELECT user_id, count(*) AS n_u FROM sparse GROUP BY 1) USING (user_id) LEFT JOIN (SELECT item_id, count(*) AS n_i FROM sparse GROUP BY 1) USING (item_id)")
+@query("feature_join", "SELECT c.user_id, c.item_id, n_u::DOUBLE AS n_u, n_i::DOUBLE AS n_i FROM candidates c LEFT JOIN (SELECT user_id, count(*) AS n_u FROM interactions GROUP BY 1) USING (user_id) LEFT JOIN (SELECT item_id, count(*) AS n_i FROM interactions GROUP BY 1) USING (item_id)")
 def feature_join(v: Views):
-    sparse = v.sparse()
-    users = sparse.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_u"))
-    items = sparse.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_i"))
+    inter = v.interactions()
+    users = inter.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_u"))
+    items = inter.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_i"))
     return v.candidates().join(users, "user_id", "left").join(items, "item_id", "left").select("user_id", "item_id", F.col("n_u").cast("double").alias("n_u"), F.col("n_i").cast("double").alias("n_i"))
 
 
@@ -253,11 +253,15 @@ def coverage_gap(v: Views):
     return v.interactions().select("user_id").distinct().exceptAll(v.sparse().select("user_id").distinct())
 
 
+#: Least profile lengths of the core.
+CORE_USER, CORE_ITEM = 25, 22
+
+
 def _core_sql(rounds: int) -> tuple[str, dict[str, str]]:
-    views, last = {}, "sparse"
+    views, last = {}, "interactions"
     for k in range(rounds):
-        views[f"kc_a{k}"] = f"SELECT * FROM {last} WHERE user_id IN (SELECT user_id FROM {last} GROUP BY 1 HAVING count(DISTINCT item_id) >= 5)"
-        views[f"kc_b{k}"] = f"SELECT * FROM kc_a{k} WHERE item_id IN (SELECT item_id FROM kc_a{k} GROUP BY 1 HAVING count(DISTINCT user_id) >= 4)"
+        views[f"kc_a{k}"] = f"SELECT * FROM {last} WHERE user_id IN (SELECT user_id FROM {last} GROUP BY 1 HAVING count(DISTINCT item_id) >= {CORE_USER})"
+        views[f"kc_b{k}"] = f"SELECT * FROM kc_a{k} WHERE item_id IN (SELECT item_id FROM kc_a{k} GROUP BY 1 HAVING count(DISTINCT user_id) >= {CORE_ITEM})"
         last = f"kc_b{k}"
     return f"SELECT user_id, item_id FROM {last}", views
 
@@ -267,7 +271,7 @@ _sql, _views = _core_sql(14)
 
 @query("kcore", _sql, **_views)
 def kcore(v: Views):
-    return op.kcore(v.sparse(), 5, 4).select("user_id", "item_id")
+    return op.kcore(v.interactions(), CORE_USER, CORE_ITEM).select("user_id", "item_id")
 
 
 @query("icm_kcore", "SELECT item_id, feature FROM ic_4", **{f"ic_{k}": (lambda p: f"SELECT * FROM (SELECT * FROM {p} WHERE item_id IN (SELECT item_id FROM {p} GROUP BY 1 HAVING count(*) >= 4)) WHERE feature IN (SELECT feature FROM {p} WHERE item_id IN (SELECT item_id FROM {p} GROUP BY 1 HAVING count(*) >= 4) GROUP BY 1 HAVING count(*) >= 20)")(f"ic_{k - 1}" if k else "item_features") for k in range(5)})

@@ -233,29 +233,22 @@ def score_candidates(v: Views):
     return out
 
 
-@query("item_pairs", "SELECT a.user_id AS row, a.item_id AS i, b.item_id AS j FROM sparse a JOIN sparse b ON a.user_id = b.user_id AND a.item_id < b.item_id JOIN (SELECT i, j FROM (SELECT *, max(n) OVER () AS m FROM (SELECT a.item_id AS i, b.item_id AS j, count(*) AS n FROM sparse a JOIN sparse b ON a.user_id = b.user_id AND a.item_id < b.item_id GROUP BY 1, 2)) WHERE n > 0.5 * m) p ON p.i = a.item_id AND p.j = b.item_id", **VIEWS)
+@query("item_pairs", "SELECT a.user_id AS row, a.item_id AS i, b.item_id AS j FROM train a JOIN train b ON a.user_id = b.user_id AND a.item_id < b.item_id JOIN (SELECT i, j FROM (SELECT *, max(n) OVER () AS m FROM (SELECT a.item_id AS i, b.item_id AS j, count(*) AS n FROM train a JOIN train b ON a.user_id = b.user_id AND a.item_id < b.item_id GROUP BY 1, 2)) WHERE n > 0.1 * m) p ON p.i = a.item_id AND p.j = b.item_id", **VIEWS)
 def item_pairs(v: Views):
-    m = v.sparse().select(F.col("user_id").alias("row"), F.col("item_id").alias("col"), F.lit(1.0).alias("value"))
-    return peritem.item_pairs(m, 0.5)
+    m = v.train().select(F.col("user_id").alias("row"), F.col("item_id").alias("col"), F.lit(1.0).alias("value"))
+    return peritem.item_pairs(m)
 
 
-FACTOR_PAIRS = "SELECT u.id AS user_id, i.id AS item_id FROM factors u JOIN factors i ON u.id % 50 = (i.id - 1) % 50 WHERE u.id % 2 = 0 AND i.id % 2 = 1"
-
-
-def factor_pairs(v: Views) -> DataFrame:
-    f = v.factors()
-    users, items = f.where("id % 2 = 0").select(F.col("id").alias("user_id")), f.where("id % 2 = 1").select(F.col("id").alias("item_id"))
-    return users.join(items, F.col("user_id") % 50 == (F.col("item_id") - 1) % 50)
-
-
-@query("score_factors", "SELECT user_id, item_id, round(list_dot_product(u.vec, i.vec), 6) AS score FROM fp JOIN factors u ON u.id = user_id JOIN factors i ON i.id = item_id", fp=FACTOR_PAIRS)
+@query("score_factors", "SELECT user_id, item_id, round(list_dot_product(u.vec, i.vec), 6) AS score FROM fp JOIN factors u ON u.id = user_id JOIN factors i ON i.id = item_id", fp="SELECT user_id, item_id FROM candidates")
 def score_factors(v: Views):
-    return factors.score(factor_pairs(v), v.factors(), v.factors())
+    """The candidates of users and items that have a vector."""
+    return factors.score(v.candidates(), v.factors(), v.factors())
 
 
-@query("fold_in", "SELECT user_id, count(*) AS n, round(sum(vec[1]) / sqrt(count(*)), 6) AS v0, round(sum(vec[64]) / sqrt(count(*)), 6) AS v63 FROM fp JOIN factors ON id = item_id GROUP BY 1", fp=FACTOR_PAIRS)
+@query("fold_in", "SELECT user_id, count(*) AS n, round(sum(vec[1]) / sqrt(count(*)), 6) AS v0, round(sum(vec[64]) / sqrt(count(*)), 6) AS v63 FROM fp JOIN factors ON id = item_id GROUP BY 1", fp="SELECT user_id, item_id FROM train")
 def fold_in(v: Views):
-    p = factor_pairs(v)
+    """Profiles in train, of the items that have a vector."""
+    p = v.train().select("user_id", "item_id").join(v.factors().select(F.col("id").alias("item_id")), "item_id", "left_semi")
     vec = factors.fold_in(p, v.factors()).withColumnRenamed("id", "user_id")
     return p.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).join(vec, "user_id").select("user_id", "n", F.col("vec")[0].alias("v0"), F.col("vec")[63].alias("v63"))
 
@@ -263,8 +256,8 @@ def fold_in(v: Views):
 @query("cold_user_knn")
 def cold_user_knn(v: Views):
     """Users without a factor, scored from the similarity of the item factors."""
-    p = factor_pairs(v).withColumn("rating", F.lit(1.0))
-    return models.item_scores(p, similarity.of_factors(v.factors().where("id % 2 = 1"), K))
+    p = v.train().select("user_id", "item_id", F.lit(1.0).alias("rating"))
+    return models.item_scores(p, similarity.of_factors(v.factors(), K))
 
 
 @query("rec_ials")

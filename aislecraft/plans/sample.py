@@ -143,10 +143,10 @@ def bpr_triples(v: Views):
     return neg.bpr_triples(v.sparse(), inter, dense_ids(inter, "item_id"), 15)
 
 
-@query("zero_pairs", f"SELECT DISTINCT i, j FROM (SELECT d.i, x.item_id AS j FROM (SELECT item_id AS i, {h(16, 'item_id', 'k')} % (SELECT count(*) FROM item_dim) AS idx FROM item_dim, unnest(range(1, 21)) AS r(k)) d JOIN item_dim x ON x.idx = d.idx) WHERE i <> j AND (i, j) NOT IN (SELECT (a.item_id, b.item_id) FROM sparse a JOIN sparse b ON a.user_id = b.user_id)")
+@query("zero_pairs", f"SELECT DISTINCT i, j FROM (SELECT d.i, x.item_id AS j FROM (SELECT item_id AS i, {h(16, 'item_id', 'k')} % (SELECT count(*) FROM item_dim) AS idx FROM item_dim, unnest(range(1, 21)) AS r(k)) d JOIN item_dim x ON x.idx = d.idx) WHERE i <> j AND (i, j) NOT IN (SELECT (a.item_id, b.item_id) FROM interactions a JOIN interactions b ON a.user_id = b.user_id)")
 def zero_pairs(v: Views):
-    sparse = v.sparse().select(F.col("user_id").alias("row"), F.col("item_id").alias("col"), F.lit(1.0).alias("value"))
-    return neg.zero_pairs(similarity.cooccurrence(sparse).select("i", "j"), dense_ids(v.interactions(), "item_id"), 20, 16)
+    matrix = v.interactions().select(F.col("user_id").alias("row"), F.col("item_id").alias("col"), F.lit(1.0).alias("value"))
+    return neg.zero_pairs(similarity.cooccurrence(matrix).select("i", "j"), dense_ids(v.interactions(), "item_id"), 20, 16)
 
 
 @query("negatives_multi", " UNION ALL ".join(f"SELECT {s}::BIGINT AS negset, user_id, item_id, rn FROM ({_limited(ALL_USERS.format(20), s)})" for s in (21, 22, 23)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from aislecraft.functions.hashing import hash_int
 from aislecraft.functions.text import prefixed
+from aislecraft.sources.storage import stored
 
 SEED = 42
 SOURCES, TARGETS = ["AFRICA", "AMERICA", "ASIA"], ["EUROPE", "MIDDLE EAST"]
@@ -17,6 +18,8 @@ class Views:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._split: DataFrame | None = None
+        self._candidates: dict[int, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -40,6 +43,8 @@ class Views:
 
     def interactions(self) -> DataFrame:
         """market, user_id, item_id, rating: unique on user and item."""
+        if self._split is not None:
+            return self._split.drop("part")
         return self.raw().groupBy("market", "user_id", "item_id").agg(F.avg("rating").alias("rating"))
 
     def sparse(self) -> DataFrame:
@@ -60,9 +65,12 @@ class Views:
         return self.table("events").select("user_id", F.get_json_object("props", "$.k").alias("venue"), "ts", "event_type", "value", "event_id")
 
     def split(self) -> DataFrame:
-        """Interactions with `part`: for each user the one of the smallest hash is test, the others train."""
+        """Interactions with `part`: for each user the one of the smallest hash is test, the others train. Written once for a query, which reads it several times."""
+        if self._split is not None:
+            return self._split
         order = Window.partitionBy("user_id").orderBy(hash_int(SEED, F.lit("loo"), F.col("user_id"), F.col("item_id")), "item_id")
-        return self.interactions().withColumn("part", F.when(F.row_number().over(order) == 1, "test").otherwise("train"))
+        self._split = stored(self.interactions().withColumn("part", F.when(F.row_number().over(order) == 1, "test").otherwise("train")), "split")
+        return self._split
 
     def train(self) -> DataFrame:
         return self.split().where("part = 'train'").drop("part")
@@ -71,12 +79,17 @@ class Views:
         return self.split().where("part = 'test'").drop("part")
 
     def candidates(self, n: int = 99) -> DataFrame:
-        """user_id, item_id: the test item and n unseen ones of each user."""
+        """user_id, item_id: the test item and n unseen ones of each user. Written once for a query."""
         from aislecraft.operators.negatives import fixed_negatives
 
+        if n in self._candidates:
+            return self._candidates[n]
+        test = self.test()
         inter = self.interactions()
         users = inter.select("user_id").distinct()
-        return fixed_negatives(users, inter, inter.select("item_id").distinct(), n, SEED).select("user_id", "item_id").union(self.test().select("user_id", "item_id"))
+        found = fixed_negatives(users, inter, inter.select("item_id").distinct(), n, SEED).select("user_id", "item_id").union(test.select("user_id", "item_id"))
+        self._candidates[n] = stored(found, "candidates")
+        return self._candidates[n]
 
     def scores(self) -> DataFrame:
         """algo, user_id, item_id, score of the candidates by three simple models."""
@@ -87,7 +100,7 @@ class Views:
         return both.unionByName(models.mean_rating(train, cand).withColumn("algo", F.lit("mean"))).select("algo", "user_id", "item_id", "score")
 
     def factors(self) -> DataFrame:
-        """id, vec: even vectors are users, odd ones items."""
+        """id, vec: of a user or an item of that id."""
         return self.table("embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
 
     def ltr(self) -> DataFrame:

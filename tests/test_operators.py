@@ -160,3 +160,34 @@ def test_fill_and_early_stop(spark):
 def test_swap_deltas_match_lambdas_sign(spark):
     out = {r["doc_id"]: r["lambda"] for r in ltr.lambdas(queries(spark, [[0, 1, 2]])).collect()}
     assert out[2] > 0 > out[0]
+
+
+def test_places_and_folds(spark):
+    from aislecraft.operators import ingest, splits
+
+    rows = spark.createDataFrame([(k * 7 % 101,) for k in range(101)] + [(None,), (3,)], "user_id long")
+    got = sorted(map(tuple, ingest.dense_ids(rows, "user_id").collect()), key=lambda r: r[1])
+    assert got == [(None, 0), *((k, k + 1) for k in range(101))]
+    folds = [r["fold"] for r in splits.group_kfold(rows, 5, 3).collect()]
+    assert len(folds) == 102 and max(map(folds.count, range(5))) - min(map(folds.count, range(5))) <= 1
+    assert ingest.dense_ids(rows.limit(0), "user_id").count() == 0
+
+
+def test_negatives_are_whole_for_users_who_have_seen_nearly_all(spark):
+    from aislecraft.operators import negatives
+
+    items = spark.createDataFrame([(k,) for k in range(400)], "item_id long")
+    seen = spark.createDataFrame([(1, k) for k in range(390)] + [(2, 5)], "user_id long, item_id long")
+    users = spark.createDataFrame([(1,), (2,), (3,)], "user_id long")
+    got = negatives.fixed_negatives(users, seen, items, 20, 42).collect()
+    of = {u: sorted(r["item_id"] for r in got if r["user_id"] == u) for u in (1, 2, 3)}
+    assert of[1] == list(range(390, 400)) and len(set(of[2])) == len(set(of[3])) == 20 and 5 not in of[2]
+    assert sorted(r["rn"] for r in got if r["user_id"] == 1) == list(range(1, 11))
+
+
+def test_tversky_has_two_directions(spark):
+    from aislecraft.operators import similarity
+
+    rows = spark.createDataFrame([(r, c, 1.0) for c, rs in ((1, range(4)), (2, range(2)), (3, (9,))) for r in rs], "row long, col long, value double")
+    w = {(r["dst"], r["src"]): r["weight"] for r in similarity.similar(rows, "tversky", 5, alpha=0.7, beta=0.4).collect()}
+    assert w[1, 2] == pytest.approx(2 / (2 + 2 * 0.7 + 0 + 1e-6)) and w[2, 1] == pytest.approx(2 / (2 + 0 + 2 * 0.4 + 1e-6)) and len(w) == 2
