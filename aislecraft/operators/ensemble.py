@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aislecraft.functions.hashing import hash_uniform
-from aislecraft.operators.ranking import break_ties, row_minmax
+from aislecraft.operators.ranking import row_minmax
 
 
 def score_sum(scores: DataFrame) -> DataFrame:
@@ -80,7 +80,3 @@ def early_stop(epochs: DataFrame, patience: int = 3, gain: float = 0.002) -> Dat
     stalled = marked.withColumn("best_epoch", last).withColumn("_stop", F.col("epoch") - last >= patience)
     stops = stalled.groupBy("model").agg(F.min(F.when(F.col("_stop"), F.struct("epoch", "best_epoch"))).alias("s"), F.max(F.struct("epoch", "best_epoch")).alias("e"))
     return stops.select("model", F.coalesce("s.best_epoch", "e.best_epoch").alias("best_epoch"), F.coalesce("s.epoch", "e.epoch").alias("stop_epoch"))
-
-
-def with_tie_break(scores: DataFrame, filler: DataFrame, penalty: float = 1e-8) -> DataFrame:
-    return break_ties(scores, filler, penalty)

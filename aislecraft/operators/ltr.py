@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aislecraft.operators.ranking import ltr_rank
-from aislecraft.sources.storage import stored
+from aislecraft.operators.splits import group_kfold
+from aislecraft.sources.storage import discard, stored
 
 
 def _gain(rel: Column, kind: str = "exp2") -> Column:
@@ -106,20 +107,63 @@ def labels(candidates: DataFrame, positives: DataFrame, filler: DataFrame | None
 
 
 def lambda_mart(rows: DataFrame, features: list[str], rounds: int = 5, depth: int = 3, rate: float = 0.1, k: int = 10) -> DataFrame:
-    """qid, doc_id, score after boosting: each tree fits the lambda gradients, and its leaves take sum(lambda) / sum(delta)."""
+    """qid, doc_id, rel, score after boosting on all rows."""
+    return boosted(rows.withColumn("part", F.lit("train")), features, rounds, depth, rate, k).drop("part")
+
+
+def boosted(rows: DataFrame, features: list[str], rounds: int = 5, depth: int = 3, rate: float = 0.1, k: int = 10, patience: int | None = None) -> DataFrame:
+    """qid, doc_id, rel, part, score: trees fit the lambda gradients of the rows whose `part` is train, leaves take sum(lambda) / sum(delta), and all rows get their steps.
+
+    With `patience` the rounds end once the mean NDCG@k of part valid hasn't grown for so many of them, and the scores are
+    those of its best round. A query (qid) lies in one part only.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import DecisionTreeRegressor
 
-    data = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(rows).select("qid", "doc_id", "rel", "features")
+    data = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(rows).select("qid", "doc_id", "rel", "part", "features")
     current = stored(data.withColumn("score", F.lit(0.0)), "boost")
+    best, best_value, stalled = current, float("-inf"), 0
     for _ in range(rounds):
-        grad = lambdas(current.select("qid", "doc_id", "score", "rel"), k)
-        joined = stored(current.join(grad, ["qid", "doc_id"]), "boost")
+        seen = current.where("part = 'train'")
+        joined = stored(seen.join(lambdas(seen.select("qid", "doc_id", "score", "rel"), k), ["qid", "doc_id"]), "boost")
         tree = DecisionTreeRegressor(featuresCol="features", labelCol="lambda", maxDepth=depth, leafCol="leaf", seed=1).fit(joined)
-        leaves = stored(tree.transform(joined).select("qid", "doc_id", "rel", "features", "score", "lambda", "delta", "leaf"), "boost")
-        values = leaves.groupBy("leaf").agg((F.sum("lambda") / F.greatest(F.sum("delta"), F.lit(1e-9))).alias("step"))  # at most 2^depth rows
-        current = stored(leaves.join(F.broadcast(values), "leaf").select("qid", "doc_id", "rel", "features", (F.col("score") + rate * F.col("step")).alias("score")), "boost")
-    return current.select("qid", "doc_id", "rel", "score")
+        steps = tree.transform(joined).groupBy("leaf").agg((F.sum("lambda") / F.greatest(F.sum("delta"), F.lit(1e-9))).alias("step"))  # at most 2^depth rows
+        moved = tree.transform(current).join(F.broadcast(steps), "leaf", "left")
+        after = stored(moved.select("qid", "doc_id", "rel", "part", "features", (F.col("score") + rate * F.coalesce("step", F.lit(0.0))).alias("score")), "boost")
+        discard(joined, *([current] if current is not best else []))
+        current = after
+        if patience is None:
+            best = current
+            continue
+        value = mean_metric(ndcg(current.where("part = 'valid'"), k)).first()["value"] or 0.0
+        if value > best_value:
+            best, best_value, stalled = current, value, 0
+        else:
+            stalled += 1
+            if stalled >= patience:
+                break
+    return best.select("qid", "doc_id", "rel", "part", "score")
+
+
+def cross_validated(rows: DataFrame, features: list[str], folds: int, seed: object, unseen: DataFrame | None = None, **settings) -> tuple[DataFrame, DataFrame | None]:
+    """Out-of-fold scores (fold, qid, doc_id, rel, score) of `rows`, and the mean over the folds' models of the scores (qid, doc_id, score) of `unseen` rows, which have no rel.
+
+    Folds group queries, in near-equal numbers; each fold's model learns from the others and stops by its own NDCG.
+    `settings` are those of `boosted`.
+    """
+    names = ["qid", "doc_id", "rel", *features]
+    dealt = stored(rows.select(*names).join(group_kfold(rows, folds, seed, "qid"), "qid"), "folds")
+    held, told = None, None
+    for f in range(folds):
+        parts = dealt.select(*names, F.when(F.col("fold") == f, "valid").otherwise("train").alias("part"))
+        if unseen is not None:
+            parts = parts.unionByName(unseen.select("qid", "doc_id", F.lit(0.0).alias("rel"), *features, F.lit("unseen").alias("part")))
+        done = boosted(parts, features, **settings)
+        one = done.where("part = 'valid'").select(F.lit(f).cast("long").alias("fold"), "qid", "doc_id", "rel", "score")
+        held = one if held is None else held.unionByName(one)
+        two = done.where("part = 'unseen'").select("qid", "doc_id", "score")
+        told = two if told is None else told.unionByName(two)
+    return held, None if unseen is None else told.groupBy("qid", "doc_id").agg(F.avg("score").alias("score"))
 
 
 def permutation_importance(rows: DataFrame, features: list[str], score: Column, seed: int = 7, k: int = 10) -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from aislecraft.operators import ensemble, ranking, splits, stats
+from aislecraft.operators import ensemble, factors, ltr, ranking, splits, stats
 from aislecraft.plans.base import query
 from aislecraft.plans.evaluate import VIEWS as HELD
 from aislecraft.plans.evaluate import algo_ndcg
 from aislecraft.plans.sql import h, u
-from aislecraft.sources.views import Views
+from aislecraft.sources import files
+from aislecraft.sources.storage import fresh_path
+from aislecraft.sources.views import SOURCES, TARGETS, Views
 
 ALGOS = ["toppop", "global", "mean"]
 MARKETS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
@@ -61,7 +63,7 @@ def ensemble_first_level(v: Views):
 
 @query("ensemble_features", "SELECT user_id, item_id, round(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 0 END + 1e-8, 6) AS ensemble_norm FROM (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM (SELECT f.user_id, f.item_id, f.score + coalesce(r, 0) * 1e-3 AS score FROM first_level f LEFT JOIN (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9), item_id) AS r FROM scores WHERE algo = 'toppop') USING (user_id, item_id)) WINDOW w AS (PARTITION BY user_id))", **VIEWS)
 def ensemble_features(v: Views):
-    tied = ensemble.with_tie_break(first_level(v), v.scores().where("algo = 'toppop'"), 1e-3)
+    tied = ranking.break_ties(first_level(v), v.scores().where("algo = 'toppop'"), 1e-3)
     return ranking.row_minmax(tied).select("user_id", "item_id", F.col("score").alias("ensemble_norm"))
 
 
@@ -125,3 +127,39 @@ def weight_sweep(v: Views):
 def early_stop(v: Views):
     epochs = v.table("events").where("value is not null").groupBy(F.col("event_type").alias("model"), F.dayofmonth("ts").cast("long").alias("epoch")).agg(F.avg("value").alias("value"))
     return ensemble.early_stop(epochs)
+
+
+#: Latent factors of the last stage's frame.
+RANK = 4
+
+
+def final_features(v: Views):
+    """Candidates with counts, raw and normalised scores, the first-level ensemble and latent factors."""
+    keys = ["user_id", "item_id"]
+    frame = stats.basic_features(v.candidates(), v.train()).join(ensemble.score_features(v.scores(), ALGOS), keys, "left")
+    frame = frame.join(first_level(v).withColumnRenamed("score", "ensemble"), keys, "left")
+    users, items = factors.als(v.train(), RANK, 3)
+    both = factors.factor_features(v.candidates(), users, items)
+    latent = both.select(*keys, "u_norm", "i_norm", *[F.col(f"{s}_vec")[k].alias(f"{s}_{k}") for s in "ui" for k in range(RANK)])
+    return frame.join(latent, keys, "left")
+
+
+@query("final_stage")
+def final_stage(v: Views):
+    """The whole last stage: a stored frame, columns of no use removed, the ranker over grouped folds of the source markets and the mean of its models on the target markets, ties broken by the first-level ensemble, score files written and read again; market, n_users and mean NDCG at 10."""
+    keys = ["user_id", "item_id"]
+    people = v.interactions().select("market", "user_id").distinct()
+    frame = files.kept_frame(v.spark, fresh_path(v.spark, "frame"), lambda: final_features(v).join(people, "user_id"))
+    columns = [c for c in frame.columns if c not in (*keys, "market")]
+    gone = stats.useless_columns(frame.fillna(0.0, columns), columns)
+    kept = [c for c in columns if c not in gone]
+    rows = ltr.labels(frame, v.test()).join(frame, keys).select("market", F.col("user_id").alias("qid"), F.col("item_id").alias("doc_id"), F.col("label").cast("double").alias("rel"), *kept).fillna(0.0, kept)
+    held, told = ltr.cross_validated(rows.where(F.col("market").isin(SOURCES)), kept, 3, 687, rows.where(F.col("market").isin(TARGETS)), rounds=4, patience=2)
+    out = None
+    for scores, path in ((held, fresh_path(v.spark, "valid-scores")), (told, fresh_path(v.spark, "test-scores"))):
+        named = scores.select(F.col("qid").alias("user_id"), F.col("doc_id").alias("item_id"), "score")
+        files.write_scores(ranking.break_ties(named, ranking.row_minmax(first_level(v)), 1e-8, by_value=True), path, compress=False)
+        one = files.read_scores(v.spark, path).select(F.col("user_id").cast("long").alias("qid"), F.col("item_id").cast("long").alias("doc_id"), "score")
+        out = one if out is None else out.unionByName(one)
+    values = ltr.ndcg(out.join(rows.select("market", "qid", "doc_id", "rel"), ["qid", "doc_id"]))
+    return values.join(people.withColumnRenamed("user_id", "qid"), "qid").groupBy("market").agg(F.count(F.lit(1)).alias("n_users"), F.avg("value").alias("ndcg"))

@@ -180,11 +180,17 @@ def two_sample_t(v: Views):
     return significance.two_sample_t(algo_ndcg(v))
 
 
-@query("wilcoxon", "SELECT count(*) AS n, round(sum(CASE WHEN d > 0 THEN rk ELSE 0 END), 6) AS w_plus, round(sum(CASE WHEN d < 0 THEN rk ELSE 0 END), 6) AS w_minus, round((sum(CASE WHEN d > 0 THEN rk ELSE 0 END) - count(*) * (count(*) + 1) / 4) / sqrt(count(*) * (count(*) + 1) * (2 * count(*) + 1) / 24), 6) AS z FROM (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS rk FROM (SELECT round(a - b, 9) AS d FROM a_pairs) WHERE d <> 0)", **VIEWS)
+@query("wilcoxon", "SELECT n, w_plus, w_minus, round((w_plus - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48), 6) AS z FROM (SELECT count(*) AS n, round(sum(CASE WHEN d > 0 THEN rk ELSE 0 END), 6) AS w_plus, round(sum(CASE WHEN d < 0 THEN rk ELSE 0 END), 6) AS w_minus, sum(c * c - 1) AS ties FROM (SELECT d, c, rank() OVER (ORDER BY abs(d)) + (c - 1) / 2 AS rk FROM (SELECT d, count(*) OVER (PARTITION BY abs(d)) AS c FROM (SELECT round(a - b, 9) AS d FROM a_pairs) WHERE d <> 0)))", **VIEWS)
 def wilcoxon(v: Views):
     return significance.wilcoxon(_pairs(v))
 
 
+@query("significance")
+def significant(v: Views):
+    """The three models' NDCG of the users, the gate's choice of test, p-values and decisions."""
+    return significance.compare(algo_ndcg(v), "global", ["mean", "toppop"])
+
+
 @query("normality")
 def normality(v: Views):
     return significance.normality(v.table("events").select("value").na.drop())
@@ -276,6 +282,14 @@ def ltr_gbt(v: Views):
     return ltr.mean_metric(ltr.ndcg(boosted)).withColumn("model", F.lit("boosted")).unionByName(ltr.mean_metric(ltr.ndcg(rows.withColumn("score", F.lit(0.0)))).withColumn("model", F.lit("none")))
 
 
+@query("ltr_cv")
+def ltr_cv(v: Views):
+    """Grouped folds with early stopping: the mean out-of-fold NDCG of each fold's queries."""
+    held, _ = ltr.cross_validated(_features(v), ["f_len", "f_words", "f_lines"], 3, 13, rounds=4, patience=2)
+    values = ltr.ndcg(held).join(held.select("qid", "fold").distinct(), "qid")
+    return values.groupBy("fold").agg(F.count(F.lit(1)).alias("n_queries"), F.avg("value").alias("ndcg"))
+
+
 @query("permutation_importance")
 def permutation(v: Views):
     return ltr.permutation_importance(_features(v).drop("score"), ["f_len", "f_lines"], F.col("f_len") - 100 * F.col("f_lines"))

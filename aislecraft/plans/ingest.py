@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aislecraft.operators import ingest as op
+from aislecraft.operators import stats
 from aislecraft.plans.base import query
 from aislecraft.sources import files
 from aislecraft.sources.storage import fresh_path
@@ -141,7 +142,7 @@ def translate(v: Views):
     return op.restrict(inter.where("market = 'EUROPE'"), inter.where("market in ('ASIA', 'EUROPE')"), "item_id").select("user_id", "item_id", "rating")
 
 
-@query("compress_to_market", "SELECT user_id, item_id, rating FROM interactions WHERE user_id IN (SELECT user_id FROM interactions WHERE market = 'EUROPE') AND item_id IN (SELECT item_id FROM interactions WHERE market = 'EUROPE')")
+@query("compress_to_market", "SELECT user_id, item_id, rating FROM interactions JOIN (SELECT DISTINCT user_id FROM interactions WHERE market = 'EUROPE') USING (user_id) JOIN (SELECT DISTINCT item_id FROM interactions WHERE market = 'EUROPE') USING (item_id)")
 def compress(v: Views):
     inter = v.interactions()
     own = inter.where("market = 'EUROPE'")
@@ -225,7 +226,7 @@ def feature_join(v: Views):
     return v.candidates().join(users, "user_id", "left").join(items, "item_id", "left").select("user_id", "item_id", F.col("n_u").cast("double").alias("n_u"), F.col("n_i").cast("double").alias("n_i"))
 
 
-@query("semi_anti", "SELECT user_id, item_id, EXISTS (SELECT 1 FROM sparse s WHERE s.user_id = i.user_id AND s.item_id = i.item_id) AS inside FROM interactions i")
+@query("semi_anti", "SELECT user_id, item_id, s.rating IS NOT NULL AS inside FROM interactions LEFT JOIN sparse s USING (user_id, item_id)")
 def semi_anti(v: Views):
     inter, sparse = v.interactions().select("user_id", "item_id"), v.sparse().select("user_id", "item_id")
     keys = ["user_id", "item_id"]
@@ -277,3 +278,98 @@ def kcore(v: Views):
 @query("icm_kcore", "SELECT item_id, feature FROM ic_4", **{f"ic_{k}": (lambda p: f"SELECT * FROM (SELECT * FROM {p} WHERE item_id IN (SELECT item_id FROM {p} GROUP BY 1 HAVING count(*) >= 4)) WHERE feature IN (SELECT feature FROM {p} WHERE item_id IN (SELECT item_id FROM {p} GROUP BY 1 HAVING count(*) >= 4) GROUP BY 1 HAVING count(*) >= 20)")(f"ic_{k - 1}" if k else "item_features") for k in range(5)})
 def icm_kcore(v: Views):
     return op.feature_kcore(v.item_features(), 4, 20).select("item_id", "feature")
+
+
+#: Rounds after which neither table changes, on the given tables.
+_ROUNDS = 8
+
+
+def _combined_sql(rounds: int) -> dict[str, str]:
+    """Each round prunes users, items by users, items by features and rare features once; the largest stable tables are the same in whatever order."""
+    views, i, f = {}, "interactions", "item_features"
+    at_least = lambda t, key, k: f"SELECT {key} FROM {t} GROUP BY 1 HAVING count(*) >= {k}"
+    for r in range(1, rounds + 1):
+        views[f"ck_u{r}"] = f"SELECT user_id, item_id FROM {i} JOIN ({at_least(i, 'user_id', CORE_USER)}) USING (user_id)"
+        views[f"ck_v{r}"] = f"SELECT user_id, item_id FROM ck_u{r} JOIN ({at_least(f'ck_u{r}', 'item_id', CORE_ITEM)}) USING (item_id)"
+        views[f"ck_g{r}"] = f"SELECT item_id, feature FROM {f} JOIN (SELECT DISTINCT item_id FROM ck_v{r}) USING (item_id)"
+        views[f"ck_h{r}"] = f"SELECT item_id, feature FROM ck_g{r} JOIN ({at_least(f'ck_g{r}', 'feature', 20)}) USING (feature)"
+        views[f"ck_f{r}"] = f"SELECT item_id, feature FROM ck_h{r} JOIN ({at_least(f'ck_h{r}', 'item_id', 4)}) USING (item_id)"
+        views[f"ck_i{r}"] = f"SELECT user_id, item_id FROM ck_v{r} JOIN (SELECT DISTINCT item_id FROM ck_f{r}) USING (item_id)"
+        i, f = f"ck_i{r}", f"ck_f{r}"
+    return views
+
+
+@query("combined_kcore", f"SELECT 'interaction' AS kind, user_id::VARCHAR AS a, item_id::VARCHAR AS b FROM ck_i{_ROUNDS} UNION ALL SELECT 'feature', item_id::VARCHAR, feature FROM ck_f{_ROUNDS}", **_combined_sql(_ROUNDS))
+def combined_kcore(v: Views):
+    """Both cores; no feature is shared by 30 % of the items, so that the SQL need not prune common ones."""
+    inter, features = op.combined_kcore(v.interactions().select("user_id", "item_id"), v.item_features(), CORE_USER, CORE_ITEM, 4, 20)
+    one = inter.select(F.lit("interaction").alias("kind"), F.col("user_id").cast("string").alias("a"), F.col("item_id").cast("string").alias("b"))
+    return one.unionByName(features.select(F.lit("feature").alias("kind"), F.col("item_id").cast("string").alias("a"), F.col("feature").alias("b")))
+
+
+@query("gzip_scan", "SELECT user_id::VARCHAR AS user_id, item_id::VARCHAR AS item_id, rating FROM raw_inter")
+def gzip_scan(v: Views):
+    """A plain and a gzipped file read as one table."""
+    plain, packed = fresh_path(v.spark, "plain"), fresh_path(v.spark, "packed")
+    rows = v.raw().select("user_id", "item_id", "rating")
+    rows.where("rating < 3").write.csv(plain, sep="\t", header=True)
+    rows.where("rating >= 3").write.csv(packed, sep="\t", header=True, compression="gzip")
+    return files.read_interactions(v.spark, [plain, packed])
+
+
+@query("business_json", "SELECT user_id::VARCHAR AS user_id, json_extract_string(props, '$.k') AS item_id, value AS rating FROM events WHERE value IS NOT NULL AND json_extract_string(props, '$.k') IS NOT NULL")
+def business_json(v: Views):
+    path = fresh_path(v.spark, "json")
+    v.checkins().select(F.to_json(F.struct(F.col("user_id").cast("string").alias("user_id"), F.col("venue").alias("business_id"), F.col("value").alias("stars"))).alias("value")).write.text(path)
+    return files.read_json_interactions(v.spark, path, "user_id", "business_id", "stars")
+
+
+@query("score_sink", "SELECT 'm1' || user_id::VARCHAR AS user_id, item_id::VARCHAR AS item_id, round(score, 6) AS score FROM scores WHERE algo = 'mean'")
+def score_sink(v: Views):
+    """Plain score files with a prefix before the users."""
+    path = fresh_path(v.spark, "sink")
+    files.write_scores(v.scores().where("algo = 'mean'"), path, "m1", compress=False)
+    return files.read_scores(v.spark, path)
+
+
+@query("matrix_export", "SELECT user_id AS row, item_id AS col, round(rating, 6) AS data FROM interactions")
+def matrix_export(v: Views):
+    path = fresh_path(v.spark, "matrix")
+    files.write_matrix(v.interactions(), path)
+    return v.spark.read.schema("row long, col long, data double").csv(path, header=True)
+
+
+@query("split_store", "SELECT market, part, user_id, item_id, round(rating, 6) AS rating FROM split")
+def split_store(v: Views):
+    """A split stored by market and part; what is stored already stays."""
+    path = fresh_path(v.spark, "dataset")
+    files.save_parts(v.split(), path, ["market", "part"])
+    files.save_parts(v.split().where("part = 'test'"), path, ["market", "part"])
+    return v.spark.read.parquet(path).select("market", "part", "user_id", "item_id", "rating")
+
+
+@query("cached_steps", "SELECT 'sample' AS todo, user_id, item_id, round(rating, 6) AS rating FROM interactions WHERE rating > 2")
+def cached_steps(v: Views):
+    """The longest stored prefix of three steps, and what is left to do."""
+    root = fresh_path(v.spark, "steps")
+    v.interactions().write.parquet(f"{root}/merged")
+    v.interactions().where("rating > 2").write.parquet(f"{root}/merged/implicit")
+    found, left = files.longest_cached(v.spark, root, ["merged", "implicit", "sample"])
+    return found.select(F.lit(",".join(left)).alias("todo"), "user_id", "item_id", "rating")
+
+
+@query("kept_frame", "SELECT c.user_id, c.item_id, coalesce(n, 0) AS popularity FROM candidates c LEFT JOIN (SELECT item_id, count(*) AS n FROM train GROUP BY 1) USING (item_id)")
+def kept_frame(v: Views):
+    """A feature frame as gzip Parquet; the second call reads what the first has written."""
+    path = fresh_path(v.spark, "frame")
+    make = lambda: stats.basic_features(v.candidates(), v.train()).select("user_id", "item_id", "popularity")
+    files.kept_frame(v.spark, path, make)
+    return files.kept_frame(v.spark, path, lambda: make().limit(0))
+
+
+@query("same_rows", "SELECT NOT EXISTS (SELECT user_id, item_id FROM split EXCEPT ALL SELECT user_id, item_id FROM interactions) AND NOT EXISTS (SELECT user_id, item_id FROM interactions EXCEPT ALL SELECT user_id, item_id FROM split) AS same_split, NOT EXISTS (SELECT user_id, item_id FROM interactions EXCEPT ALL SELECT user_id, item_id FROM train) AS same_train")
+def same_rows(v: Views):
+    """Whether the split has the rows of the interactions, and whether its train part alone has."""
+    of = lambda df: df.select("user_id", "item_id")
+    found = (op.same_rows(of(v.split()), of(v.interactions())), op.same_rows(of(v.interactions()), of(v.train())))
+    return v.spark.createDataFrame([found], "same_split boolean, same_train boolean")

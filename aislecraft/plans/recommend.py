@@ -233,7 +233,7 @@ def score_candidates(v: Views):
     return out
 
 
-@query("item_pairs", "SELECT a.user_id AS row, a.item_id AS i, b.item_id AS j FROM train a JOIN train b ON a.user_id = b.user_id AND a.item_id < b.item_id JOIN (SELECT i, j FROM (SELECT *, max(n) OVER () AS m FROM (SELECT a.item_id AS i, b.item_id AS j, count(*) AS n FROM train a JOIN train b ON a.user_id = b.user_id AND a.item_id < b.item_id GROUP BY 1, 2)) WHERE n > 0.1 * m) p ON p.i = a.item_id AND p.j = b.item_id", **VIEWS)
+@query("item_pairs", 'SELECT "row", i, j FROM t_pairs JOIN (SELECT i, j FROM (SELECT *, max(n) OVER () AS m FROM (SELECT i, j, count(*) AS n FROM t_pairs GROUP BY 1, 2)) WHERE n > 0.1 * m) USING (i, j)', **VIEWS, t_pairs='SELECT a.user_id AS "row", a.item_id AS i, b.item_id AS j FROM train a JOIN train b ON a.user_id = b.user_id AND a.item_id < b.item_id')
 def item_pairs(v: Views):
     m = v.train().select(F.col("user_id").alias("row"), F.col("item_id").alias("col"), F.lit(1.0).alias("value"))
     return peritem.item_pairs(m)

@@ -32,7 +32,7 @@ def item_sample(v: Views):
 
 def _holdout(keys: tuple[str, ...]) -> str:
     x = u(4, *keys)
-    return f"SELECT user_id, item_id, part FROM hs WHERE user_id IN (SELECT user_id FROM hs WHERE part = 'train')", {"hs": f"SELECT * FROM (SELECT *, CASE WHEN {x} < 0.6 THEN 'train' WHEN {x} < 0.8 THEN 'valid' ELSE 'test' END AS part FROM interactions) WHERE part = 'train' OR rating > 2"}
+    return "SELECT user_id, item_id, part FROM hs JOIN (SELECT DISTINCT user_id FROM hs WHERE part = 'train') USING (user_id)", {"hs": f"SELECT * FROM (SELECT *, CASE WHEN {x} < 0.6 THEN 'train' WHEN {x} < 0.8 THEN 'valid' ELSE 'test' END AS part FROM interactions) WHERE part = 'train' OR rating > 2"}
 
 
 _sql, _v = _holdout(UI)

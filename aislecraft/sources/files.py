@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RATINGS = "user_id string, item_id string, rating double"
 
 
-def read_interactions(spark: SparkSession, path: str, sep: str = "\t", header: bool = True, schema: str = RATINGS, columns: list[str] | None = None) -> DataFrame:
+def read_interactions(spark: SparkSession, path: str | list[str], sep: str = "\t", header: bool = True, schema: str = RATINGS, columns: list[str] | None = None) -> DataFrame:
     """Delimited ratings; the separator may have several characters, and files may be gzipped."""
     df = spark.read.schema(schema).csv(path, sep=sep, header=header)
     return df.select(*columns) if columns else df
@@ -73,12 +75,23 @@ def save_parts(rows: DataFrame, path: str, by: list[str]) -> None:
     rows.write.mode("ignore").partitionBy(*by).parquet(path)
 
 
+def is_whole(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end at `path`."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
+def kept_frame(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The feature frame at `path`, as gzip Parquet; made and written only where it isn't there whole."""
+    if not is_whole(spark, path):
+        make().write.mode("overwrite").parquet(path, compression="gzip")
+    return spark.read.parquet(path)
+
+
 def longest_cached(spark: SparkSession, root: str, steps: list[str]) -> tuple[DataFrame | None, list[str]]:
     """The table of the longest prefix of `steps` that is stored under `root`, and the steps that are left."""
-    jvm = spark.sparkContext._jvm
     for n in range(len(steps), 0, -1):
-        path = jvm.org.apache.hadoop.fs.Path(f"{root}/{'/'.join(steps[:n])}/_SUCCESS")
-        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        if is_whole(spark, f"{root}/{'/'.join(steps[:n])}"):
             return spark.read.parquet(f"{root}/{'/'.join(steps[:n])}"), steps[n:]
     return None, list(steps)
 

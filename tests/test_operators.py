@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from aislecraft.operators import ensemble, ingest, ltr, metrics, negatives, peritem, ranking, splits, stats
+from aislecraft.operators import ensemble, ingest, ltr, metrics, negatives, peritem, ranking, significance, splits, stats
 from aislecraft.sources import files
 from aislecraft.sources.storage import fresh_path
 
@@ -191,3 +191,80 @@ def test_tversky_has_two_directions(spark):
     rows = spark.createDataFrame([(r, c, 1.0) for c, rs in ((1, range(4)), (2, range(2)), (3, (9,))) for r in rs], "row long, col long, value double")
     w = {(r["dst"], r["src"]): r["weight"] for r in similarity.similar(rows, "tversky", 5, alpha=0.7, beta=0.4).collect()}
     assert w[1, 2] == pytest.approx(2 / (2 + 2 * 0.7 + 0 + 1e-6)) and w[2, 1] == pytest.approx(2 / (2 + 0 + 2 * 0.4 + 1e-6)) and len(w) == 2
+
+
+def test_p_values():
+    """Table values: t quantiles of 5 % by degrees of freedom, and the exact signed-rank distribution."""
+    for df, t in ((1, 12.7062), (5, 2.5706), (10, 2.2281), (30, 2.0423), (1000, 1.9623), (1_000_000, 1.95997)):
+        assert significance.t_p(t, df) == pytest.approx(0.05, abs=2e-5) and significance.t_p(-t, df) == significance.t_p(t, df)
+    assert significance.t_p(0.0, 7) == pytest.approx(1)
+    assert significance.wilcoxon_p(5, 15, 0, 2.0, False) == pytest.approx(2 / 32)
+    assert significance.wilcoxon_p(8, 33, 3, 2.1, False) == pytest.approx(2 * 5 / 256)
+    assert significance.wilcoxon_p(8, 33, 3, 1.959964, True) == pytest.approx(0.05, abs=1e-6)
+
+
+def brute_signed_ranks(d):
+    n, ranks = len(d), {x: k + 1 for k, x in enumerate(sorted(map(abs, d)))}
+    w = sum(ranks[abs(x)] for x in d if x > 0)
+    sums = [sum(k + 1 for k in range(n) if signs >> k & 1) for signs in range(2**n)]
+    low = min(w, n * (n + 1) // 2 - w)
+    return min(1.0, 2 * sum(x <= low for x in sums) / 2**n)
+
+
+def test_the_gate_chooses_the_test(spark):
+    rng = np.random.default_rng(5)
+    normal = rng.normal(0, 1, 200)
+    rows = [("base", k, float(x)) for k, x in enumerate(normal)] + [("shifted", k, float(x + 0.4 + rng.normal(0, 0.5))) for k, x in enumerate(normal)] + [("skewed", k, float(x)) for k, x in enumerate(rng.exponential(1, 200) ** 2)]
+    rows += [("few", k, float(normal[k] + d)) for k, d in enumerate([0.1, -0.2, 0.35, 0.5, 0.7, 0.9, 1.3])] + [("few", 9, float("nan")), ("few", 10, None)] + [("same", k, float(x)) for k, x in enumerate(normal)]
+    got = {r["other"]: r for r in significance.compare(spark.createDataFrame(rows, "algo string, user_id long, value double"), "base", ["shifted", "skewed", "few", "same", "none of these"]).collect()}
+    d = np.array([r[2] for r in rows if r[0] == "base"]) - np.array([r[2] for r in rows if r[0] == "shifted"])
+    assert got["shifted"]["test"] == "paired t" and got["shifted"]["statistic"] == pytest.approx(d.mean() / (d.std(ddof=1) / np.sqrt(200)))
+    assert got["shifted"]["significant"] and got["shifted"]["superior"] == "shifted" and got["shifted"]["threshold"] == pytest.approx(0.01)
+    assert got["skewed"]["test"] == "wilcoxon" and got["few"]["n"] == 7
+    assert got["same"]["test"] == got["none of these"]["test"] == "none" and got["same"]["p"] == 1 and got["none of these"]["n"] == 0
+    few = significance.wilcoxon(spark.createDataFrame([(0.0, x) for x in (0.1, -0.2, 0.35, 0.5, 0.7, 0.9, 1.3)], "a double, b double")).first()
+    assert significance.wilcoxon_p(few["n"], few["w_plus"], few["w_minus"], few["z"], False) == pytest.approx(brute_signed_ranks([-0.1, 0.2, -0.35, -0.5, -0.7, -0.9, -1.3]))
+
+
+def test_equal_values_are_not_normal(spark):
+    assert not significance.is_normal(spark.createDataFrame([(1.0,)] * 9, "value double"), "value")
+    assert not significance.is_normal(spark.createDataFrame([], "value double"), "value")
+
+
+def ranking_rows(spark, n_queries=30, per_query=12, seed=9):
+    rng = np.random.default_rng(seed)
+    rows = [(q, d, float(x > 0.7), float(x + rng.normal(0, 0.1)), float(rng.random())) for q in range(n_queries) for d, x in enumerate(rng.random(per_query))]
+    return spark.createDataFrame(rows, "qid long, doc_id long, rel double, good double, noise double")
+
+
+def test_folds_of_the_ranker(spark):
+    rows = ranking_rows(spark)
+    unseen = ranking_rows(spark, 6, 12, 10).withColumn("qid", F.col("qid") + 1000)
+    held, told = ltr.cross_validated(rows, ["good", "noise"], 3, 1, unseen, rounds=3, patience=1)
+    got = held.collect()
+    assert sorted((r["qid"], r["doc_id"]) for r in got) == sorted((r["qid"], r["doc_id"]) for r in rows.collect())
+    assert len({(r["qid"], r["fold"]) for r in got}) == 30 and {r["fold"] for r in got} == {0, 1, 2}
+    value = ltr.mean_metric(ltr.ndcg(held)).first()["value"]
+    chance = ltr.mean_metric(ltr.ndcg(rows.withColumn("score", F.lit(0.0)))).first()["value"]
+    assert value > 0.8 > chance
+    named = unseen.select("qid", "doc_id", "rel").join(told, ["qid", "doc_id"])
+    assert told.count() == 72 and ltr.mean_metric(ltr.ndcg(named)).first()["value"] > 0.8
+
+
+def test_early_stopping_keeps_the_best_round(spark, monkeypatch):
+    """Of rounds whose NDCG is scripted, the scores are those of the best one, and no round follows `patience` worse ones."""
+    script, calls = iter([0.5, 0.7, 0.6, 0.6, 0.9]), []
+    values = lambda df: spark.createDataFrame([(calls.append(1) or next(script),)], "value double")
+    monkeypatch.setattr(ltr, "mean_metric", values)
+    rows = ranking_rows(spark, 8).withColumn("part", F.when(F.col("qid") < 6, "train").otherwise("valid"))
+    stopped = ltr.boosted(rows, ["good", "noise"], rounds=5, patience=2)
+    assert len(calls) == 4
+    two = ltr.boosted(rows, ["good", "noise"], rounds=2)
+    assert sorted(map(tuple, stopped.collect())) == sorted(map(tuple, two.collect()))
+
+
+def test_a_kept_frame_is_made_once(spark):
+    path = fresh_path(spark, "frame")
+    first = files.kept_frame(spark, path, lambda: spark.range(5))
+    assert sorted(r["id"] for r in first.collect()) == [0, 1, 2, 3, 4]
+    assert files.kept_frame(spark, path, lambda: spark.range(9)).count() == 5
