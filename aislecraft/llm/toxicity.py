@@ -34,6 +34,8 @@ BUCKETS, WIDTH = 1 << 17, 4
 GRAMS = (3, 4, 5, 6)
 #: Labelled documents to learn from, about: of class 0 and of class 1; bytes of one of them at most.
 SAMPLE_DOCS, SAMPLE_BYTES = (5000, 2500), 1 << 15
+#: How many times as many labels are drawn before their texts are known, of which some are missing or too long.
+SPARE = 2.0
 EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY = 10, 600, 64, 0.03, 1e-2
 #: Zero vectors that take part in every mean.
 PAD = 20
@@ -135,9 +137,13 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: tuple[int, int] = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> tuple[np.ndarray, float] | None:
     """Margins of a model learnt from `docs` (doc_id, text) with `labels` (doc_id, toxic): about `sample_docs` of each class, drawn by hash."""
-    known = labels.where(F.col("toxic").isin(0, 1) & F.coalesce(learnable(F.col("doc_id")), F.lit(False))).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
-    marked = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(known, "doc_id")
+    known = labels.where(F.col("toxic").isin(0, 1) & F.coalesce(learnable(F.col("doc_id")), F.lit(False))).select("doc_id", F.col("toxic").cast("int").alias("label")).distinct()
     most = F.element_at(F.array(*(F.lit(float(n)) for n in sample_docs)), F.col("label") + 1)
+    rates = known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).select("label", (SPARE * most / F.col("n")).alias("rate"))  # two rows
+    place = F.pmod(F.xxhash64(F.lit("label"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    ids = known.join(F.broadcast(rates), "label").where(place < F.col("rate")).select("doc_id", F.col("label").alias("toxic"))
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    marked = texts.join(F.broadcast(ids), "doc_id")  # about SPARE times the sample's rows, whatever the input: no text is shuffled for the join
     picked = drawn(marked, "toxic", most, sample_bytes).collect()  # bounded by the two parameters
     rows = sorted(((r["key"], r["label"], r["text"]) for r in picked), key=lambda r: r[:2])
     if not rows:
