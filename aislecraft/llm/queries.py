@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from aislecraft.llm import ann, bpe, decontam, html_wrapper, langid, ngram_join, oracles, pii, toxicity, url_tree, wavelet
+from aislecraft.llm import ann, bpe, decontam, hard_negatives, html_wrapper, langid, near_vectors, ngram_join, oracles, pii, toxicity, url_tree, wavelet, whitening
 from aislecraft.llm.common import ship, table
 
 #: Where the public tokenizers' files are, unless a caller says otherwise.
@@ -62,6 +63,20 @@ def op10_url_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_tree.verdicts(table(spark, sf_dir, "pages"))
 
 
+def op11_polarisation_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_segment_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+    return found.drop("anchor_row", "positive_row", "negative_row")
+
+
+def op13_spherical_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.groups(table(spark, sf_dir, "embeddings"))
+
+
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
