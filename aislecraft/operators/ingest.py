@@ -56,6 +56,16 @@ def places(rows: DataFrame, *order: Column, name: str = "place") -> DataFrame:
     return ranges.withColumn("_inside", inside).join(F.broadcast(starts), "_range").select(*rows.columns, (F.col("_start") + F.col("_inside")).cast("long").alias(name))
 
 
+def prefix_sums(rows: DataFrame, weight: str, *order: Column) -> DataFrame:
+    """`rows` with `start` and `end`, the sums of a whole-numbered weight before and up to each row in an order, worked out in parallel: range partitions, a row for each of them with its sum, and sums within."""
+    ranges = stored(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = ranges.groupBy("_range").agg(F.sum(weight).alias("_w")).select("_range", F.coalesce(F.sum("_w").over(earlier), F.lit(0)).alias("_start"))
+    inside = F.sum(weight).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = ranges.withColumn("_inside", inside).join(F.broadcast(starts), "_range").withColumn("end", (F.col("_start") + F.col("_inside")).cast("long"))
+    return out.select(*rows.columns, (F.col("end") - F.col(weight)).cast("long").alias("start"), "end")
+
+
 def restrict(rows: DataFrame, known: DataFrame, column: str) -> DataFrame:
     """Rows whose id is known."""
     return rows.join(known.select(column).distinct(), column, "left_semi").select(*rows.columns)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from aislecraft.functions.hashing import hash_uniform
 from aislecraft.operators import stats
 from aislecraft.operators.ranking import top_k
+from aislecraft.operators.similarity import row_pairs
 
 
 def top_pop(train: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -33,16 +34,22 @@ def predefined(scores: DataFrame, k: int) -> DataFrame:
     return top_k(scores, k)
 
 
-def item_scores(profiles: DataFrame, similarity: DataFrame) -> DataFrame:
-    """Sum over a user's items of rating times weight of (src item, dst item)."""
+def item_scores(profiles: DataFrame, similarity: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """Sum over a user's items of rating times weight of (src item, dst item); with `candidates` only of their users and items, which are sought before sums are formed."""
     s = similarity.select(F.col("src").alias("item_id"), "dst", "weight")
-    return profiles.join(s, "item_id").groupBy("user_id", F.col("dst").alias("item_id")).agg(F.sum(F.col("rating") * F.col("weight")).alias("score"))
+    return _summed(profiles.join(s, "item_id").select("user_id", F.col("dst").alias("item_id"), (F.col("rating") * F.col("weight")).alias("score")), candidates)
 
 
-def user_scores(profiles: DataFrame, similarity: DataFrame) -> DataFrame:
-    """Sum over a user's neighbours (dst user; src neighbour) of weight times rating."""
+def user_scores(profiles: DataFrame, similarity: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """Sum over a user's neighbours (dst user; src neighbour) of weight times rating; `candidates` as above."""
     s = similarity.select(F.col("src").alias("user_id"), "dst", "weight")
-    return profiles.join(s, "user_id").groupBy(F.col("dst").alias("user_id"), "item_id").agg(F.sum(F.col("rating") * F.col("weight")).alias("score"))
+    return _summed(profiles.join(s, "user_id").select(F.col("dst").alias("user_id"), "item_id", (F.col("rating") * F.col("weight")).alias("score")), candidates)
+
+
+def _summed(rows: DataFrame, candidates: DataFrame | None) -> DataFrame:
+    if candidates is not None:
+        rows = rows.join(candidates.select("user_id", "item_id"), ["user_id", "item_id"], "left_semi")
+    return rows.groupBy("user_id", "item_id").agg(F.sum("score").alias("score"))
 
 
 def for_candidates(scores: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -53,9 +60,10 @@ def random_walk(matrix: DataFrame, alpha: float, beta: float, k: int) -> DataFra
     """src, dst, weight: the k likeliest items two steps from each item over common users, step probabilities to the power alpha, over popularity to the power beta."""
     size = matrix.groupBy("row").agg(F.sum("value").alias("_s"))
     n = stats.counts(matrix, "col", "_n")
-    a = matrix.select("row", F.col("col").alias("src"))
-    b = matrix.join(size, "row").select("row", F.col("col").alias("dst"), F.pow(F.col("value") / F.col("_s"), alpha).alias("p"))
-    steps = a.join(b, "row").where("src <> dst").groupBy("src", "dst").agg(F.sum("p").alias("w"))
+    chances = matrix.join(size, "row").select("row", "col", F.pow(F.col("value") / F.col("_s"), alpha).alias("value"))
+    pairs = row_pairs(chances).groupBy("i", "j").agg(F.sum("vj").alias("there"), F.sum("vi").alias("back"))  # each pair once, its two directions side by side
+    either = F.explode(F.array(F.struct(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("there").alias("w")), F.struct(F.col("j").alias("src"), F.col("i").alias("dst"), F.col("back").alias("w"))))
+    steps = pairs.select(either.alias("x")).select("x.*")
     both = steps.join(n.select(F.col("col").alias("src"), F.col("_n").alias("ns")), "src").join(n.select(F.col("col").alias("dst"), F.col("_n").alias("nd")), "dst")
     weight = F.col("w") / F.pow("ns", F.lit(alpha)) / (F.pow("nd", F.lit(beta)) if beta else F.lit(1.0))
     return top_k(both.select("src", "dst", weight.alias("weight")), k, "src", "dst", "weight")

@@ -1,23 +1,57 @@
 """Similarity of columns of a long matrix (row, col, value).
 
 All kernels share one self join on the row with i < j, summed by pair, so that
-every pair is formed once for each common row; norms and counts are joined
-afterwards. `similar` mirrors the pairs and keeps the best neighbours.
+every pair is formed once for each common row; a long row is joined by pairs of
+its blocks, which many tasks share. Norms and counts are joined afterwards. `similar` mirrors the pairs and keeps the best neighbours.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aislecraft.operators.ingest import places
 from aislecraft.operators.ranking import top_k
+from aislecraft.sources.storage import stored
+
+
+#: Entries of a row that one key of a join takes; longer rows are dealt into blocks, and pairs of blocks are the keys.
+BLOCK = 1024
+
+
+def _dealt(matrix: DataFrame) -> DataFrame:
+    """row, col, value with the number of blocks of the row and the entry's own."""
+    long = matrix.groupBy("row").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks")).where("_blocks > 1")
+    blocks = F.coalesce("_blocks", F.lit(1))
+    return matrix.select("row", "col", "value").join(long, "row", "left").select("row", "col", "value", blocks.alias("_blocks"), F.pmod(F.xxhash64("col"), blocks).cast("int").alias("_b"))
+
+
+def row_pairs(matrix: DataFrame) -> DataFrame:
+    """i, vi, j, vj: the entries of each row in pairs, i < j, each pair once; however long a row is, no key of the join has more than about BLOCK entries."""
+    dealt = _dealt(matrix)
+    a = dealt.select("row", F.col("_b").alias("p"), F.explode(F.sequence(F.col("_b"), F.col("_blocks") - 1)).alias("q"), F.struct("col", "value").alias("a"))
+    b = dealt.select("row", F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("p"), F.col("_b").alias("q"), F.struct("col", "value").alias("b"))
+    met = a.join(b, ["row", "p", "q"]).where("p < q or a.col < b.col")
+    low, high = F.when(F.expr("a.col < b.col"), F.col("a")).otherwise(F.col("b")), F.when(F.expr("a.col < b.col"), F.col("b")).otherwise(F.col("a"))
+    return met.select(low.alias("a"), high.alias("b")).select(F.col("a.col").alias("i"), F.col("a.value").alias("vi"), F.col("b.col").alias("j"), F.col("b.value").alias("vj"))
+
+
+def companions(matrix: DataFrame, anchors: DataFrame) -> DataFrame:
+    """i, j, n: in how many rows of `matrix` (row, col) a column i of `anchors` (col) and another column j are found together."""
+    dealt = _dealt(matrix.withColumn("value", F.lit(1)))
+    grid = lambda: F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    a = dealt.join(anchors.select("col").distinct(), "col", "left_semi").select("row", F.col("_b").alias("p"), grid().alias("q"), F.col("col").alias("i"))
+    b = dealt.select("row", grid().alias("p"), F.col("_b").alias("q"), F.col("col").alias("j"))
+    return a.join(b, ["row", "p", "q"]).where("i <> j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"))
 
 
 def cooccurrence(matrix: DataFrame, least: int = 1, mirrored: bool = True) -> DataFrame:
     """i, j, dot, n: sums over common rows; pairs with fewer than `least` of them go."""
-    a = matrix.select("row", F.col("col").alias("i"), F.col("value").alias("vi"))
-    b = matrix.select("row", F.col("col").alias("j"), F.col("value").alias("vj"))
-    pairs = a.join(b, (a["row"] == b["row"]) & (a["i"] < b["j"])).groupBy("i", "j").agg(F.sum(F.col("vi") * F.col("vj")).alias("dot"), F.count(F.lit(1)).alias("n"))
+    pairs = row_pairs(matrix).groupBy("i", "j").agg(F.sum(F.col("vi") * F.col("vj")).alias("dot"), F.count(F.lit(1)).alias("n"))
     pairs = pairs.where(F.col("n") >= least) if least > 1 else pairs
     return mirror(pairs) if mirrored else pairs
 
@@ -118,32 +152,79 @@ def overlap(content: DataFrame, collaborative: DataFrame) -> DataFrame:
     return both.agg(F.count(F.lit(1)).alias("pairs"), F.count("_c").alias("shared"), (F.count("_c") / F.count(F.lit(1))).alias("share"))
 
 
-def of_factors(factors: DataFrame, k: int, block: int = 4096) -> DataFrame:
-    """src, dst, weight, rank: the k largest dot products of each vector (id, vec), self excluded.
+#: Vectors of a block, and blocks at most, by falling length.
+VECTORS, MOST_BLOCKS = 4096, 65_536
 
-    Vectors are dealt into blocks of about `block`, as many as their number asks for, and each pair of blocks is one matrix product.
-    """
-    import numpy as np
-    import pandas as pd
 
-    blocks = max(1, -(-factors.count() // block))
-    dealt = factors.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = dealt.select("id", "vec", F.col("b").alias("x")).withColumn("y", every)
-    right = dealt.select(F.col("id").alias("id2"), F.col("vec").alias("vec2"), F.col("b").alias("y2")).withColumn("x2", every)
+def largest_products(queries: DataFrame, vectors: DataFrame, k: int, block: int = VECTORS) -> DataFrame:
+    """query, id, product: for each of `queries` (id, vec) the k largest dot products with `vectors` (id, vec), itself left out, ties to the smaller id; rounded to nine places for the order.
+
+    Vectors are dealt into blocks by falling length. Every query meets the block
+    of the longest first; the k-th best product there, over the query's length,
+    is what a vector must at least be long, so that all blocks of shorter
+    vectors are skipped (Cauchy-Schwarz). Only the others are opened, with
+    slices of the queries that need them.
+    """
+    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
+    n, spark = vectors.count(), vectors.sparkSession
+    block = max(block, -(-n // MOST_BLOCKS))
+    sorted_ = places(vectors.select("id", "vec", length.alias("norm")), F.col("norm").desc(), F.col("id").asc())
+    dealt = stored(sorted_.select("id", "vec", "norm", F.expr(f"cast(place div {block} as int)").alias("block")), "lengths")
+    none = spark.createDataFrame([], "query long, id long, product double")
+    if not n:
+        return none
+    longest = np.array([r["most"] for r in dealt.groupBy("block").agg(F.max("norm").alias("most")).orderBy("block").collect()])  # a number for each block
+    head = dealt.where("block = 0").select("id", "vec").toPandas()  # one block
+    first = spark.sparkContext.broadcast((head["id"].to_numpy(), np.stack(head["vec"].to_list()), longest))
+
+    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, x, longest = first.value
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            q = np.stack(pdf["vec"].to_list())
+            found = _best_products(pdf["id"].to_numpy(), q, ids, x, k)
+            least = np.array([p[-1] if len(p) == k else -np.inf for _, p in found])
+            reach = np.linalg.norm(q, axis=1)[:, None] * longest >= least[:, None] - 1e-8 * (1 + np.abs(least[:, None]))
+            yield pd.DataFrame({"query": pdf["id"], "vec": pdf["vec"], "last": (reach.sum(axis=1) - 1).clip(min=0), "ids": [i for i, _ in found], "products": [p for _, p in found]})
+
+    met = stored(queries.select("id", "vec").mapInPandas(opened, "query long, vec array<double>, last int, ids array<long>, products array<double>"), "met")
+    near = met.select("query", F.explode(F.arrays_zip("ids", "products")).alias("x")).select("query", F.col("x.ids").alias("id"), F.col("x.products").alias("product"))
+    wanted = met.where("last > 0").select("query", "vec", F.explode(F.sequence(F.lit(1), F.col("last"))).alias("block"))
+    slices = stored(wanted.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("slices")), "slices")  # a row for each block
+    if slices.isEmpty():
+        return _k_best(near, k)
+    ask = wanted.join(F.broadcast(slices), "block").select("block", F.pmod(F.xxhash64("query"), "slices").cast("int").alias("slice"), "query", "vec")
+    told = dealt.join(F.broadcast(slices), "block").select("block", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "id", F.col("vec").alias("other"))
 
     def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"dst": np.array([], np.int64), "src": np.array([], np.int64), "weight": np.array([], float)})
-        b = b.sort_values("id2")
-        ids, out = b["id2"].to_numpy(), []
-        y = np.stack(b["vec2"].to_list())
-        for me, x in zip(a["id"], a["vec"]):
-            s = y @ x
+            return pd.DataFrame({"query": np.array([], np.int64), "id": np.array([], np.int64), "product": np.array([], float)})
+        found = _best_products(a["query"].to_numpy(), np.stack(a["vec"].to_list()), b["id"].to_numpy(), np.stack(b["other"].to_list()), k)
+        return pd.DataFrame({"query": np.repeat(a["query"].to_numpy(), [len(i) for i, _ in found]), "id": np.concatenate([i for i, _ in found]), "product": np.concatenate([p for _, p in found])})
+
+    more = ask.groupBy("block", "slice").cogroup(told.groupBy("block", "slice")).applyInPandas(product, "query long, id long, product double")
+    return _k_best(near.unionByName(more), k)
+
+
+def _best_products(queries: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each query the ids and products of its k largest, its own id left out, largest first."""
+    out = []
+    for a in range(0, len(q), 256):
+        for me, s in zip(queries[a : a + 256], q[a : a + 256] @ x.T):
             s[ids == me] = -np.inf
-            near = np.lexsort((ids, -np.round(s, 9)))[:k]
-            out.append(pd.DataFrame({"dst": me, "src": ids[near], "weight": s[near]}))
-        return pd.concat(out)
+            least = np.partition(s, -k)[-k] if len(s) > k else -np.inf
+            near = np.flatnonzero((s >= least - 1e-8) & (s > -np.inf))
+            near = near[np.lexsort((ids[near], -np.round(s[near], 9)))[:k]]
+            out.append((ids[near], s[near]))
+    return out
+
+
+def _k_best(rows: DataFrame, k: int) -> DataFrame:
+    return top_k(rows, k, "query", "id", "product").select("query", "id", "product")
+
 
-    parts = left.groupBy("x", "y").cogroup(right.groupBy("x2", "y2")).applyInPandas(product, "dst long, src long, weight double")
-    return top_neighbours(parts.where(F.col("weight") > float("-inf")), k)
+def of_factors(factors: DataFrame, k: int, block: int = VECTORS) -> DataFrame:
+    """src, dst, weight, rank: the k largest dot products of each vector (id, vec), self excluded; zero weights aren't stored."""
+    found = largest_products(factors, factors, k, block)
+    return top_neighbours(found.select(F.col("query").alias("dst"), F.col("id").alias("src"), F.col("product").alias("weight")), k)

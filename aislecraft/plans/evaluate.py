@@ -32,7 +32,7 @@ VIEWS = {
 
 
 def hold(v: Views) -> DataFrame:
-    return v.interactions().withColumn("part", F.when(hash_uniform(SEED, F.lit("hold"), F.col("user_id"), F.col("item_id")) < 0.8, "train").otherwise("test"))
+    return v.written().withColumn("part", F.when(hash_uniform(SEED, F.lit("hold"), F.col("user_id"), F.col("item_id")) < 0.8, "train").otherwise("test"))
 
 
 def held(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aislecraft.functions.hashing import hash_uniform
-from aislecraft.operators import factors, ingest, metrics, models, peritem, ranking, similarity
+from aislecraft.operators import dense, factors, ingest, metrics, models, peritem, ranking, similarity
 from aislecraft.plans.base import query
 from aislecraft.plans.sql import u
 from aislecraft.sources.views import Views
@@ -152,7 +152,7 @@ def profile(v: Views) -> DataFrame:
 
 @query("score_item_knn", _ranked(_scored(_sim("mat", COSINE.format(s=100), 20))), **VIEWS)
 def score_item_knn(v: Views):
-    return models.for_candidates(models.item_scores(profile(v), similarity.similar(mat(v), "cosine", 20, 100)), v.candidates())
+    return models.item_scores(profile(v), similarity.similar(mat(v), "cosine", 20, 100), v.candidates())
 
 
 @query("rec_itemknn", _ranked(_scored(_sim("tfi", COSINE.format(s=100), 20), "tfi")), **VIEWS)
@@ -160,33 +160,33 @@ def rec_itemknn(v: Views):
     """TF-IDF weighting with items as documents and users as terms; the weighted matrix is the profile too."""
     weighted = similarity.tf_idf(umat(v)).select(F.col("col").alias("row"), F.col("row").alias("col"), "value")
     prof = weighted.select(F.col("row").alias("user_id"), F.col("col").alias("item_id"), F.col("value").alias("rating"))
-    return models.for_candidates(models.item_scores(prof, similarity.similar(weighted, "cosine", 20, 100)), v.candidates())
+    return models.item_scores(prof, similarity.similar(weighted, "cosine", 20, 100), v.candidates())
 
 
 @query("rec_userknn", f"SELECT s.user_id, s.item_id, round(s.score, 6) AS score FROM (SELECT s.dst AS user_id, p.col AS item_id, sum(p.value * s.weight) AS score FROM mat p JOIN ({_sim('umat', COSINE.format(s=100), 20)}) s ON s.src = p.row GROUP BY 1, 2) s JOIN candidates c ON c.user_id = s.user_id AND c.item_id = s.item_id", **VIEWS)
 def rec_userknn(v: Views):
-    return models.for_candidates(models.user_scores(profile(v), similarity.similar(umat(v), "cosine", 20, 100)), v.candidates())
+    return models.user_scores(profile(v), similarity.similar(umat(v), "cosine", 20, 100), v.candidates())
 
 
 @query("rec_itemknn_cbf", _ranked(_scored(_sim("feat", COSINE.format(s=1), 20))), **VIEWS)
 def rec_itemknn_cbf(v: Views):
-    return models.for_candidates(models.item_scores(profile(v), similarity.similar(feat(v), "cosine", 20, 1)), v.candidates())
+    return models.item_scores(profile(v), similarity.similar(feat(v), "cosine", 20, 1), v.candidates())
 
 
 @query("rec_userknn_cbf", f"SELECT s.user_id, s.item_id, round(s.score, 6) AS score FROM (SELECT s.dst AS user_id, p.col AS item_id, sum(p.value * s.weight) AS score FROM mat p JOIN ({_sim('ufeat', COSINE.format(s=1), 20)}) s ON s.src = p.row GROUP BY 1, 2) s JOIN candidates c ON c.user_id = s.user_id AND c.item_id = s.item_id", **VIEWS)
 def rec_userknn_cbf(v: Views):
-    return models.for_candidates(models.user_scores(profile(v), similarity.similar(ufeat(v), "cosine", 20, 1)), v.candidates())
+    return models.user_scores(profile(v), similarity.similar(ufeat(v), "cosine", 20, 1), v.candidates())
 
 
 @query("rec_hybrid", _ranked(_scored(_sim("hyb", COSINE.format(s=10), 20))), **VIEWS)
 def rec_hybrid(v: Views):
-    return models.for_candidates(models.item_scores(profile(v), similarity.similar(ingest.hybrid_stack(mat(v), feat(v), 0.3), "cosine", 20, 10)), v.candidates())
+    return models.item_scores(profile(v), similarity.similar(ingest.hybrid_stack(mat(v), feat(v), 0.3), "cosine", 20, 10), v.candidates())
 
 
 @query("rec_custom_sim", _ranked(_scored(_sim("mat_one", "dot / (si + sj - dot + 1e-6)", 5))), **VIEWS)
 def rec_custom(v: Views):
     supplied = similarity.similar(mat(v), "jaccard", 50).select("src", "dst", "weight")
-    return models.for_candidates(models.item_scores(profile(v), similarity.top_neighbours(supplied, 5)), v.candidates())
+    return models.item_scores(profile(v), similarity.top_neighbours(supplied, 5), v.candidates())
 
 
 def _walk(beta: float) -> str:
@@ -195,12 +195,12 @@ def _walk(beta: float) -> str:
 
 @query("rec_p3alpha", _ranked(_scored(_walk(0))), **VIEWS)
 def rec_p3alpha(v: Views):
-    return models.for_candidates(models.item_scores(profile(v), models.random_walk(mat(v), 0.9, 0.0, 20)), v.candidates())
+    return models.item_scores(profile(v), models.random_walk(mat(v), 0.9, 0.0, 20), v.candidates())
 
 
 @query("rec_rp3beta", _ranked(_scored(_walk(0.6))), **VIEWS)
 def rec_rp3beta(v: Views):
-    return models.for_candidates(models.item_scores(profile(v), models.random_walk(mat(v), 0.9, 0.6, 20)), v.candidates())
+    return models.item_scores(profile(v), models.random_walk(mat(v), 0.9, 0.6, 20), v.candidates())
 
 
 for _name, _algo in {"rec_toppop": "toppop", "rec_global_effects": "global"}.items():
@@ -253,7 +253,11 @@ def fold_in(v: Views):
     return p.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).join(vec, "user_id").select("user_id", "n", F.col("vec")[0].alias("v0"), F.col("vec")[63].alias("v63"))
 
 
-@query("cold_user_knn")
+@query(
+    "cold_user_knn",
+    "SELECT t.user_id, s.dst AS item_id, round(sum(s.weight), 6) AS score FROM train t JOIN f_sim s ON s.src = t.item_id GROUP BY 1, 2",
+    f_sim="SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY round(weight, 9) DESC, src) AS rank FROM (SELECT b.id AS src, a.id AS dst, list_dot_product(a.vec, b.vec) AS weight FROM factors a JOIN factors b ON a.id <> b.id) WHERE weight <> 0) WHERE rank <= 10",
+)
 def cold_user_knn(v: Views):
     """Users without a factor, scored from the similarity of the item factors."""
     p = v.train().select("user_id", "item_id", F.lit(1.0).alias("rating"))
@@ -292,20 +296,34 @@ def factor_features(v: Views):
 
 @query("rec_ease")
 def rec_ease(v: Views):
-    sim = peritem.ridge(mat(v), 100.0, 30, 10)
-    return models.for_candidates(models.item_scores(profile(v), sim), v.candidates())
+    """Every item's regression on all others, the hundred largest weights of each."""
+    return models.item_scores(profile(v), dense.ease(mat(v), 100.0, 100), v.candidates())
+
+
+@query("rec_ease_neighbours")
+def rec_ease_neighbours(v: Views):
+    """Regressions on the 200 items that are most often found with each: where the dense inverse is too large."""
+    return models.item_scores(profile(v), peritem.ridge(mat(v), 100.0, 200), v.candidates())
+
+
+@query("rec_ease_pairs")
+def rec_ease_pairs(v: Views):
+    """Regressions on items and frequent pairs of items."""
+    m = v.train().select(F.col("user_id").alias("row"), F.col("item_id").alias("col"), F.lit(1.0).alias("value"))
+    extended, named = peritem.with_pairs(m, peritem.item_pairs(m, 0.6))
+    return peritem.higher_order_scores(extended, peritem.higher_order(extended, named, 100.0, 100.0, 50), v.candidates())
 
 
 @query("rec_slim")
 def rec_slim(v: Views):
     sim = peritem.slim(mat(v), 10.0, 0.1, 30, 10)
-    return models.for_candidates(models.item_scores(profile(v), sim), v.candidates())
+    return models.item_scores(profile(v), sim, v.candidates())
 
 
 @query("flagship_ndcg", f"SELECT market, round(avg(v), 6) AS ndcg FROM (SELECT market, user_id, max(CASE WHEN hit AND r <= 10 THEN ln(2) / ln(r + 1) ELSE 0 END) AS v FROM (SELECT t.market, t.user_id, s.item_id = t.item_id AS hit, row_number() OVER (PARTITION BY s.user_id ORDER BY round(s.score, 9) DESC, s.item_id) AS r FROM test t LEFT JOIN (SELECT s.* FROM ({_scored(_sim('mat', COSINE.format(s=100), 50))}) s JOIN candidates c ON c.user_id = s.user_id AND c.item_id = s.item_id) s USING (user_id)) GROUP BY 1, 2) GROUP BY 1", **VIEWS)
 def flagship(v: Views):
     """Item neighbours on train, candidates ranked, NDCG at 10 of each market."""
-    scores = models.for_candidates(models.item_scores(profile(v), similarity.similar(mat(v), "cosine", 50, 100)), v.candidates())
+    scores = models.item_scores(profile(v), similarity.similar(mat(v), "cosine", 50, 100), v.candidates())
     test = v.test()
     users = metrics.per_user(ranking.top_k(scores, 10), test.select("user_id", "item_id", "rating"), [10])
     return test.select("market", "user_id").join(users, "user_id").groupBy("market").agg(F.avg("ndcg").alias("ndcg"))

@@ -10,6 +10,11 @@ def h(seed: object, *keys: str) -> str:
     return f"(('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(f'{k}::VARCHAR' for k in keys)})), 1, 8))::BIGINT)"
 
 
+def h60(seed: object, *keys: str) -> str:
+    """The SQL of functions.hashing.hash_long."""
+    return f"(('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(f'{k}::VARCHAR' for k in keys)})), 1, 15))::BIGINT)"
+
+
 def u(seed: object, *keys: str) -> str:
     return f"({h(seed, *keys)} / 4294967296.0)"
 

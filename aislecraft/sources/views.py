@@ -19,6 +19,8 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self._split: DataFrame | None = None
+        self._written: DataFrame | None = None
+        self._scores: DataFrame | None = None
         self._candidates: dict[int, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
@@ -45,8 +47,16 @@ class Views:
         """market, user_id, item_id, rating: unique on user and item."""
         if self._split is not None:
             return self._split.drop("part")
+        if self._written is not None:
+            return self._written
         return self.raw().groupBy("market", "user_id", "item_id").agg(F.avg("rating").alias("rating"))
 
+    def written(self) -> DataFrame:
+        """Interactions, written once for a query that reads them several times."""
+        if self._split is None and self._written is None:
+            self._written = stored(self.interactions(), "interactions")
+        return self.interactions()
+
     def sparse(self) -> DataFrame:
         """Interactions of the highest rating: small profiles."""
         return self.interactions().where("rating >= 5")
@@ -92,12 +102,16 @@ class Views:
         return self._candidates[n]
 
     def scores(self) -> DataFrame:
-        """algo, user_id, item_id, score of the candidates by three simple models."""
+        """algo, user_id, item_id, score of the candidates by three simple models. Written once for a query."""
         from aislecraft.operators import models
 
+        if self._scores is not None:
+            return self._scores
         train, cand = self.train(), self.candidates()
         both = models.top_pop(train, cand).withColumn("algo", F.lit("toppop")).unionByName(models.global_effects(train, cand).withColumn("algo", F.lit("global")))
-        return both.unionByName(models.mean_rating(train, cand).withColumn("algo", F.lit("mean"))).select("algo", "user_id", "item_id", "score")
+        both = both.unionByName(models.mean_rating(train, cand).withColumn("algo", F.lit("mean"))).select("algo", "user_id", "item_id", "score")
+        self._scores = stored(both, "scores")
+        return self._scores
 
     def factors(self) -> DataFrame:
         """id, vec: of a user or an item of that id."""
