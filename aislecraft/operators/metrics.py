@@ -109,17 +109,31 @@ def inter_list(lists: DataFrame, k: int) -> DataFrame:
     return squares.crossJoin(users).select((1 - ((F.col("s") - u * k) / k) / (u * u - u)).alias("value"))  # rows of one
 
 
-def intra_list(lists: DataFrame, similarity: DataFrame) -> DataFrame:
-    """Mean over users of 1 - similarity of the pairs of their list; the last item starts no pair. Missing pairs have similarity 0."""
+def _list_pairs(lists: DataFrame) -> DataFrame:
+    """user_id, src, dst, m: ordered pairs of each user's list of m items; the last item starts no pair. Lists are short: a constant number of pairs for each user."""
     size = Window.partitionBy("user_id")
     a = lists.select("user_id", F.col("item_id").alias("src"), F.col("rank").alias("ra"), F.max("rank").over(size).alias("last"), F.count(F.lit(1)).over(size).alias("m"))
     b = lists.select("user_id", F.col("item_id").alias("dst"), F.col("rank").alias("rb"))
-    pairs = a.join(b, "user_id").where("ra <> rb and ra < last")  # lists are short: a constant number of pairs for each user
-    scored = pairs.join(similarity.select("src", "dst", "weight"), ["src", "dst"], "left")
+    return a.join(b, "user_id").where("ra <> rb and ra < last").select("user_id", "src", "dst", "m")
+
+
+def _mean_diversity(scored: DataFrame) -> DataFrame:
     users = scored.groupBy("user_id").agg((F.sum(1 - F.coalesce("weight", F.lit(0.0))) / (F.first("m") * (F.first("m") - 1))).alias("v"))
     return users.agg(F.avg("v").alias("value"))
 
 
+def intra_list(lists: DataFrame, similarity: DataFrame) -> DataFrame:
+    """Mean over users of 1 - similarity of the pairs of their list; missing pairs have similarity 0."""
+    return _mean_diversity(_list_pairs(lists).join(similarity.select("src", "dst", "weight"), ["src", "dst"], "left"))
+
+
+def intra_list_of(lists: DataFrame, sets: DataFrame, size: float) -> DataFrame:
+    """The same with the similarity |A and B| / size of the items' feature sets (item_id, features): only pairs that stand in a list are compared."""
+    of = lambda key, name: sets.select(F.col("item_id").alias(key), F.col("features").alias(name))
+    pairs = _list_pairs(lists).join(of("src", "_a"), "src", "left").join(of("dst", "_b"), "dst", "left")
+    return _mean_diversity(pairs.withColumn("weight", F.size(F.array_intersect("_a", "_b")) / size).withColumn("weight", F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.col("weight"))))
+
+
 def sampled_correction(spark, n_items: int, n_samples: int, cutoff: int, metric: str, gamma: float | None = 0.01) -> list[float]:
     """Weights of the ranks in a list of n_samples sampled items, so that the expected value is that of a metric over all n_items.
 

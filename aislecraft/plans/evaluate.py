@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from aislecraft.functions.hashing import hash_uniform
 from aislecraft.operators import ltr, metrics, models, ranking, significance, stats
 from aislecraft.plans.base import query
-from aislecraft.plans.sql import u
+from aislecraft.plans.sql import h, u
+from aislecraft.sources.storage import stored
 from aislecraft.sources.views import SEED, Views
 
 CUTOFFS = [5, 10, 20]
@@ -115,11 +116,11 @@ def inter_list(v: Views):
     return metrics.inter_list(held(v)[0].where("rank <= 10"), 10)
 
 
-@query("eval_intra_list", "SELECT round(avg(v), 6) AS value FROM (SELECT user_id, sum(1 - coalesce(w, 0)) / (max(m) * (max(m) - 1)) AS v FROM (SELECT a.user_id, a.item_id AS src, b.item_id AS dst, a.m FROM (SELECT *, max(rank) OVER (PARTITION BY user_id) AS last, count(*) OVER (PARTITION BY user_id) AS m FROM h_top) a JOIN h_top b USING (user_id) WHERE a.rank <> b.rank AND a.rank < last) LEFT JOIN (SELECT a.item_id AS src, b.item_id AS dst, count(*) / 5.0 AS w FROM item_features a JOIN item_features b USING (feature) WHERE feature LIKE 'word_%' OR feature LIKE 'brand_%' GROUP BY 1, 2) USING (src, dst) GROUP BY 1)", **VIEWS)
+@query("eval_intra_list", "SELECT round(avg(v), 6) AS value FROM (SELECT user_id, sum(1 - coalesce(w, 0)) / (max(m) * (max(m) - 1)) AS v FROM (SELECT a.user_id, a.item_id AS src, b.item_id AS dst, a.m FROM (SELECT *, max(rank) OVER (PARTITION BY user_id) AS last, count(*) OVER (PARTITION BY user_id) AS m FROM h_top) a JOIN h_top b USING (user_id) WHERE a.rank <> b.rank AND a.rank < last) LEFT JOIN (SELECT a.item_id AS src, b.item_id AS dst, count(*) / 5.0 AS w FROM item_features a JOIN item_features b USING (feature) GROUP BY 1, 2) USING (src, dst) GROUP BY 1)", **VIEWS)
 def intra_list(v: Views):
-    f = v.item_features().where("feature like 'word_%' or feature like 'brand_%'")
-    pairs = f.select(F.col("item_id").alias("src"), "feature").join(f.select(F.col("item_id").alias("dst"), "feature"), "feature")
-    return metrics.intra_list(held(v)[0].where("rank <= 10"), pairs.groupBy("src", "dst").agg((F.count(F.lit(1)) / 5.0).alias("weight")))
+    """Similarity: the share of five features that two items have in common."""
+    sets = v.item_features().groupBy("item_id").agg(F.collect_set("feature").alias("features"))
+    return metrics.intra_list_of(held(v)[0].where("rank <= 10"), sets, 5)
 
 
 @query("eval_ratio", f"SELECT 'shannon' AS metric, round(a.value / b.value, 4) AS value FROM ({SHAN.format('h_counts')}) a, ({SHAN.format('h_pop')}) b UNION ALL SELECT 'herfindahl', round(a.value / b.value, 4) FROM ({HERF.format('h_counts')}) a, ({HERF.format('h_pop')}) b UNION ALL SELECT 'gini', round(a.value / b.value, 4) FROM ({GINI.format('h_counts')}) a, ({GINI.format('h_pop')}) b", **VIEWS)
@@ -269,9 +270,12 @@ def ltr_labels(v: Views):
     return ltr.labels(v.candidates(), v.test())
 
 
+def _document_features(v: Views) -> DataFrame:
+    return v.table("documents").select("doc_id", "source", F.length("text").cast("double").alias("f_len"), F.size(F.split("text", " ")).cast("double").alias("f_words"), F.size(F.split("text", "\n")).cast("double").alias("f_lines"))
+
+
 def _features(v: Views) -> DataFrame:
-    docs = v.table("documents").select("doc_id", F.length("text").cast("double").alias("f_len"), F.size(F.split("text", " ")).cast("double").alias("f_words"), F.size(F.split("text", "\n")).cast("double").alias("f_lines"))
-    return v.ltr().join(docs, "doc_id")
+    return v.ltr().join(_document_features(v).drop("source"), "doc_id")
 
 
 @query("ltr_gbt")
@@ -290,6 +294,40 @@ def ltr_cv(v: Views):
     return values.groupBy("fold").agg(F.count(F.lit(1)).alias("n_queries"), F.avg("value").alias("ndcg"))
 
 
-@query("permutation_importance")
+#: NDCG of the documents whose features f are dealt anew.
+def _dealt(f: str | None) -> str:
+    fresh = lambda c: f"d.{c}" if c == f else f"a.{c}"
+    rows = f"SELECT a.qid, a.doc_id, a.rel, {fresh('f_len')} - 100 * {fresh('f_lines')} AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY doc_id) AS n FROM l_feat) a JOIN (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {h(7, chr(39) + str(f) + chr(39), 'qid', 'doc_id')}, doc_id) AS n FROM l_feat) d ON a.qid = d.qid AND a.n = d.n"
+    ranks = f"SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rel, doc_id) AS rank, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, doc_id) AS best FROM ({rows})"
+    return f"SELECT avg(CASE WHEN b > 0 THEN a / b ELSE 0 END) AS value FROM (SELECT qid, sum(CASE WHEN rank <= 10 THEN (2 ** rel - 1) / log2(rank + 1) ELSE 0 END) AS a, sum(CASE WHEN best <= 10 THEN (2 ** rel - 1) / log2(best + 1) ELSE 0 END) AS b FROM ({ranks}) GROUP BY 1)"
+
+
+@query(
+    "permutation_importance",
+    " UNION ALL ".join(f"SELECT '{f}' AS feature, round((SELECT value FROM ({_dealt(None)})) - value, 6) AS drop FROM ({_dealt(f)})" for f in ("f_len", "f_lines")),
+    **VIEWS,
+    l_feat="SELECT l.qid, doc_id, l.rel, length(text)::DOUBLE AS f_len, len(string_split(text, chr(10)))::DOUBLE AS f_lines FROM ltr l JOIN documents d USING (doc_id)",
+)
 def permutation(v: Views):
+    """Of a given expression over two features."""
     return ltr.permutation_importance(_features(v).drop("score"), ["f_len", "f_lines"], F.col("f_len") - 100 * F.col("f_lines"))
+
+
+NAMES = ["f_len", "f_words", "f_lines"]
+
+
+@query("ranker_importance")
+def ranker_importance(v: Views):
+    """Of the trained rankers of grouped folds, by fold and feature."""
+    rows = stored(_features(v).drop("score"), "features")
+    held, _, models = ltr.folded(rows, NAMES, 3, 13, rounds=3)
+    return ltr.fold_importance(rows, NAMES, held, models)
+
+
+@query("oof_ranker")
+def oof_ranker(v: Views):
+    """Out-of-fold scores of the labelled documents, and the folds' mean of all documents without labels (fold is null)."""
+    rows = stored(_features(v).drop("score"), "features")
+    others = _document_features(v).join(rows.select("doc_id"), "doc_id", "left_anti").withColumnRenamed("source", "qid")
+    held, told, _ = ltr.folded(rows, NAMES, 3, 13, others, rounds=3)
+    return held.select("fold", "qid", "doc_id", "score").unionByName(told.select(F.lit(None).cast("long").alias("fold"), "qid", "doc_id", "score"))
