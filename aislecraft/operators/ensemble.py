@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aislecraft.functions.hashing import hash_uniform
+from aislecraft.operators.ingest import prefix_sums
 from aislecraft.operators.ranking import row_minmax
+from aislecraft.sources.storage import stored
 
 
 def score_sum(scores: DataFrame) -> DataFrame:
@@ -71,6 +73,87 @@ def weight_sweep(scores: DataFrame, test: DataFrame, buckets: DataFrame, algos:
     return means.groupBy("bucket").agg(best.alias("b")).select("bucket", (-F.col("b.m")).alias("vector"), F.col("b.value").alias("value"))
 
 
+def duels(scores: DataFrame, test: DataFrame, buckets: DataFrame, algos: list[str]) -> DataFrame:
+    """bucket, user_id, target, smaller, d_<algo>: each test item against every other candidate of its user, by how much the other's normalised score is above it in each algorithm, and whether the other wins ties; a test item without rivals has one row of nulls."""
+    wide = pivoted(row_minmax(scores, "algo", "user_id"), ["user_id", "item_id"], "algo", algos, "score").fillna(0.0)
+    names = [a.lower().replace(" ", "_") for a in algos]
+    targets = wide.join(test.select("user_id", "item_id"), ["user_id", "item_id"], "left_semi").join(buckets.select("user_id", "bucket"), "user_id")
+    targets = targets.select("bucket", "user_id", F.col("item_id").alias("target"), *(F.col(n).alias(f"_t{k}") for k, n in enumerate(names)))
+    rivals = wide.select(F.col("user_id").alias("_u"), "item_id", *(F.col(n).alias(f"_o{k}") for k, n in enumerate(names)))
+    met = targets.join(rivals, (F.col("user_id") == F.col("_u")) & (F.col("target") != F.col("item_id")), "left")
+    return stored(met.select("bucket", "user_id", "target", (F.col("item_id") < F.col("target")).alias("smaller"), *((F.col(f"_o{k}") - F.col(f"_t{k}")).alias(f"d_{a}") for k, a in enumerate(algos))), "duels")
+
+
+#: Parts of one in which values of NDCG are summed, so that sums are exact.
+UNIT = 10**9
+
+
+def _value(rank: Column, k: int) -> Column:
+    return F.when(rank <= k, F.round(UNIT * F.log(F.lit(2.0)) / F.log(rank + 1))).otherwise(0).cast("long")
+
+
+def _by_bucket(weights: dict[str, dict[str, float]], algo: str) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for b, w in weights.items() for x in (b, float(w[algo])))), F.col("bucket"))
+
+
+def _ahead(gap: Column) -> Column:
+    return F.coalesce((F.round(gap, 9) > 0) | ((F.round(gap, 9) == 0) & F.col("smaller")), F.lit(False)).cast("int")
+
+
+def searched_value(met: DataFrame, weights: dict[str, dict[str, float]], k: int = 10) -> dict[str, float]:
+    """The mean NDCG@k of each bucket's test items with its weights. A row for each bucket reaches the driver."""
+    algos = list(next(iter(weights.values())))
+    gap = sum((_by_bucket(weights, a) * F.col(f"d_{a}") for a in algos), F.lit(0.0))
+    ranks = met.groupBy("bucket", "user_id", "target").agg((F.sum(_ahead(gap)) + 1).alias("rank"))
+    return {r["bucket"]: r["v"] for r in ranks.groupBy("bucket").agg((F.avg(_value(F.col("rank"), k)) / UNIT).alias("v")).collect()}
+
+
+def best_on_line(met: DataFrame, weights: dict[str, dict[str, float]], algo: str, low: float, high: float, k: int = 10) -> dict[str, float]:
+    """The best weight of `algo` in each bucket, the other weights being as they are, over the whole of [low, high].
+
+    Along one weight a rival passes a test item at one point at most, so that the mean NDCG is a step function: the
+    steps of all users are summed by where they are, prefix sums give the value between any two of them, and the middle of
+    the best interval is taken, the lowest of several.
+    """
+    rest = sum((_by_bucket(weights, a) * F.col(f"d_{a}") for a in weights[next(iter(weights))] if a != algo), F.lit(0.0))
+    slope = F.col(f"d_{algo}")
+    lines = met.select("bucket", "user_id", "target", rest.alias("rest"), slope.alias("slope"), _ahead(rest + slope * low).alias("ahead"))
+    at = F.when(F.col("slope") != 0, F.round(-F.col("rest") / F.col("slope"), 9))
+    lines = lines.withColumn("at", at).withColumn("turn", F.when((F.col("at") > low) & (F.col("at") < high), F.when(F.col("slope") > 0, 1).otherwise(-1)).otherwise(0))
+    own = Window.partitionBy("user_id", "target")  # the rivals of one test item
+    rank = F.sum("ahead").over(own) + 1 + F.sum("turn").over(own.orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    moved = lines.withColumn("rank", rank).where("turn <> 0")
+    steps = moved.select("bucket", "at", (_value(F.col("rank"), k) - _value(F.col("rank") - F.col("turn"), k)).alias("step"))
+    begin = met.select("bucket").distinct().select("bucket", F.lit(float(low)).alias("at"), F.lit(0).cast("long").alias("step"))
+    steps = stored(steps.unionByName(begin).groupBy("bucket", "at").agg(F.sum("step").alias("step")), "steps")
+    sums = prefix_sums(steps, "step", F.col("bucket").asc(), F.col("at").asc()).withColumnRenamed("end", "upto")
+    base = sums.where(F.col("at") == low).select("bucket", (F.col("upto") - F.col("step")).alias("base"))  # a row for each bucket
+    best = sums.join(F.broadcast(base), "bucket").groupBy("bucket").agg(F.max(F.struct((F.col("upto") - F.col("base")).alias("v"), (-F.col("at")).alias("m"))).alias("b"))
+    best = best.select("bucket", (-F.col("b.m")).alias("best"))
+    after = steps.join(F.broadcast(best), "bucket").groupBy("bucket", "best").agg(F.min(F.when(F.col("at") > F.col("best"), F.col("at"))).alias("next"))
+    return {r["bucket"]: (r["best"] + (high if r["next"] is None else r["next"])) / 2 for r in after.collect()}
+
+
+def weight_search(scores: DataFrame, test: DataFrame, buckets: DataFrame, start: dict[str, dict[str, float]], rounds: int = 2, low: float = -1.0, high: float = 1.0, k: int = 10) -> DataFrame:
+    """bucket, algo, weight, value, start_value: weights of each bucket that go round the algorithms, one exact line after another, all buckets in one job; a bucket keeps its start where the search does not end above it.
+
+    start: weights by bucket and algorithm. Of several test items of a user each counts on its own.
+    """
+    algos = list(next(iter(start.values())))
+    met = duels(scores, test, buckets, algos)
+    weights, first = {b: dict(w) for b, w in start.items()}, searched_value(met, start, k)
+    best, best_value = {b: dict(w) for b, w in start.items()}, dict(first)
+    for _ in range(rounds):
+        for a in algos:
+            for b, w in best_on_line(met, weights, a, low, high, k).items():
+                weights[b][a] = w
+        for b, v in searched_value(met, weights, k).items():
+            if v > best_value[b]:
+                best[b], best_value[b] = dict(weights[b]), v
+    rows = [(b, a, float(w), best_value[b], first[b]) for b, each in best.items() if b in first for a, w in each.items()]
+    return scores.sparkSession.createDataFrame(rows, "bucket string, algo string, weight double, value double, start_value double")
+
+
 def early_stop(epochs: DataFrame, patience: int = 3, gain: float = 0.002) -> DataFrame:
     """model, best_epoch, stop_epoch from (model, epoch, value): an epoch counts when it beats all before it by the gain; the search stops after `patience` that don't."""
     order = Window.partitionBy("model").orderBy("epoch")

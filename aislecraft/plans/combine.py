@@ -119,6 +119,13 @@ def weight_sweep(v: Views):
     return ensemble.weight_sweep(v.scores(), v.test(), buckets(v), ALGOS, 6, 5)
 
 
+@query("weight_search")
+def weight_search(v: Views):
+    """From equal weights of the three models, each bucket's weights by exact line searches."""
+    start = {b: {a: 1.0 / len(ALGOS) for a in ALGOS} for b in BUCKETS}
+    return ensemble.weight_search(v.scores(), v.test(), buckets(v), start)
+
+
 @query(
     "early_stop_epoch",
     "SELECT model, coalesce(min(best) FILTER (WHERE epoch = stop), arg_max(best, epoch)) AS best_epoch, coalesce(any_value(stop), max(epoch)) AS stop_epoch FROM (SELECT *, min(CASE WHEN epoch - best >= 3 THEN epoch END) OVER (PARTITION BY model) AS stop FROM (SELECT *, max(CASE WHEN better THEN epoch END) OVER (PARTITION BY model ORDER BY epoch) AS best FROM (SELECT *, coalesce(value > max(value) OVER (PARTITION BY model ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) * 1.002, true) AS better FROM epochs))) GROUP BY 1",
