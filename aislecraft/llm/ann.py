@@ -38,8 +38,8 @@ from aislecraft.llm.common import small_enough, stored
 
 #: Vectors that the partitions of a level are learnt from, at most; of these, as many as one in HELD_OUT measure the probes.
 SAMPLE, HELD_OUT = 6000, 10
-#: Vectors of a leaf, about; parts of one level, at most; neighbours in the graph.
-LEAF, MOST_PARTS, NEIGHBOURS = 2048, 64, 10
+#: Vectors of a leaf, at most, about; leaves that even few vectors have; parts of one level, at most; neighbours in the graph.
+LEAF, LEAST_LEAVES, MOST_PARTS, NEIGHBOURS = 2048, 16, 64, 10
 #: Share of the true neighbours that the probes have to find in the sample.
 WANTED = 0.96
 #: How far a part of the sample may outgrow the mean.
@@ -159,6 +159,11 @@ def parts_for(n: int, leaf: int, most: int) -> int:
     return min(most, 1 << max(0, -(-n // leaf) - 1).bit_length())
 
 
+def leaf_for(n: int) -> int:
+    """Vectors of a leaf: a sixteenth of all, until leaves are as large as a task's share."""
+    return max(1, min(LEAF, -(-n // LEAST_LEAVES)))
+
+
 class Tree:
     """Routers of two levels: `top` to the parts, `below` (part -> router) to the leaves of those that are divided. A leaf is (part, leaf of it)."""
 
@@ -186,12 +191,12 @@ def measured(tree: Tree, x: np.ndarray, asked: np.ndarray, k: int) -> int:
     return int(found[min(len(found) - 1, int(np.ceil(WANTED * len(found))) - 1)]) + 1 if len(found) else 1
 
 
-def fit(good: DataFrame, n: int, k: int = K, sample: int = SAMPLE, leaf: int = LEAF, most: int = MOST_PARTS) -> Tree | None:
+def fit(good: DataFrame, n: int, k: int = K, sample: int = SAMPLE, leaf: int | None = None, most: int = MOST_PARTS) -> Tree | None:
     """A tree of routers learnt from `n` vectors: of each level a bounded number, those whose hashed ids come first."""
     rows = np.array([r["x"] for r in good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()])
     if not len(rows):
         return None
-    held = max(1, len(rows) // HELD_OUT)
+    held, leaf = max(1, len(rows) // HELD_OUT), leaf or leaf_for(n)
     tree = Tree(learnt(rows[held:], parts_for(n, leaf, most)), {}, most)
     if n > leaf * most and tree.top:  # parts with leaves of their own
         spread = good.sparkSession.sparkContext.broadcast(tree)
@@ -229,7 +234,7 @@ def routed(good: DataFrame, tree: Tree, probes: int) -> DataFrame:
     return good.mapInPandas(run, "vec_id long, x array<double>, leaves array<int>")
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int | None = None, sample: int = SAMPLE, leaf: int = LEAF, most: int = MOST_PARTS) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int | None = None, sample: int = SAMPLE, leaf: int | None = None, most: int = MOST_PARTS) -> DataFrame:
     """query_id, rank, vec_id, score and query_row (which tells queries of one id apart): for each of `queries` (vec_id, embedding) the k nearest of `vectors` that are found."""
     good = usable(vectors)
     widths = good.groupBy(F.size("x").alias("width")).count().orderBy(F.desc("count"), "width").first()  # one row
