@@ -44,6 +44,9 @@ ZONE = re.compile(r"[0-9.\x20-]+")
 RUNS = re.compile(r"[0-9]+")
 TAIL = re.compile(r"[\x20().0-9-]+")
 URL = re.compile(r"[^\s<>\"']+")
+MAILBOX = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+CALLED = re.compile(r"\+?[0-9(][0-9().-]{5,}")
+DATES = re.compile(r"(?:(?:19|20)[0-9]{2}(?:[ -](?:19|20)[0-9]{2})*|[0-9]{4}-[0-9]{2}-[0-9]{2}.*|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}.*)")
 HOST = re.compile(r"(?:[^\s/?#@]*@)?((?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+(?:[A-Za-z]{2,}|xn--[A-Za-z0-9-]+|[0-9]{1,3})|localhost|\[[0-9A-Fa-f:.]+\])(?::[0-9]{1,5})?(?=[/?#]|$)")
 IDENTIFIER = re.compile(r"[\s:#=.-]{1,4}(?:no\.?|number|nr\.?)?[\s:#=.-]{0,3}([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){5,41})")
 ASSIGNED = re.compile(r"[\"']?\s{0,3}(?:=>|:=|[:=])\s{0,3}[\"']?([^\s\"',;]{6,512})")
@@ -136,8 +139,7 @@ def identifier_at(text: str, cue: str, end: int) -> tuple[int, int] | None:
     if not m:
         return None
     start, words = m.start(1), m[1].split(" ")
-    whole = ""
-    best = None
+    whole, best, loose = "", None, True
     for w in words:  # groups that spaces part, as far as they make a valid identifier
         whole = f"{whole} {w}" if whole else w
         plain = re.sub("[ -]", "", whole)
@@ -150,38 +152,58 @@ def identifier_at(text: str, cue: str, end: int) -> tuple[int, int] | None:
             ok = re.fullmatch("[0-9]{9}", plain) is not None and sum(int(c) * k for c, k in zip(plain, (3, 7, 1) * 3)) % 10 == 0
         elif cue == "passport":
             ok = 6 <= len(plain) <= 9 and digits >= 4
-        else:  # of no fixed form: the first group with digits enough, or an IBAN
-            ok = best is None and 6 <= len(plain) <= 34 and digits >= 4 or iban(plain)
+        else:  # of no fixed form: groups that all have digits, four of them at least, and that aren't years or dates; or an IBAN
+            loose = loose and any(c.isdigit() for c in w)
+            ok = loose and 6 <= len(plain) <= 34 and digits >= 4 and not DATES.fullmatch(whole) or iban(plain)
         if ok:
             best = start, start + len(whole)
     return best
 
 
-def url_at(text: str, scheme: str, end: int) -> int | None:
+class Runs:
+    """Where the run of address characters that holds a place ends, and its last "@" or "?"; each run is looked at once, however many schemes it holds."""
+
+    def __init__(self, text: str):
+        self.text, self.end, self.telling = text, 0, -1
+
+    def at(self, place: int) -> tuple[int, int]:
+        if place >= self.end:
+            m = URL.match(self.text, place)
+            self.end = m.end() if m else place
+            self.telling = max(self.text.rfind("@", place, self.end), self.text.rfind("?", place, self.end))
+        return self.end, self.telling
+
+
+def url_at(runs: Runs, scheme: str, place: int) -> int | None:
     """Where the address behind a scheme ends, if it is well formed and tells of a person: user data, a query, a mailbox or a number."""
-    m = URL.match(text, end)
-    if not m:
+    text, (end, telling) = runs.text, runs.at(place)
+    if end <= place:
         return None
     if scheme == "mailto:":
-        ok = re.match(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", m[0])
+        ok = MAILBOX.match(text, place, end)
     elif scheme == "tel:":
-        ok = re.match(r"\+?[0-9(][0-9().-]{5,}", m[0])
+        ok = CALLED.match(text, place, end)
     else:
-        ok = ("@" in m[0] or "?" in m[0]) and HOST.match(m[0])
-    return m.end() if ok else None
+        ok = telling >= place and HOST.match(text, place, end)
+    return end if ok else None
 
 
-def secret_at(text: str, end: int) -> tuple[int, int] | None:
-    """The value that is assigned to a cue of a secret: of several kinds of characters, or long and without a word's form."""
+def secret_at(text: str, cue: str, end: int) -> tuple[int, int] | None:
+    """The value that is assigned to a cue of a secret: with letters and two digits, or for a password with any digit or sign within."""
     m = ASSIGNED.match(text, end)
-    if not m or sum(c.isdigit() for c in m[1]) < 2 or not any(c.isalpha() for c in m[1]):
+    if not m:
         return None
-    return m.start(1), m.end(1)
+    if cue in ("password", "passwd"):
+        ok = any(not c.isalpha() for c in m[1].rstrip(".,:;!?)"))
+    else:
+        ok = sum(c.isdigit() for c in m[1]) >= 2 and any(c.isalpha() for c in m[1])
+    return (m.start(1), m.end(1)) if ok else None
 
 
 def spans(text: str) -> list[Span]:
     """All spans of a text, sorted."""
     found: list[Span] = []
+    runs = Runs(text)
     email_end = digit_end = plus_end = url_end = account_end = secret_end = 0
     for last, (kind, size) in ANCHORS.iter(text):
         if kind == "digit":
@@ -200,13 +222,13 @@ def spans(text: str) -> list[Span]:
             start = last - size + 1
             word = text[start : last + 1].lower()
             if kind == "scheme":
-                if start >= url_end and (end := url_at(text, word, last + 1)):
+                if start >= url_end and (end := url_at(runs, word, last + 1)):
                     url_end = end
                     found.append((start, 4, url_end))
             elif start and text[start - 1].isalnum():
                 continue  # within a word
             elif kind == "secret":
-                if last >= secret_end and (span := secret_at(text, last + 1)):
+                if last >= secret_end and (span := secret_at(text, word, last + 1)):
                     secret_end = span[1]
                     found.append((span[0], 6, span[1]))
             elif last >= account_end and (span := identifier_at(text, word, last + 1)):
