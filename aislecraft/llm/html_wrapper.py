@@ -34,6 +34,7 @@ import html as references
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -45,7 +46,8 @@ from pyspark.sql import functions as F
 from aislecraft.llm.common import small_enough, stored
 from aislecraft.llm.url_tree import host_of
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
+OPENING = re.compile(r"<(?:!--|[!?]|(/?)([A-Za-z][A-Za-z0-9:-]*))")
+MARK = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -105,44 +107,89 @@ class Node:
         self.key = " ".join([tag, *sorted({re.sub(r"[0-9]+", "0", n) for n in names})])
 
 
+def tokens(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, "/" of an end tag, name, attributes) of comments, declarations (without a name) and tags, in proportion to the page: what a failed tag has looked at is not looked at again."""
+    at, hopeless, never = 0, set(), len(page) + 1  # marks from which no tag ends; a place behind which there is no mark
+    last = page.rfind(">")
+    while m := OPENING.search(page, at):
+        start, inner = m.start(), m.end()
+        at = inner
+        if not m[2]:
+            comment = page[start:inner] == "<!--"
+            end = page.find("-->", inner) if comment else page.find(">", inner) if inner <= last else -1
+            if end >= 0 or comment:
+                at = len(page) if end < 0 else end + (3 if comment else 1)
+                yield start, at, "", "", ""
+            continue
+        path, here = [], inner
+        while here < never:
+            mark = MARK.search(page, here)
+            if not mark:
+                never = here
+                break
+            k = mark.start()
+            if k in hopeless:
+                break
+            path.append(k)
+            if page[k] == ">":
+                at = k + 1
+                yield start, at, m[1] or "", m[2].lower(), page[inner:k]
+                break
+            close = page.find(page[k], k + 1)
+            if close < 0:
+                break
+            here = close + 1
+        if at == inner:
+            hopeless.update(path)
+
+
 def parse(page: str) -> Node:
     """The tree of a page."""
     root = Node("#page")
-    stack, at, size = [root], 0, len(page)
-    while at < size:
-        m = TOKEN.search(page, at)
-        text = page[at : m.start() if m else size]
+    stack, at, opened = [root], 0, Counter()
+
+    def cut(k: int) -> None:
+        opened.subtract(n.tag for n in stack[k:])
+        del stack[k:]
+
+    def add(text: str) -> None:
         if text and not text.isspace():
             stack[-1].children.append(references.unescape(text))
         elif text and stack[-1].children:
             stack[-1].children.append(" ")
-        if not m:
-            break
-        at, tag = m.end(), (m[2] or "").lower()
+
+    for start, end, closing, tag, attributes in tokens(page):
+        if start < at:
+            continue  # inside a script or the like
+        add(page[at:start])
+        at = end
         if not tag:
             continue
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in ("article", "body") and tag not in BLOCKS:
-                    break
+        if closing:
+            if opened[tag]:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == tag:
+                        cut(k)
+                        break
+                    if stack[k].tag in ("article", "body") and tag not in BLOCKS:
+                        break
             continue
-        if tag in BLOCKS:  # a block ends an open paragraph, with what is open inside it
+        if tag in BLOCKS and any(opened[t] for t in ("p", *SIBLINGS.get(tag, ()))):  # a block ends an open paragraph, with what is open inside it
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p" or stack[k].tag in SIBLINGS.get(tag, ()):
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k].tag in BLOCKS:
                     break
-        node = Node(tag, m[3])
+        node = Node(tag, attributes)
         stack[-1].children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else size
-        elif tag not in VOID and not m[3].endswith("/"):
+            last = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            at = last.end() if last else len(page)
+        elif tag not in VOID and not attributes.endswith("/"):
             stack.append(node)
+            opened[tag] += 1
+    add(page[at:])
     return root
 
 
@@ -414,6 +461,7 @@ def blocks_of(page: Node, wrapper: Part | None = None) -> list[str]:
         open_text.clear()
         varied = False
 
+    # the text of a labelled article is never a constant or a menu: only what the wrapper labels as something else goes
     # what is still to be read, last first: an element, a text, or the end of a block
     todo: list[tuple[Node | list[str] | None, Part | None, bool, bool]] = [(page, wrapper, not has_root, False)]
     while todo:
@@ -424,7 +472,7 @@ def blocks_of(page: Node, wrapper: Part | None = None) -> list[str]:
         if isinstance(node, list):
             if inside and not menu:
                 open_text += node
-                varied |= w is None or not w.constant(fingerprint("".join(node)))
+                varied |= w is not BLANK and (has_root or w is None or not w.constant(fingerprint("".join(node))))
             continue
         block = node.tag in BLOCKS
         inside |= w is not None and w.root
@@ -434,7 +482,7 @@ def blocks_of(page: Node, wrapper: Part | None = None) -> list[str]:
             continue
         if block:
             close()
-            menu = w is not None and w.menu  # the innermost block decides
+            menu = not has_root and w is not None and w.menu  # the innermost block decides
         elif node.tag in VOID:
             open_text.append(" ")
         below: list[tuple[Node | list[str] | None, Part | None, bool, bool]] = []
