@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aislecraft.llm.common import stored
+from aislecraft.llm.common import discard, stored
 
 #: Buckets of one row on the way to the sums.
 SLICE = 1 << 14
@@ -69,7 +69,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         step = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
         new = stored(step.join(jump, "label", "left").select("id", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
+        discard(labels)
         labels = new.select("id", "label")
+        labels._stored_at = new._stored_at
         if new.where("label <> old").limit(1).count() == 0:
+            discard(both)
             return labels
     raise RuntimeError(f"no fixed point after {rounds} rounds")

@@ -188,6 +188,7 @@ def groups(vectors: DataFrame, threshold: float = THRESHOLD, reach: float = REAC
     n_links = found.where("b < 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     of_node = nodes.select("node", "copies", "least", "key1", "key2").join(n_links, "node", "left").join(labels.withColumnRenamed("id", "node"), "node", "left")
     of_node = stored(of_node, "nodes")
+    discard(nodes, found, labels)
     smallest = of_node.where("label IS NOT NULL").groupBy("label").agg(F.min("least").alias("smallest"))
     of_node = of_node.join(smallest, "label", "left").select("key1", "key2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("smallest", "least").alias("component_id"))
     found_rows = rows.where("x IS NOT NULL").select("vec_id", *key).join(of_node, ["key1", "key2"])
