@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aislecraft.sources.storage import stored
+from aislecraft.sources.storage import discard, stored
 
 
 def binarize(inter: DataFrame) -> DataFrame:
@@ -168,7 +168,8 @@ def _core(rows: DataFrame, a: str, a_k: int, b: str, b_k: int, rounds: int) -> D
         good_a = current.groupBy(a).agg(F.count_distinct(b).alias("n")).where(F.col("n") >= a_k).select(a)
         kept = current.join(good_a, a, "left_semi")
         good_b = kept.groupBy(b).agg(F.count_distinct(a).alias("n")).where(F.col("n") >= b_k).select(b)
-        current = stored(kept.join(good_b, b, "left_semi").select(*rows.columns), "kcore")
+        before, current = current, stored(kept.join(good_b, b, "left_semi").select(*rows.columns), "kcore")
+        discard(before)
         left = current.count()
         if left == n:
             return current
@@ -180,9 +181,11 @@ def combined_kcore(inter: DataFrame, features: DataFrame, user_k: int, item_k: i
     """Both cores and feature pruning in turn until neither table changes."""
     sizes = None
     for _ in range(rounds):
-        inter = kcore(inter, user_k, item_k)
-        features = feature_kcore(prune_features(restrict(features, inter, "item_id"), feature_k, most_share), item_feature_k, feature_k)
-        inter = stored(restrict(inter, features, "item_id"), "kcore")
+        old = [t for t in (inter, features) if sizes is not None]  # tables of the round before
+        core = kcore(inter, user_k, item_k)
+        features = feature_kcore(prune_features(restrict(features, core, "item_id"), feature_k, most_share), item_feature_k, feature_k)
+        inter = stored(restrict(core, features, "item_id"), "kcore")
+        discard(core, *(t for t in old if hasattr(t, "_stored_at")))
         now = inter.count(), features.count()
         if now == sizes:
             return inter, features
