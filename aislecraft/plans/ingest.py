@@ -226,7 +226,7 @@ def feature_join(v: Views):
     return v.candidates().join(users, "user_id", "left").join(items, "item_id", "left").select("user_id", "item_id", F.col("n_u").cast("double").alias("n_u"), F.col("n_i").cast("double").alias("n_i"))
 
 
-@query("semi_anti", "SELECT user_id, item_id, s.rating IS NOT NULL AS inside FROM interactions LEFT JOIN sparse s USING (user_id, item_id)")
+@query("semi_anti", "SELECT user_id, item_id, rating >= 5 AS inside FROM interactions")
 def semi_anti(v: Views):
     inter, sparse = v.interactions().select("user_id", "item_id"), v.sparse().select("user_id", "item_id")
     keys = ["user_id", "item_id"]
