@@ -698,3 +698,73 @@ def test_pipeline_stages(spark, awkward, tmp_path):
     ids = [r["doc_id"] for r in docs.collect()]
     assert 1 not in ids and 3 not in ids and 11 not in ids and 4 in ids and 5 not in ids and len(ids) == len(set(ids))
     assert out.columns[0] == "doc_id"
+
+
+def test_pipeline_equals_brute_force(spark):
+    """Every stage behind the language model against brute force on the whole of sf0.001, each on what the stage before it kept."""
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["language"](spark, docs, folder).cache()
+    rows = texts_of(kept)
+    assert 0.9 * docs.count() <= len(rows) <= docs.count()
+    alone = stages["near_copies"](spark, kept, folder).cache()
+    component = {i: c for i, _, c in brute_components(rows)}
+    rows = [(i, t) for i, t in rows if component[i] == i]
+    assert sorted(texts_of(alone)) == sorted(rows)
+    clean = stages["decontamination"](spark, alone, folder).cache()
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    leaked = {r[0] for r in brute_decontam(rows, items) if r[5]}
+    rows = [(i, t) for i, t in rows if i not in leaked]
+    assert sorted(texts_of(clean)) == sorted(rows) and leaked
+    redacted = stages["personal_data"](spark, clean, folder).cache()
+    rows = [(i, pii.redacted(t)) for i, t in rows]
+    assert sorted(texts_of(redacted)) == sorted(rows)
+    assert all(r["n_chars"] == len(r["text"]) for r in redacted.collect())
+    t = tokenizer()
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"]) for r in stages["tokens"](spark, redacted, folder).collect()}
+    ids = {i: t.encode(x, add_special_tokens=False).ids for i, x in rows}
+    assert got == {i: (len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest()) for i, x in ids.items()}
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_on_empty_tables_and_clashing_names(spark, none, tmp_path, name):
+    """An empty table stays empty; columns named like those of the operators, nulls and repeated rows come through as they are."""
+    spark.createDataFrame([(1, "words that nobody has written in this order before or since")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stage, last = dict(corpus_pipeline.STAGES)[name], name == corpus_pipeline.STAGES[-1][0]
+    assert stage(spark, none, str(tmp_path)).count() == 0
+    docs = make_docs(spark, [(1, prose(4, 60), "en"), (1, prose(4, 60), "en"), (None, prose(5, 60), "en"), (2, None, "en"), (3, "", "en"), (2**53 + 1, prose(6, 60), "de")]).withColumn("found", F.lit("mine")).withColumn("_found", F.lit(7))
+    out = stage(spark, docs, str(tmp_path))
+    assert last or out.columns == docs.columns
+    ids = [r["doc_id"] for r in out.collect()]
+    want = {"language": {1, None, 2**53 + 1}, "near_copies": {1, None, 2, 3, 2**53 + 1}}.get(name, {1, None, 2, 3, 2**53 + 1})
+    assert set(ids) == want and ids.count(1) == (1 if name == "near_copies" else 2)
+    assert last or all(r["found"] == "mine" and r["_found"] == 7 for r in out.collect())
+
+
+def test_toxicity_gradients_by_difference(monkeypatch):
+    """The first step of Adam goes against the sign of every derivative of the loss, by differences in double precision."""
+    for name, value in (("BUCKETS", 50), ("EPOCHS", 1), ("LEAST_STEPS", 1), ("BATCH", 64)):
+        monkeypatch.setattr(toxicity, name, value)
+    r = np.random.default_rng(3)
+    docs = [(np.sort(r.choice(50, 6, replace=False)).astype(np.uint32), (r.random(6) / 8).astype(np.float32)) for _ in range(20)]
+    y = r.integers(0, 2, 20)
+    model = toxicity.SubwordSoftmax()
+    before = {k: getattr(model, k).astype(float) for k in "ewb"}
+
+    def loss(e, w, b):
+        s = np.stack([(e[rows] * share[:, None].astype(float)).sum(axis=0) for rows, share in docs]) @ w + b
+        s -= s.max(axis=1, keepdims=True)
+        return -(s - np.log(np.exp(s).sum(axis=1, keepdims=True)))[np.arange(20), y].mean() + toxicity.DECAY / 20 * (e * e).sum() / 2
+
+    model.train(docs, y)
+    for k in "ewb":
+        moved = getattr(model, k).astype(float) - before[k]
+        for at in np.ndindex(before[k].shape):
+            ends = []
+            for d in (1e-5, -1e-5):
+                now = {n: v.copy() for n, v in before.items()}
+                now[k][at] += d
+                ends.append(loss(**now))
+            slope = (ends[0] - ends[1]) / 2e-5
+            assert abs(slope) < 1e-5 or moved[at] * slope < 0, (k, at)
