@@ -21,10 +21,10 @@ def pivoted(rows: DataFrame, keys: list[str], column: str, values: list[str], va
 
 
 def score_features(scores: DataFrame, algos: list[str]) -> DataFrame:
-    """Raw and normalised scores as columns."""
-    raw = pivoted(scores, ["user_id", "item_id"], "algo", algos, "score")
-    norm = pivoted(row_minmax(scores, "algo", "user_id"), ["user_id", "item_id"], "algo", algos, "score", "_norm")
-    return raw.join(norm, ["user_id", "item_id"])
+    """Raw and normalised scores as columns, from one window and one aggregation."""
+    both = row_minmax(scores.withColumn("_raw", F.col("score")), "algo", "user_id")
+    of = lambda a, c, suffix="": F.max(F.when(F.col("algo") == a, F.col(c))).alias(f"{a.lower().replace(' ', '_')}{suffix}")
+    return both.groupBy("user_id", "item_id").agg(*(of(a, "_raw") for a in algos), *(of(a, "score", "_norm") for a in algos))
 
 
 def weighted_sum(scores: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
