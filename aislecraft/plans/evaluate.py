@@ -123,13 +123,13 @@ def intra_list(v: Views):
     return metrics.intra_list_of(held(v)[0].where("rank <= 10"), sets, 5)
 
 
-@query("eval_ratio", f"SELECT 'shannon' AS metric, round(a.value / b.value, 4) AS value FROM ({SHAN.format('h_counts')}) a, ({SHAN.format('h_pop')}) b UNION ALL SELECT 'herfindahl', round(a.value / b.value, 4) FROM ({HERF.format('h_counts')}) a, ({HERF.format('h_pop')}) b UNION ALL SELECT 'gini', round(a.value / b.value, 4) FROM ({GINI.format('h_counts')}) a, ({GINI.format('h_pop')}) b", **VIEWS)
+@query("eval_ratio", f"SELECT 'shannon' AS metric, round(a.value / b.value, 6) AS value FROM ({SHAN.format('h_counts')}) a, ({SHAN.format('h_pop')}) b UNION ALL SELECT 'herfindahl', round(a.value / b.value, 6) FROM ({HERF.format('h_counts')}) a, ({HERF.format('h_pop')}) b UNION ALL SELECT 'gini', round(a.value / b.value, 6) FROM ({GINI.format('h_counts')}) a, ({GINI.format('h_pop')}) b", **VIEWS)
 def ratio(v: Views):
     lists, _, pop = held(v)
     counts, out = stats.recommendation_counts(lists.where("rank <= 10")), None
     for name, f in (("shannon", metrics.shannon), ("herfindahl", metrics.herfindahl), ("gini", metrics.gini)):
         both = f(counts).select(F.round("value", 6).alias("x")).crossJoin(f(pop).select(F.round("value", 6).alias("y")))  # rows of one
-        one = both.select(F.lit(name).alias("metric"), F.round(F.col("x") / F.col("y"), 4).alias("value"))
+        one = both.select(F.lit(name).alias("metric"), F.round(F.col("x") / F.col("y"), 6).alias("value"))
         out = one if out is None else out.unionByName(one)
     return out
 
