@@ -1,6 +1,7 @@
 """Every operator against brute force, an exact round trip or held-out accuracy, and on awkward rows."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -568,6 +569,67 @@ def test_url_templates_learn_from_rules(spark):
     assert verdict[0] == "block"
 
 
+def tree_of(counts):
+    """(host, shape) -> (template, labels, purity), from (host, shape) -> (n, bad, good), a host and a level at a time."""
+    out = {}
+    for host in {h for h, _ in counts}:
+        rows = [{"shape": s, "parts": s.split("/"), "template": "", "n": n, "bad": bad, "good": good} for (h, s), (n, bad, good) in counts.items() if h == host]
+        total = lambda rs, c: sum(r[c] for r in rs)
+        share = lambda rs, towards: (total(rs, "bad") + 2 * towards) / (total(rs, "bad") + total(rs, "good") + 2)
+        for r in rows:
+            r["share"] = share(rows, 0.5)
+        for level in range(5):
+            here = [r for r in rows if len(r["parts"]) > level]
+            names = {}
+            for template in {r["template"] for r in here}:
+                siblings = [r for r in here if r["template"] == template]
+                parts = {r["parts"][level] for r in siblings}
+                common = (total(siblings, "bad") + 1) / (total(siblings, "bad") + total(siblings, "good") + 2)
+                for part in parts:
+                    branch = [r for r in siblings if r["parts"][level] == part]
+                    known = total(branch, "bad") + total(branch, "good")
+                    near = known > 0 and abs(total(branch, "bad") / known - common) <= 1.96 * math.sqrt(common * (1 - common) / known)
+                    name = "*" if len(parts) >= max(8, 0.3 * total(siblings, "n")) else "#" if len(parts) > 1 and near else part
+                    names[template, part] = f"{template}/{name}"
+            for r in here:
+                r["template"] = names[r["template"], r["parts"][level]]
+            for template in {r["template"] for r in here}:
+                same = [r for r in here if r["template"] == template]
+                for r, towards, smooth in [(r, r["share"], share(same, r["share"])) for r in same]:
+                    r["parent"], r["share"] = towards, smooth
+        for r in rows:
+            same = [x for x in rows if x["template"] == r["template"]]
+            out[host, r["shape"]] = (r["template"], total(same, "bad") + total(same, "good"), round(share(same, r["parent"]), 9))
+    return out
+
+
+def test_url_tree_equals_brute_force(spark):
+    """One host with half of all urls, slugs without digits, repeated urls, empty segments, a very long path, null urls and a null page_id."""
+    pick = random.Random(5)
+    word = lambda n: "".join(pick.choice("abcdefgh") for _ in range(n))
+    urls = [f"http://{pick.choice(['hot.org', 'hot.org', 'b.com', 'c.example.net'])}/{pick.choice(['es', 'en', 'de', 'shop', ''])}/{word(pick.choice([1, 1, 4]))}" + "".join(f"/{word(1)}" for _ in range(pick.randrange(4))) for _ in range(1500)]
+    urls += urls[:100] + ["http://hot.org/es/" + "x" * 200_000, "http://hot.org/es/" + "x/" * 50_000, None, "", "http://hot.org"]
+    rows = [(k if k else None, u, "h", "s") for k, u in enumerate(urls)]
+    df = spark.createDataFrame(rows, "page_id long, url string, host string, salt string")
+    counts = {}
+    for r in url_tree.judged(df).select("host", "shape", "by_rule").collect():
+        n, bad, good = counts.get((r["host"], r["shape"]), (0, 0, 0))
+        counts[r["host"], r["shape"]] = (n + 1, bad + (r["by_rule"] == "block"), good + (r["by_rule"] == "allow"))
+    got = {(r["host"], r["shape"]): (r["template"], r["labels"], round(r["purity"], 9)) for r in url_tree.templates(url_tree.judged(df)).collect()}
+    assert got == tree_of(counts)
+    assert url_tree.verdicts(df).count() == len(rows)
+
+
+def test_url_tree_has_no_task_for_a_host(spark):
+    rows = [(k, f"http://hot.org/{'es' if k % 2 else 'fr'}/{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}") for k in range(2000)]
+    tree = url_tree.judged(spark.createDataFrame(rows, "page_id long, url string")).groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"))
+    rows = tree.withColumns({"salt": url_tree.salt_of("shape"), "template": F.lit("")})
+    joined = url_tree.beside(rows, ["host", "template"], F.sum("n").alias("all"))
+    assert {r["all"] for r in joined.collect()} == {2000} and joined.count() == tree.count()
+    most = joined.groupBy("host", "salt").count().agg(F.max("count")).first()[0]
+    assert most < 30 and "Window" not in joined._jdf.queryExecution().toString()
+
+
 def test_url_branches_without_labels_are_allowed(spark):
     urls = [f"http://h.org/es/a{k}" for k in range(12)] + [f"http://h.org/en/a{k}" for k in range(91)] + ["http://h.org/fr/a/b", "http://h.org/", "http://h.org/77/a1", "http://h.org/es"]
     urls += [f"http://v.org/{c}/x" for c in ("es", "es", "es", "es", *"abcdefgh")]  # segments like identifiers, four of which are blocked
