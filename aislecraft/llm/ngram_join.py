@@ -44,6 +44,8 @@ BUCKETS_EACH, LEAST_BITS, MOST_BITS = 8, 18, 23
 BANDS, ROWS = 12, 4
 #: Members of a block, one for each bit of a mask; queries of a block that one task holds.
 BLOCK, HELD = 64, 2048
+#: Rows of one token that are counted together; of a token that may have more the count isn't needed.
+HOT = 1 << 20
 #: Bits that say whose sets are needed.
 BITS = 1 << 22
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
@@ -106,7 +108,10 @@ def shingle_counts(docs: DataFrame) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """doc_id, n (size of the set), v (hash of the set), bands and prefix (rarest tokens first) of every document."""
+    """doc_id, n (size of the set), v (hash of the set), bands, prefix (rarest tokens first) and often of every document.
+
+    `often` bounds how often a token of the prefix occurs in all documents: its bucket's count.
+    """
     spread = docs.sparkSession.sparkContext.broadcast(counts.astype(np.float32))  # at most 2^MOST_BITS numbers
 
     bits = len(counts).bit_length() - 1
@@ -115,16 +120,19 @@ def signatures(docs: DataFrame, counts: np.ndarray) -> DataFrame:
         rarity = spread.value
         lists = lambda rows: pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32), np.concatenate([*rows, np.empty(0, np.uint64)]).view(np.int64))
         for batch in batches:
-            sizes, hashes, keys, prefixes = [], [], [], []
+            sizes, hashes, keys, prefixes, often = [], [], [], [], []
             for t in batch.column(1):
                 s = np.unique(shingles(t.as_py()))
                 sizes.append(len(s))
                 hashes.append(xxhash.xxh3_64_intdigest(s.tobytes()))
                 keys.append(bands(s) if len(s) else s)
-                prefixes.append(s[np.argsort(rarity[buckets(s, bits)], kind="stable")[: prefix_length(len(s))]] if len(s) else s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(np.array(hashes, np.uint64).view(np.int64)), lists(keys), lists(prefixes)], ["doc_id", "n", "v", "bands", "prefix"])
+                seen = rarity[buckets(s, bits)] if len(s) else np.empty(0, np.float32)
+                rarest = np.argsort(seen, kind="stable")[: prefix_length(len(s))] if len(s) else np.empty(0, np.int64)
+                prefixes.append(s[rarest])
+                often.append(seen[rarest].astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(np.array(hashes, np.uint64).view(np.int64)), lists(keys), lists(prefixes), lists(often)], ["doc_id", "n", "v", "bands", "prefix", "often"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, v long, bands array<long>, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, v long, bands array<long>, prefix array<long>, often array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -164,10 +172,16 @@ def band_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def shared_tokens(classes: DataFrame) -> DataFrame:
-    """v, i, token of the prefix tokens that several classes have: all tokens are shuffled once, as narrow rows."""
-    tokens = classes.select("v", F.posexplode("prefix").alias("i", "token"))
-    many = F.count(F.lit(1)).over(Window.partitionBy("token"))
-    return stored(tokens.withColumn("many", many).where("many > 1").drop("many"), "shared")
+    """v, i, token of the prefix tokens that several classes may have: tokens are shuffled once, as narrow rows.
+
+    A token that occurs once at most is left out before. One that may occur more than
+    HOT times is counted in parts of about that many, and stays whatever a part's count.
+    """
+    tokens = classes.select("v", F.posexplode(F.arrays_zip("prefix", "often")).alias("i", "x")).select("v", "i", F.col("x.prefix").alias("token"), F.col("x.often").alias("often"))
+    hot = F.col("often") > HOT
+    part = F.when(hot, F.pmod(F.xxhash64("v"), F.ceil(F.col("often") / HOT))).otherwise(F.lit(0))
+    several = tokens.where("often > 1").withColumn("part", part).withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("token", "part")))
+    return stored(several.where((F.col("many") > 1) | hot).select("v", "i", "token"), "shared")
 
 
 def group_candidates(shared: DataFrame, grouped: DataFrame) -> DataFrame:
@@ -229,7 +243,7 @@ def join(docs: DataFrame) -> DataFrame:
     wide = stored(signatures(texts, shingle_counts(texts)), "signatures")
     found = stored(wide.select("doc_id", "n", "v"), "sizes")
     full = found.where("n > 0 and doc_id is not null")
-    classes = wide.where("n > 0 and doc_id is not null").groupBy("v").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("prefix").alias("prefix"))
+    classes = wide.where("n > 0 and doc_id is not null").groupBy("v").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("prefix").alias("prefix"), F.first("often").alias("often"))
     classes = stored(classes, "classes")
     discard(wide)
     links = band_links(classes, texts)

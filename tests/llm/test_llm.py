@@ -305,6 +305,22 @@ def test_ngram_join_equals_brute_force(spark, awkward, none):
     assert len(kept) == len(set(kept)) and 4 in kept and 5 not in kept and None in kept
 
 
+def test_ngram_join_of_hot_tokens(spark, monkeypatch):
+    """Tokens that many documents share are counted in parts; the links are those of brute force, and no shared token is lost."""
+    shared = prose(1, 40).split()
+    rows = [(k, " ".join(shared[: 40 - k % 5]) + f" own{k % 9} end", "en") for k in range(60)] + [(100 + k, prose(50 + k, 30), "en") for k in range(10)]
+    docs = make_docs(spark, rows)
+    texts = docs.select("doc_id", "text")
+    classes = ngram_join.signatures(texts, ngram_join.shingle_counts(texts)).groupBy("v").agg(F.first("prefix").alias("prefix"), F.first("often").alias("often"))
+    of_tokens = classes.select("v", F.posexplode("prefix").alias("i", "token"))
+    several = of_tokens.groupBy("token").agg(F.count_distinct("v").alias("n")).where("n > 1").join(of_tokens, "token").select("v", "i", "token")
+    want = set(map(tuple, several.collect()))
+    assert want and set(map(tuple, ngram_join.shared_tokens(classes).collect())) == want
+    monkeypatch.setattr(ngram_join, "HOT", 4)
+    assert set(map(tuple, ngram_join.shared_tokens(classes).collect())) >= want
+    assert sorted(map(tuple, ngram_join.join(docs).collect()), key=str) == brute_components([r[:2] for r in rows])
+
+
 def test_ngram_join_in_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 3)
     monkeypatch.setattr(ngram_join, "HELD", 2)
