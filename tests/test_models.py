@@ -231,3 +231,35 @@ def test_largest_products_equal_brute_force(spark):
     least = np.array([-got[q][-1][0] for q in range(300)])
     opened = (np.linalg.norm(x, axis=1)[:, None] * lengths[::16] >= np.sort(s, axis=1)[:, -6][:, None]).sum()
     assert opened < 0.6 * 300 * 19 and (least > -np.inf).all()
+
+
+def test_pair_sums_of_blocks_and_slices(spark, monkeypatch):
+    """Sums, halves, others' values and best neighbours equal numpy's, however columns are dealt into blocks, frequent ones into slices and long rows into pieces; no pair is shuffled but those of sliced columns."""
+    x = np.random.default_rng(4).integers(0, 4, (40, 12)) * 1.0
+    x[:, 5] = 3.0  # in every row
+    m = cells(spark, x)
+    want = {(i, j): (float(x[:, i] @ x[:, j]), int(((x[:, i] > 0) & (x[:, j] > 0)).sum())) for i in range(12) for j in range(12) if i != j}
+    squares = (x**2).sum(axis=0)
+    for work, block, at_once in ((4_000_000, 1024, 1_000_000), (300, 5, 70)):
+        for name, value in (("WORK", work), ("BLOCK", block), ("AT_ONCE", at_once)):
+            monkeypatch.setattr(similarity, name, value)
+        found = similarity.pair_sums(m).collect()
+        assert {(r["i"], r["j"]): (r["dot"], r["n"]) for r in found} == want and len(found) == len(want)
+        assert all(r["si"] == squares[r["i"]] and r["sj"] == squares[r["j"]] for r in found)
+        assert {(r["i"], r["j"]): r["n"] for r in similarity.pair_sums(m, 20, halves=True).collect()} == {p: n for p, (_, n) in want.items() if p[0] < p[1] and n >= 20}
+        there = {(r["i"], r["j"]): r["dot"] for r in similarity.pair_sums(m, others_only=True).collect()}
+        assert there == {(i, j): float(x[x[:, i] > 0, j].sum()) for i, j in want if want[i, j][1]}
+        near = {(r["dst"], r["rank"]): r["src"] for r in similarity.similar(m, "dot", 3).collect()}
+        assert near == {(i, k + 1): j for i in range(12) for k, j in enumerate(sorted((j for j in range(12) if j != i), key=lambda j: (-want[i, j][0], j))[:3])}
+    monkeypatch.setattr(similarity, "WORK", 4_000_000)
+    plan = similarity.pair_sums(m)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(i#" not in plan and "FlatMapGroupsInArrow" in plan
+
+
+def test_item_pairs_of_rare_and_frequent(spark):
+    """With a threshold below one all pairs are frequent; above it only those counted more often."""
+    x = binary(5, 30, 8, 0.4)
+    n = {(i, j): int((x[:, i] * x[:, j]).sum()) for i in range(8) for j in range(i + 1, 8)}
+    for threshold in (0.01, 0.5, 0.8):
+        found = [tuple(r) for r in peritem.item_pairs(cells(spark, x), threshold).collect()]
+        assert sorted(found) == sorted((r, i, j) for r in range(30) for (i, j), c in n.items() if x[r, i] and x[r, j] and c > threshold * max(n.values()))
