@@ -263,3 +263,18 @@ def test_item_pairs_of_rare_and_frequent(spark):
     for threshold in (0.01, 0.5, 0.8):
         found = [tuple(r) for r in peritem.item_pairs(cells(spark, x), threshold).collect()]
         assert sorted(found) == sorted((r, i, j) for r in range(30) for (i, j), c in n.items() if x[r, i] and x[r, j] and c > threshold * max(n.values()))
+
+
+def test_negatives_of_arrays_and_rows_are_the_same(spark, monkeypatch):
+    """Users drawn for in one row have the negatives of those with a row for each draw; full, busy and new users too, and nothing is exploded before the draws are chosen."""
+    rows = spark.createDataFrame([(u, i) for u in range(6) for i in range(40) if u == 0 or (u == 1 and i < 37) or (i * 7 + u) % 5 == 0], "user_id long, item_id long")
+    users, items = spark.createDataFrame([(u,) for u in range(7)], "user_id long"), spark.createDataFrame([(i,) for i in range(40)], "item_id long")
+    take = lambda: sorted(map(tuple, negatives.fixed_negatives(users, rows, items, 9, 5).collect()))
+    found = take()
+    assert {u: sum(r[0] == u for r in found) for u in range(7)} == {0: 0, 1: 2, 2: 9, 3: 9, 4: 9, 5: 9, 6: 9}
+    chosen = []
+    monkeypatch.setattr(negatives, "sampled", lambda users, *rest, f=negatives.sampled: chosen.extend(r["user_id"] for r in users.collect()) or f(users, *rest))
+    assert take() == found and sorted(chosen) == [0, 1]
+    monkeypatch.setattr(negatives, "HELD", 8)
+    chosen.clear()
+    assert take() == found and sorted(chosen) == list(range(7))

@@ -70,3 +70,8 @@ def test_results_do_not_depend_on_partitions(spark):
         assert take() == first
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_tasks_read_small_shares_of_shuffles(spark):
+    registry.queries()["dedup_last"](spark, SMALL)
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") in ("16m", "16777216b", "16777216")
