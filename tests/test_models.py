@@ -278,3 +278,34 @@ def test_negatives_of_arrays_and_rows_are_the_same(spark, monkeypatch):
     monkeypatch.setattr(negatives, "HELD", 8)
     chosen.clear()
     assert take() == found and sorted(chosen) == list(range(7))
+
+
+def test_regressions_in_blocks_and_by_joins(spark, monkeypatch):
+    """Ridge and elastic net on neighbourhoods equal numpy's, in one block, in many, and where columns are longer than a block; no pair of items and no Gram entry is shuffled in blocks."""
+    rng = np.random.default_rng(7)
+    x = binary(7, 50, 16, 0.3) * rng.integers(1, 5, (50, 16))
+    x[:, 3] = rng.integers(1, 5, 50)  # in every row
+    m, g = cells(spark, x), x.T @ x
+    near = {j: sorted((i for i in range(16) if i != j and ((x[:, i] > 0) & (x[:, j] > 0)).any()), key=lambda i: (-g[i, j], i))[:6] for j in range(16)}
+    for entries, numbers in ((8_000_000, 4_000_000), (150, 40), (90, 4_000_000), (1, 7)):
+        monkeypatch.setattr(peritem, "ENTRIES", entries)
+        monkeypatch.setattr(peritem, "NUMBERS", numbers)
+        ridge = {(r["src"], r["dst"]): r["weight"] for r in peritem.ridge(m, 5.0, 6).collect()}
+        slim = {(r["src"], r["dst"]): r["weight"] for r in peritem.slim(m, 2.0, 0.3, 6, 4).collect()}
+        assert len(slim) == len({(s, d) for s, d in slim if slim[s, d] > 0})
+        for j, of in near.items():
+            own = sorted(of)
+            w = np.linalg.solve(g[np.ix_(own, own)] + 5.0 * np.eye(len(own)), g[own, j])
+            assert all(ridge[i, j] == pytest.approx(v, abs=1e-10) for i, v in zip(own, w))
+            w = np.zeros(len(own))
+            for _ in range(50):
+                before = w.copy()
+                for i, c in enumerate(own):
+                    w[i] = max(0.0, g[c, j] - g[c, own] @ w + g[c, c] * w[i] - 0.6) / (g[c, c] + 1.4)
+                if np.abs(w - before).max() < 1e-7:
+                    break
+            best = sorted((i for i in range(len(own)) if w[i] != 0), key=lambda i: (-round(w[i], 9), own[i]))[:4]
+            assert {s: v for (s, d), v in slim.items() if d == j} == pytest.approx({own[i]: w[i] for i in best}, abs=1e-9)
+    monkeypatch.setattr(peritem, "ENTRIES", 8_000_000)
+    plan = peritem.slim(m, 2.0, 0.3, 6, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "hashpartitioning(dst" not in plan
