@@ -309,3 +309,16 @@ def test_regressions_in_blocks_and_by_joins(spark, monkeypatch):
     monkeypatch.setattr(peritem, "ENTRIES", 8_000_000)
     plan = peritem.slim(m, 2.0, 0.3, 6, 4)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "hashpartitioning(dst" not in plan
+
+
+@pytest.mark.parametrize("kind", ["euclidean", "cosine", "dot", "tversky"])
+def test_neighbours_of_equal_columns(spark, monkeypatch, kind):
+    """Groups of equal columns give the same neighbours, ties included, as all columns; sums are formed of one of each group only."""
+    x = binary(11, 9, 14, 0.4)[:, np.random.default_rng(11).integers(0, 14, 60)]
+    m, formed = cells(spark, x), []
+    want = {(r["dst"], r["rank"]): (r["src"], r["weight"]) for r in similarity.similar(m, kind, 5).collect()}
+    plain = similarity.pair_sums
+    monkeypatch.setattr(similarity, "pair_sums", lambda matrix, *a, **b: formed.append(matrix.select("col").distinct().count()) or plain(matrix, *a, **b))
+    got = {(r["dst"], r["rank"]): (r["src"], r["weight"]) for r in similarity.similar_groups(m, kind, 5).collect()}
+    assert formed == [len({tuple(c) for c in x.T if c.any()})] and formed[0] < 15
+    assert got.keys() == want.keys() and all(got[p][0] == want[p][0] and got[p][1] == pytest.approx(want[p][1], abs=1e-9) for p in want)
