@@ -322,3 +322,16 @@ def test_neighbours_of_equal_columns(spark, monkeypatch, kind):
     got = {(r["dst"], r["rank"]): (r["src"], r["weight"]) for r in similarity.similar_groups(m, kind, 5).collect()}
     assert formed == [len({tuple(c) for c in x.T if c.any()})] and formed[0] < 15
     assert got.keys() == want.keys() and all(got[p][0] == want[p][0] and got[p][1] == pytest.approx(want[p][1], abs=1e-9) for p in want)
+
+
+def test_sums_counted_and_sorted_are_the_same(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    sets = [sorted(rng.choice(20, 6, replace=False).tolist()) for _ in range(9)]
+    units = pa.table({f"{side}_{c}": [s if c == "col" else [float(i + k) for i in s] for k, s in enumerate(sets)] for side in ("own", "other") for c in ("col", "value", "s")})
+    found = []
+    for dense in (0, 10**6):
+        monkeypatch.setattr(similarity, "DENSE", dense)
+        found.append(similarity._block_sums(units, "bigint", 1, False, False, None, 50).to_pydict())
+    assert found[0] == found[1] and len(found[0]["i"]) > 50
