@@ -335,3 +335,36 @@ def test_sums_counted_and_sorted_are_the_same(monkeypatch):
         monkeypatch.setattr(similarity, "DENSE", dense)
         found.append(similarity._block_sums(units, "bigint", 1, False, False, None, 50).to_pydict())
     assert found[0] == found[1] and len(found[0]["i"]) > 50
+
+
+def test_units_are_packed_and_larger_where_there_are_many_blocks(spark, monkeypatch):
+    """Packed units are what they were, in a fraction of their size; only packed ones are shuffled to blocks."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    rows = [sorted(rng.choice(20_000, 40, replace=False).tolist()) for _ in range(3000)]
+    lists = {f"{side}_{c}": [r if c == "col" else [float(i % 5 + 1) for i in r] for r in rows] for side in ("own", "other") for c in ("col", "value", "s")}
+    units = pa.table({"block": pa.array(np.arange(3000) % 4), "slice": pa.array(np.zeros(3000, np.int32)), **lists})
+    packed = pa.Table.from_batches(list(similarity._packed(iter(units.to_batches(500)))))
+    assert packed.num_rows == 4 and sum(len(x) for x in packed["units"].to_pylist()) < units.nbytes / 4
+    assert similarity._unpacked(packed).to_pydict() == {c: x for c, x in units.sort_by("block").to_pydict().items() if c not in ("block", "slice")}
+    monkeypatch.setattr(similarity, "PACKED", 1)
+    assert pa.Table.from_batches(list(similarity._packed(iter(units.to_batches(500))))).num_rows == 24
+    plan = similarity.pair_sums(cells(spark, binary(1, 9, 5, 0.5)))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan
+
+
+def test_shuffle_files_of_a_stored_table_go_at_once(spark):
+    """Its rows don't need them, nor does a setting of the session stay changed."""
+    import glob
+    import os
+
+    from aislecraft.sources import storage
+
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in folder for f in glob.glob(os.path.join(d, "*", "shuffle_*.data"))}
+    assert list(folder)
+    before, setting = files(), spark.conf.get(storage.CLEANUP, "false")
+    table = storage.stored(spark.range(10_000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).count(), "shuffled")
+    assert not files() - before and table.count() == 7
+    assert spark.conf.get(storage.CLEANUP, "false") == setting
