@@ -112,6 +112,27 @@ def test_candidates_before_the_sums(spark):
     assert models.item_scores(profiles, weights).count() == 4
 
 
+@pytest.mark.parametrize("sizes", [(4_000_000, 250_000, 1_000_000), (9, 1, 3)])
+def test_scores_by_ranges_of_users(spark, monkeypatch, sizes):
+    """Sums equal those of joins, with few ranges and many, with rows twice, ids without a match, and null values; no product is shuffled."""
+    for name, value in zip(("SCORED", "LEAST_SCORED", "AT_ONCE"), sizes):
+        monkeypatch.setattr(models, name, value)
+    rng = np.random.default_rng(8)
+    draw = lambda n, names, high: spark.createDataFrame([(*map(int, rng.integers(0, high, 2)), float(rng.integers(1, 6)) if rng.random() < 0.9 else None) for _ in range(n)], names)
+    profiles, weights = draw(150, "user_id long, item_id long, rating double", 20), draw(120, "src long, dst long, weight double", 25)
+    few = draw(150, "user_id long, item_id long, rating double", 22).drop("rating")
+    values = lambda df: {(r["user_id"], r["item_id"]): r["score"] for r in df.collect()}
+    for f in (models.item_scores, models.user_scores):
+        found, want = f(profiles, weights, few), values(models.for_candidates(f(profiles, weights), few))
+        assert values(found) == want and found.count() == len(want) > 10
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(user_id" not in plan and "FlatMapGroupsInArrow" in plan
+    named = lambda df: df.select(*(F.concat(F.lit("n"), c).alias(c) if c not in ("rating", "weight") else c for c in df.columns))
+    found = models.item_scores(named(profiles), named(weights), named(few))
+    assert values(found) == {(f"n{u}", f"n{i}"): s for (u, i), s in values(models.for_candidates(models.item_scores(profiles, weights), few)).items()}
+    assert models.item_scores(profiles, weights, few.limit(0)).count() == 0
+
+
 def dense_ease(x, l2):
     p = np.linalg.inv(x.T @ x + l2 * np.eye(x.shape[1]))
     b = -p / np.diag(p)
