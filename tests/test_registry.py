@@ -75,3 +75,14 @@ def test_results_do_not_depend_on_partitions(spark):
 def test_tasks_read_small_shares_of_shuffles(spark):
     registry.queries()["dedup_last"](spark, SMALL)
     assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") in ("16m", "16777216b", "16777216")
+
+
+def test_a_task_takes_no_more_for_few_partitions(spark):
+    """However few shuffle partitions a session has, a large shuffle is read in parts of the advisory size."""
+    from pyspark.sql import functions as F
+
+    from aislecraft.plans import base
+
+    base.QUERIES["interactions_scan"](spark, "/root/testdata/sf0.001")
+    sums = spark.range(8_000_000).groupBy(F.xxhash64("id").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    assert sums.groupBy(F.spark_partition_id()).count().count() > int(spark.conf.get("spark.sql.shuffle.partitions"))
