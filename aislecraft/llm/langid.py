@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aislecraft.llm.common import drawn, learnable, texts_of
+from aislecraft.llm.common import drawn, forget, learnable, texts_of
 
 #: Bytes of a stretch, and of the context on both its sides.
 CHUNK, REACH = 224, 16
@@ -198,6 +198,7 @@ def labelled(docs: DataFrame, network: BiGRU | None, column: str) -> DataFrame:
 
     @F.pandas_udf("lang string, score double")
     def label(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        forget()
         net = BiGRU(labels, parts)
         for series in texts:
             out = []

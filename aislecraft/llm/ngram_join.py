@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aislecraft.llm.common import discard, stored
+from aislecraft.llm.common import discard, forget, stored
 from aislecraft.llm.graph import components, membership, packed_counts, slot, summed_counts
 
 SIZE = 5
@@ -97,6 +97,7 @@ def shingle_counts(docs: DataFrame) -> np.ndarray:
     bits = min(MOST_BITS, max(LEAST_BITS, (BUCKETS_EACH * docs.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         counts = np.zeros(1 << bits, np.int64)
         for batch in batches:
             for t in batch.column(0):
@@ -117,6 +118,7 @@ def signatures(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     bits = len(counts).bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         rarity = spread.value
         lists = lambda rows: pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32), np.concatenate([*rows, np.empty(0, np.uint64)]).view(np.int64))
         for batch in batches:
@@ -143,6 +145,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     needed = docs.sparkSession.sparkContext.broadcast(np.packbits(membership(wanted, "doc_id", BITS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         bits = needed.value
         for batch in batches:
             at = batch.column(2).to_numpy()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aislecraft.llm import bpe, decontam, langid, ngram_join, pii
-from aislecraft.llm.common import ship, stored, table
+from aislecraft.llm.common import ship, small_batches, stored, table
 from aislecraft.llm.queries import tokenizer_path
 
 #: The share of a document's words that may stand in benchmark windows.
@@ -33,6 +33,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null texts have no letters; repeated rows all stay or all go; whole texts count, however long; an empty table stays empty.
     """
     ship(spark)
+    small_batches(spark)
     network = langid.fit(docs)
     if network is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
@@ -48,6 +49,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     without words, which nothing links; an empty table stays empty.
     """
     ship(spark)
+    small_batches(spark)
     return ngram_join.without_near_copies(docs).select(*docs.columns)
 
 
@@ -59,6 +61,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data becomes its kind in brackets; n_chars follows. Every row stays, nulls as nulls."""
     ship(spark)
+    small_batches(spark)
     clean = pii.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else clean
 
@@ -66,6 +69,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the text that they decode to, a row for every row; a null text has no ids."""
     ship(spark)
+    small_batches(spark)
     return bpe.encode_decode(docs, tokenizer_path())
 
 

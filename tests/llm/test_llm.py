@@ -846,3 +846,22 @@ def test_toxicity_gradients_by_difference(monkeypatch):
                 ends.append(loss(**now))
             slope = (ends[0] - ends[1]) / 2e-5
             assert abs(slope) < 1e-5 or moved[at] * slope < 0, (k, at)
+
+
+def test_stages_drop_other_caches_and_use_small_batches(spark):
+    """A task of the near-copies stage leaves nothing of what its worker kept for an encoder; a stage's batches are small."""
+    from types import SimpleNamespace
+
+    from aislecraft.llm import common
+
+    before = spark.conf.get(common.BATCH_ROWS)
+    spark.conf.set(common.BATCH_ROWS, "10000")
+    try:
+        corpus_pipeline.tokenize(spark, make_docs(spark, [(1, "a b", "en")]), "")
+        assert spark.conf.get(common.BATCH_ROWS) == str(common.TEXTS_AT_ONCE)
+    finally:
+        spark.conf.set(common.BATCH_ROWS, before)
+    task = ngram_join.signatures(SimpleNamespace(sparkSession=spark, mapInArrow=lambda run, schema: run), np.zeros(1 << 18, np.int64))
+    common.worker_cache("encoder", lambda: bytearray(1))
+    rows = list(task(iter([pa.RecordBatch.from_pydict({"doc_id": pa.array([1]), "text": pa.array(["one two three four five six"])})])))
+    assert rows[0].num_rows == 1 and not common._CACHE
