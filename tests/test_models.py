@@ -277,6 +277,25 @@ def test_pair_sums_of_blocks_and_slices(spark, monkeypatch):
     assert "hashpartitioning(i#" not in plan and "FlatMapGroupsInArrow" in plan
 
 
+def test_pair_sums_in_rounds(spark, monkeypatch):
+    """Best neighbours and frequent pairs are those of one round, however many rounds the units of scattered ids are dealt into; no shuffle is left of a round. String ids, too."""
+    x = np.random.default_rng(14).integers(0, 4, (50, 40)) * 1.0
+    m = cells(spark, x)
+    dot = lambda dot, n, si, sj: dot
+    ask = lambda t: [sorted(map(tuple, f.collect())) for f in (similarity.pair_sums(t, best=(3, dot)), similarity.pair_sums(t, 28), similarity.pair_sums(t, 28, halves=True))]
+    want = ask(m)
+    assert len(want[0]) == 120 and want[1] and len(want[1]) == 2 * len(want[2])
+    monkeypatch.setattr(similarity, "WORK", 4000)
+    monkeypatch.setattr(similarity, "ROUND", 3000)
+    monkeypatch.setattr(similarity, "MATRICES", 1)
+    monkeypatch.setattr(similarity, "DEALT", 500)
+    assert ask(m) == want
+    plan = similarity.pair_sums(m, best=(3, dot))._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan and "Exchange" not in plan
+    named = m.withColumn("col", F.concat(F.lit("c"), F.lpad(F.col("col").cast("string"), 2, "0")))
+    assert ask(named) == [[(f"c{i:02}", f"c{j:02}", *rest) for i, j, *rest in rows] for rows in want]
+
+
 def test_item_pairs_of_rare_and_frequent(spark):
     """With a threshold below one all pairs are frequent; above it only those counted more often."""
     x = binary(5, 30, 8, 0.4)
