@@ -364,6 +364,36 @@ def test_neighbours_of_equal_columns(spark, monkeypatch, kind):
     assert got.keys() == want.keys() and all(got[p][0] == want[p][0] and got[p][1] == pytest.approx(want[p][1], abs=1e-9) for p in want)
 
 
+def test_equal_columns_of_weighted_features(spark, monkeypatch):
+    """Sums of feature weights are formed of one of each group of equal items; a small matrix is dealt into blocks of any work."""
+    x = binary(12, 7, 9, 0.5)[:, np.random.default_rng(12).integers(0, 9, 50)]
+    x[0] = 1.0
+    f = cells(spark, x).select(F.col("row").alias("feature"), F.col("col").alias("item_id"))
+    w, formed, plain = [0.5 + k for k in range(7)], [], similarity.pair_sums
+    monkeypatch.setattr(similarity, "pair_sums", lambda matrix, *a, **b: formed.append(matrix.select("col").distinct().count()) or plain(matrix, *a, **b))
+    got = {(r["dst"], r["rank"]): (r["src"], round(r["weight"], 9)) for r in similarity.feature_weighted(f, spark.createDataFrame(list(enumerate(w)), "feature long, w double"), 6).collect()}
+    sums = np.round((x * np.array(w)[:, None]).T @ x, 9)
+    want = {(i, k + 1): (j, sums[i, j]) for i in range(50) for k, j in enumerate(sorted((j for j in range(50) if j != i and sums[i, j]), key=lambda j: (-sums[i, j], j))[:6])}
+    assert got == want and formed == [len({tuple(c) for c in x.T})] and formed[0] < 10
+
+
+@pytest.mark.parametrize("halves, others_only", [(False, False), (True, False), (False, True)])
+def test_sums_of_long_rows_are_the_same(monkeypatch, halves, others_only):
+    """Row by row in place, or from all pairs; rows that have a column twice count it twice in both."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    sets = [sorted(rng.choice(20, 7, replace=False).tolist()) for _ in range(9)]
+    for twice in (False, True):
+        rows = [sorted([*s, s[2]]) if twice else s for s in sets]
+        units = pa.table({f"{side}_{c}": [s if c == "col" else [float(i * 3 % 5 + (c == "value") * k * (1 - others_only)) for i in s] for k, s in enumerate(rows)] for side in ("own", "other") for c in ("col", "value", "s")})
+        found = []
+        for long in (1, 10**6):
+            monkeypatch.setattr(similarity, "LONG", long)
+            found.append([similarity._block_sums(units, "bigint", 2, halves, others_only, best, 50).to_pydict() for best in (None, (3, lambda dot, n, si, sj: dot / (sj + 1)))])
+        assert found[0] == found[1] and len(found[0][0]["i"]) > 50
+
+
 def test_sums_counted_and_sorted_are_the_same(monkeypatch):
     import pyarrow as pa
 
