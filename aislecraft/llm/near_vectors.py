@@ -41,6 +41,8 @@ THRESHOLD, REACH = 0.9, 1.0
 SAMPLE, ROUNDS, CELLS = 20_000, 10, (4, 4096)
 #: Members or visitors of a cell that a task compares at a time.
 BLOCK = 2048
+#: Vectors that a round of cells sends to its tasks, or so many times all vectors where that is more.
+SENT, TIMES = 2_000_000, 2
 #: Cosines so near to the threshold are worked out again, term by term.
 CLOSE = 1e-9
 
@@ -123,7 +125,7 @@ def compared(cell: int, same: bool, left: pd.DataFrame, right: pd.DataFrame, wid
 
 
 def assigned(nodes: DataFrame, n: int, width: int, threshold: float, reach: float) -> DataFrame:
-    """node, x, width, copies, home and visits of every different vector."""
+    """The columns of `nodes`, home and visits of every different vector."""
     sample = nodes.select("x").orderBy(F.xxhash64("x"), "x").limit(SAMPLE).collect()
     c = centres(padded([r["x"] for r in sample], width), cells_for(n))
     spread = nodes.sparkSession.sparkContext.broadcast(c)  # at most CELLS centres
@@ -136,15 +138,33 @@ def assigned(nodes: DataFrame, n: int, width: int, threshold: float, reach: floa
                 home, visits = visited(padded(batch.column(1).to_numpy(zero_copy_only=False), width) @ c.T, apart, reach * ((1 - threshold) / 2) ** 0.5)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home, pa.int32()), pa.array(visits, pa.list_(pa.int32()))], [*batch.schema.names, "home", "visits"])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.select("node", "x", "width", "copies").schema)
-    return nodes.select("node", "x", "width", "copies").mapInArrow(run, f"{fields}, home int, visits array<int>")
+    kept = [c for c in nodes.columns if c not in ("node", "x")]
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.select("node", "x", *kept).schema)
+    return nodes.select("node", "x", *kept).mapInArrow(run, f"{fields}, home int, visits array<int>")
 
 
 def linked(placed: DataFrame, width: int, threshold: float) -> DataFrame:
-    """(a, b, n) of `compared` over all cells, blocks of members with blocks of members and visitors."""
-    members = placed.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("inner"))
-    visitors = placed.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("outer"))
-    cells = stored(members.join(visitors, "cell", "left").select("cell", "inner", F.coalesce("outer", F.lit(0)).alias("outer")), "cells")  # a row for each centre
+    """(a, b, n) of `compared` over all cells, blocks of members with blocks of members and visitors; as many cells at once as SENT allows, so that the disk holds one round's vectors."""
+    members = placed.groupBy(F.col("home").alias("cell")).agg(F.count(F.lit(1)).alias("m"))
+    visitors = placed.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("v"))
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    counted = members.join(visitors, "cell", "left").withColumn("v", F.coalesce("v", F.lit(0))).select("cell", "m", "v", blocks("m").alias("inner"), blocks("v").alias("outer"))
+    cells = stored(counted, "cells")  # a row for each centre
+    sent = cells.orderBy("cell").selectExpr("cell", "m", "m * (inner + outer) + v * inner AS sent").collect()
+    round_ = (np.cumsum([r["sent"] for r in sent]) - 1) // max(SENT, TIMES * sum(r["m"] for r in sent))
+    rounds = [[r["cell"] for r, k in zip(sent, round_) if k == one] for one in np.unique(round_)]
+    if len(rounds) == 1:
+        return _linked(placed, cells, width, threshold)
+    out = None
+    for some in rounds:  # of neighbouring numbers
+        one = stored(_linked(placed, cells.where(F.col("cell").between(some[0], some[-1])), width, threshold), "links")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _linked(placed: DataFrame, cells: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Of some cells (cell, inner, outer)."""
+    cells = cells.select("cell", "inner", "outer")
     block = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
     every = lambda a, b: F.explode(F.sequence(a, b))
     here = placed.withColumn("cell", F.col("home")).join(F.broadcast(cells), "cell").withColumn("i", block("inner"))
@@ -182,13 +202,13 @@ def groups(vectors: DataFrame, threshold: float = THRESHOLD, reach: float = REAC
         discard(nodes)
         return alone(rows)
     placed = stored(assigned(nodes, n, width, threshold, reach), "cells")
+    discard(nodes)
     found = stored(linked(placed, width, threshold), "links")
-    discard(placed)
     labels = components(found.where("b >= 0").select("a", "b"))
     n_links = found.where("b < 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
-    of_node = nodes.select("node", "copies", "least", "key1", "key2").join(n_links, "node", "left").join(labels.withColumnRenamed("id", "node"), "node", "left")
+    of_node = placed.select("node", "copies", "least", "key1", "key2").join(n_links, "node", "left").join(labels.withColumnRenamed("id", "node"), "node", "left")
     of_node = stored(of_node, "nodes")
-    discard(nodes, found, labels)
+    discard(placed, found, labels)
     smallest = of_node.where("label IS NOT NULL").groupBy("label").agg(F.min("least").alias("smallest"))
     of_node = of_node.join(smallest, "label", "left").select("key1", "key2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("smallest", "least").alias("component_id"))
     found_rows = rows.where("x IS NOT NULL").select("vec_id", *key).join(of_node, ["key1", "key2"])

@@ -197,6 +197,20 @@ def test_near_vectors_in_small_cells_and_blocks(spark, monkeypatch, seed):
     assert sorted(map(tuple, near_vectors.groups(df).collect()), key=str) == grouped(rows)
 
 
+def test_near_vectors_in_rounds_of_cells(spark, monkeypatch):
+    """However few vectors a round sends to its tasks, the links are those of one round; each round is stored."""
+    r = np.random.default_rng(8)
+    base = r.normal(size=(20, 5))
+    rows = [(k, (base[k % 20] + 0.25 * r.normal(size=5)).tolist()) for k in range(300)]
+    take = lambda: sorted(tuple(x)[:3] for x in near_vectors.groups(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    monkeypatch.setattr(near_vectors, "CELLS", (12, 12))
+    want, kept, plain = take(), [], near_vectors.stored
+    monkeypatch.setattr(near_vectors, "SENT", 1)
+    monkeypatch.setattr(near_vectors, "TIMES", 1)
+    monkeypatch.setattr(near_vectors, "stored", lambda df, name: kept.append(name) or plain(df, name))
+    assert take() == want and kept.count("links") > 3 and any(n for _, n, _ in want)
+
+
 def test_every_near_pair_meets_in_one_cell():
     """Of two vectors at the threshold one visits the other's cell, wherever the centres are; with a smaller reach there are fewer visits."""
     r = np.random.default_rng(9)
