@@ -351,6 +351,21 @@ def test_regressions_in_blocks_and_by_joins(spark, monkeypatch):
     assert "FlatMapCoGroupsInArrow" in plan and "hashpartitioning(dst" not in plan
 
 
+def test_gram_matrices_of_pairs_and_of_cells(monkeypatch):
+    """Sums over pairs of entries and products of whole rows give the same systems, however many rows at once."""
+    import pyarrow as pa
+
+    x = binary(21, 60, 12, 0.2) * np.random.default_rng(21).integers(1, 5, (60, 12))
+    columns = pa.table({"col": list(range(12)), "rows": [np.flatnonzero(c).tolist() for c in x.T], "values": [c[c > 0].tolist() for c in x.T]})
+    asked = pa.table({"dst": [3, 7], "srcs": [[3, 0, 1, 5, 9], [7, *range(7), 11]]})
+    for numbers in (4_000_000, 40):
+        monkeypatch.setattr(peritem, "NUMBERS", numbers)
+        for sparse in (0, 10**9):
+            monkeypatch.setattr(peritem, "SPARSE", sparse)
+            for dst, ids, g, y in peritem._systems(asked, columns):
+                assert np.allclose(g, x[:, ids].T @ x[:, ids]) and np.allclose(y, x[:, ids].T @ x[:, dst])
+
+
 @pytest.mark.parametrize("kind", ["euclidean", "cosine", "dot", "tversky"])
 def test_neighbours_of_equal_columns(spark, monkeypatch, kind):
     """Groups of equal columns give the same neighbours, ties included, as all columns; sums are formed of one of each group only."""
